@@ -244,8 +244,8 @@ WITH p AS (SELECT c_mktsegment AS model, c_nationkey AS fold, 'count' AS param,
   UNION ALL SELECT c_mktsegment, c_nationkey, 'mean', avg(c_acctbal), NULL FROM customer GROUP BY 1, 2
   UNION ALL SELECT c_mktsegment, c_nationkey, 'size', NULL, CASE WHEN count(*)>12 THEN 'large'
     WHEN count(*)>9 THEN 'medium' ELSE 'small' END FROM customer GROUP BY 1, 2),
-t AS (SELECT model, param, text, row_number() OVER (PARTITION BY model, param ORDER BY count(*) DESC, min(fold)) AS k
-  FROM p WHERE text IS NOT NULL GROUP BY ALL)
+t AS (SELECT model, param, text, row_number() OVER (PARTITION BY model, param ORDER BY c DESC, f) AS k FROM
+  (SELECT model, param, text, count(*) AS c, min(fold) AS f FROM p WHERE text IS NOT NULL GROUP BY 1, 2, 3)),
 q AS (SELECT model, param, quantile_cont(number, 0.5) AS mid, min((number=floor(number))::int) AS whole
   FROM p GROUP BY ALL)
 SELECT q.model, q.param, round(CASE WHEN whole=1 THEN round_even(mid, 0) ELSE mid END, 6) AS number_value,
