@@ -68,10 +68,18 @@ def winsorize_pct(df: DataFrame, columns: Sequence[str], low: float = 0.01, high
     return df.withColumns({c: clamp(F.col(c).cast("double"), *limits[c]) for c in columns})
 
 
+def incomplete_columns(df: DataFrame, columns: Sequence[str]) -> list[str]:
+    """The columns that hold a NULL, NaN or infinity, from one cheap scan."""
+    has = df.agg(*[F.bool_or(finite(c).isNull()).alias(f"c{i}") for i, c in enumerate(columns)]).first()
+    return [c for i, c in enumerate(columns) if has[f"c{i}"]]
+
+
 def impute_median(df: DataFrame, columns: Sequence[str]) -> DataFrame:
-    """Fill missing numbers with the column's median, 0 if it has none."""
-    mid = quantile_values(df, columns, [0.5])
-    return df.withColumns({c: F.coalesce(finite(c), F.lit(float(mid[c][0] or 0.0))) for c in columns})
+    """Fill missing numbers with the column's median, 0 if it has none. Complete columns cost nothing more."""
+    todo = incomplete_columns(df, columns)
+    mid = quantile_values(df, todo, [0.5]) if todo else {}
+    return df.withColumns({c: F.coalesce(finite(c), F.lit(float(mid[c][0] or 0.0))) if c in mid
+                           else F.col(c).cast("double") for c in columns})
 
 
 def impute_mode(df: DataFrame, columns: Sequence[str], default: str = "unknown") -> DataFrame:
@@ -87,8 +95,7 @@ def impute_iterative(df: DataFrame, columns: Sequence[str], max_iter: int = 10,
     times the column's range. Each fit is one distributed pass; only coefficients come back.
     """
     start = moments(df, columns)
-    todo = [c for c in columns if start[c]["n"] and
-            df.filter(finite(c).isNull()).limit(1).count()]
+    todo = [c for c in incomplete_columns(df, columns) if start[c]["n"]]
     if not todo:
         return df
     gaps = {c: f"_gap_{c}" for c in todo}

@@ -10,11 +10,11 @@ from __future__ import annotations
 from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame
-from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from tabsight.functions.expressions import ratio
 from tabsight.operators.ranking import cell_edges, running_totals, with_cells
+from tabsight.operators.splits import bootstrap_weights
 
 
 def score_counts(df: DataFrame, *, by: Sequence[str] = ("model",), y: str = "y_true", p: str = "y_pred",
@@ -308,3 +308,25 @@ def outcome_listing(df: DataFrame, other: DataFrame, *, id: str = "id", y: str =
     return (df.select(id, y, p, label.alias("outcome"))
             .join(other.select(id, F.col(p).alias("other_pred")), id, "left")
             .orderBy(F.col(p).desc(), id))
+
+
+def bootstrap_ap_ci(pairs: DataFrame, *, id: str = "id", y: str = "y_true", n_boot: int = 2000,
+                    seed: str = "boot") -> DataFrame:
+    """Mean and 2.5/97.5 percentiles of average precision for two models and their paired difference.
+
+    ``pairs`` has one row per id with ``p_a`` and ``p_b``; both models see the same weights.
+    """
+    long = pairs.select(id, y, F.inline(F.array(
+        *[F.struct(F.lit(m).alias("model"), F.col(f"p_{m}").alias("p")) for m in ("a", "b")])))
+    placed = with_cells(long, "p", cell_edges(long, "p"))
+    counts = (bootstrap_weights(placed, [id], n_boot, seed=seed)
+              .groupBy("replicate", "model", "cell", F.col("p").alias("score"))
+              .agg(F.sum(F.col("w") * F.col(y)).cast("bigint").alias("pos"), F.sum("w").cast("bigint").alias("n")))
+    ap = average_precision(counts, ["replicate", "model"])
+    both = ap.groupBy("replicate").agg(F.max(F.when(F.col("model") == "a", F.col("pr_auc"))).alias("ap_a"),
+                                       F.max(F.when(F.col("model") == "b", F.col("pr_auc"))).alias("ap_b"))
+    both = both.withColumn("diff", F.col("ap_a") - F.col("ap_b"))
+    # one row per replicate: an exact percentile over n_boot values is small
+    return both.agg(*[f for c in ("ap_a", "ap_b", "diff") for f in (
+        F.avg(c).alias(f"{c}_mean"), F.expr(f"percentile({c}, 0.025)").alias(f"{c}_low"),
+        F.expr(f"percentile({c}, 0.975)").alias(f"{c}_high"))])

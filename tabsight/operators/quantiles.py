@@ -9,33 +9,46 @@ small at any input size, and the answer is exact, not approximate.
 
 from __future__ import annotations
 
+import math
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame, Row
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from tabsight.functions.expressions import finite
+from tabsight.operators.ranking import with_cells
+from tabsight.operators.small import fetch_bounded
 
 ACCURACY = 20_000
 MAX_GROUPS = 100_000
 
 
-def _brackets(n: int, sketch: list[float] | None, k: int, accuracy: int) -> tuple[list[float], list[float]]:
-    """Lower and upper bracket per wanted rank; open where the sketch may be off by a rank or two."""
-    inf = float("inf")
-    if not n or 3 * n < 2 * accuracy:
-        return [-inf] * k, [inf] * k
-    return [sketch[2 * i] for i in range(k)], [sketch[2 * i + 1] for i in range(k)]
-
-
-def exact_quantiles(df: DataFrame, columns: Sequence[str], probs: Sequence[float], *,
-                    by: Sequence[str] = (), accuracy: int = ACCURACY) -> DataFrame:
-    """Linear-interpolation quantiles of several columns in two scans.
+def _bracket_edges(n: int, sketch: list[float] | None, k: int, accuracy: int) -> list[float]:
+    """Merged brackets as a flat ascending list lo, hi, lo, hi...; a value is inside ``[lo, hi)``.
 
-    Returns ``by..., column, n, q`` where ``q`` is an array with one double per requested probability
-    (NULL for a column without values). NULL, NaN and infinities are ignored.
+    Empty (everything is inside) while the sketch may be off by a rank or two.
+    """
+    if not n or 3 * n < 2 * accuracy:
+        return []
+    edges: list[float] = []
+    for i in range(k):
+        lo, hi = sketch[2 * i], math.nextafter(sketch[2 * i + 1], math.inf)
+        if edges and lo <= edges[-1]:
+            edges[-1] = max(edges[-1], hi)
+        else:
+            edges += [lo, hi]
+    return edges
+
+
+def ranked_values(df: DataFrame, columns: Sequence[str], probs: Sequence[float], *, by: Sequence[str] = (),
+                  accuracy: int = ACCURACY) -> DataFrame:
+    """Counts by value around the wanted ranks, with running totals.
+
+    Returns ``by..., column, cell, value, m, upto, n``: ``m`` rows hold the value, ``upto`` rows are at
+    or below it, ``n`` rows have a value at all. Rows between the brackets come as one line each with
+    a NULL value. NULL, NaN and infinities are ignored.
     """
     spark = df.sparkSession
     by, probs = list(by), sorted(probs)
@@ -47,63 +60,56 @@ def exact_quantiles(df: DataFrame, columns: Sequence[str], probs: Sequence[float
     sketched = src.groupBy(*by).agg(
         *[F.count(f"x{j}").alias(f"n{j}") for j in range(len(columns))],
         *[F.percentile_approx(f"x{j}", grid, accuracy).alias(f"s{j}") for j in range(len(columns))])
-    rows = sketched.limit(MAX_GROUPS + 1).collect()
-    if len(rows) > MAX_GROUPS:
-        raise ValueError(f"exact_quantiles: more than {MAX_GROUPS} groups in {by}")
+    rows = fetch_bounded(sketched, MAX_GROUPS, f"groups of {by}")
 
+    edges = [[_bracket_edges(r[f"n{j}"], r[f"s{j}"], k, accuracy) for j in range(len(columns))] for r in rows]
     if by:
-        group_types = [df.schema[c] for c in by]
-        bounds_type = T.ArrayType(T.DoubleType())
-        schema = T.StructType(group_types + [
-            f for j in range(len(columns))
-            for f in (T.StructField(f"lo{j}", bounds_type), T.StructField(f"hi{j}", bounds_type))])
-        data = []
-        for r in rows:
-            cells = [r[c] for c in by]
-            for j in range(len(columns)):
-                cells.extend(_brackets(r[f"n{j}"], r[f"s{j}"], k, accuracy))
-            data.append(tuple(cells))
         # one row per group, at most MAX_GROUPS of them
-        bounds = spark.createDataFrame(data, schema)
-        src = src.join(F.broadcast(bounds), by)
-
-        def edge(j: int, i: int) -> tuple[Column, Column]:
-            return F.col(f"lo{j}")[i], F.col(f"hi{j}")[i]
+        schema = T.StructType([df.schema[c] for c in by] + [
+            T.StructField(f"e{j}", T.ArrayType(T.DoubleType())) for j in range(len(columns))])
+        bounds = spark.createDataFrame([(*[r[c] for c in by], *e) for r, e in zip(rows, edges)], schema)
+        src = src.join(F.broadcast(bounds), by).withColumns({
+            f"c{j}": F.when(F.size(f"e{j}") == 0, 1).otherwise(
+                F.size(F.filter(f"e{j}", lambda e, j=j: e <= F.col(f"x{j}"))))
+            for j in range(len(columns))})
     else:
-        r: Row = rows[0]
-        fixed = [_brackets(r[f"n{j}"], r[f"s{j}"], k, accuracy) for j in range(len(columns))]
-
-        def edge(j: int, i: int) -> tuple[Column, Column]:
-            return F.lit(fixed[j][0][i]), F.lit(fixed[j][1][i])
+        for j, e in enumerate(edges[0]):
+            cuts = [-math.inf, *e, math.inf]
+            src = with_cells(src, f"x{j}", cuts, f"c{j}") if e else src.withColumn(f"c{j}", F.lit(1))
 
     def place(j: int, name: str) -> Column:
         """(column, cell, value): odd cells are brackets and keep the value, even ones only count."""
-        x = F.col(f"x{j}")
-        cell, kept = None, None
-        for i in range(k):
-            lo, hi = edge(j, i)
-            below, inside = x < lo, x <= hi
-            cell = (F.when(below, 2 * i) if cell is None else cell.when(below, 2 * i)).when(inside, 2 * i + 1)
-            kept = (F.when(below, None) if kept is None else kept.when(below, None)).when(inside, x)
-        return F.struct(F.lit(name).alias("column"), x.isNotNull().alias("present"),
-                        cell.otherwise(2 * k).alias("cell"), kept.alias("value"))
+        x, cell = F.col(f"x{j}"), F.col(f"c{j}")
+        return F.struct(F.lit(name).alias("column"), x.isNotNull().alias("present"), cell.alias("cell"),
+                        F.when(cell % 2 == 1, x).alias("value"))
 
     counts = (src.select(*by, F.inline(F.array(*[place(j, c) for j, c in enumerate(columns)])))
               .groupBy(*by, "column", "cell", "value")
               .agg(F.sum(F.col("present").cast("bigint")).alias("m")))
     group = [*by, "column"]
     order = W.partitionBy(*group).orderBy("cell", "value").rowsBetween(W.unboundedPreceding, 0)
-    ranked = (counts.withColumn("upto", F.sum("m").over(order))
-              .withColumn("n", F.sum("m").over(W.partitionBy(*group))))
+    return (counts.withColumn("upto", F.sum("m").over(order))
+            .withColumn("n", F.sum("m").over(W.partitionBy(*group))))
+
+
+def holds(position: Column) -> Column:
+    """Whether a ``ranked_values`` row covers the zero-based position."""
+    return (F.col("upto") - F.col("m") <= position) & (position < F.col("upto"))
 
-    def at(position: Column) -> Column:
-        return F.max(F.when((F.col("upto") - F.col("m") <= position) & (position < F.col("upto")), F.col("value")))
 
-    picked = ranked.groupBy(*group).agg(
+def exact_quantiles(df: DataFrame, columns: Sequence[str], probs: Sequence[float], *,
+                    by: Sequence[str] = (), accuracy: int = ACCURACY) -> DataFrame:
+    """Linear-interpolation quantiles of several columns in two scans.
+
+    Returns ``by..., column, n, q`` where ``q`` is an array with one double per requested probability
+    in ascending order (NULL for a column without values).
+    """
+    probs = sorted(probs)
+    group = [*by, "column"]
+    picked = ranked_values(df, columns, probs, by=by, accuracy=accuracy).groupBy(*group).agg(
         F.max("n").alias("n"),
-        *[f for i, q in enumerate(probs) for f in (
-            at(F.floor(F.lit(float(q)) * (F.col("n") - 1))).alias(f"a{i}"),
-            at(F.ceil(F.lit(float(q)) * (F.col("n") - 1))).alias(f"b{i}"))])
+        *[F.max(F.when(holds(end(F.lit(float(q)) * (F.col("n") - 1))), F.col("value"))).alias(f"{name}{i}")
+          for i, q in enumerate(probs) for name, end in (("a", F.floor), ("b", F.ceil))])
 
     def value(i: int, q: float) -> Column:
         pos = F.lit(float(q)) * (F.col("n") - 1)

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from tabsight.plans import cleaning, derive, metrics, profiling  # noqa: F401
+from tabsight.plans import association, cleaning, derive, metrics, profiling, splits  # noqa: F401
 from tabsight.plans.registry import ORACLES, QUERIES
 
 __all__ = ["ORACLES", "QUERIES"]
