@@ -68,10 +68,12 @@ def ranked_values(df: DataFrame, columns: Sequence[str], probs: Sequence[float],
         schema = T.StructType([df.schema[c] for c in by] + [
             T.StructField(f"e{j}", T.ArrayType(T.DoubleType())) for j in range(len(columns))])
         bounds = spark.createDataFrame([(*[r[c] for c in by], *e) for r, e in zip(rows, edges)], schema)
-        src = src.join(F.broadcast(bounds), by).withColumns({
-            f"c{j}": F.when(F.size(f"e{j}") == 0, 1).otherwise(
-                F.size(F.filter(f"e{j}", lambda e, j=j: e <= F.col(f"x{j}"))))
-            for j in range(len(columns))})
+
+        def cell_of(j: int) -> Column:
+            passed = F.size(F.filter(f"e{j}", lambda e: e <= F.col(f"x{j}")))
+            return F.when(F.size(f"e{j}") == 0, 1).otherwise(passed)
+
+        src = src.join(F.broadcast(bounds), by).withColumns({f"c{j}": cell_of(j) for j in range(len(columns))})
     else:
         for j, e in enumerate(edges[0]):
             cuts = [-math.inf, *e, math.inf]

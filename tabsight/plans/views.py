@@ -178,3 +178,17 @@ TEXT_LABEL = """
 v_text AS (SELECT doc_id, quality AS y, n_chars::double/(SELECT max(n_chars) FROM documents) AS score, n_chars
   FROM labels JOIN documents USING (doc_id))
 """
+
+
+STEP_FEATURES = [f"f{i}" for i in range(16)]
+
+
+def attribution_matrix(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """``attributions`` with one (features x steps) matrix per row instead of one row per cell."""
+    e = table(spark, sf_dir, "embeddings")
+    steps = F.sequence(F.lit(0), F.floor(F.size("embedding") / 16).cast("int") - 1)
+    cells = F.transform(F.sequence(F.lit(0), F.lit(15)), lambda f: F.transform(
+        steps, lambda s: F.abs(F.get("embedding", s * 16 + f).cast("double"))))
+    return e.select(F.col("vec_id").alias("id"), (F.col("vec_id") % 5).cast("int").alias("fold"),
+                    F.col("label").alias("cohort"), (F.col("label") >= 5).cast("int").alias("target"),
+                    cells.alias("matrix"))
