@@ -24,8 +24,8 @@ def hash32(seed: str, *keys: str | Column, word: Column | int = 0) -> Column:
 
 
 def finite(c: str | Column) -> Column:
-    """The value as a double, with NaN and infinities turned into NULL."""
-    x = (F.col(c) if isinstance(c, str) else c).cast("double")
+    """The value as a double, with NaN and infinities turned into NULL and -0.0 into 0.0."""
+    x = (F.col(c) if isinstance(c, str) else c).cast("double") + F.lit(0.0)
     return F.when(F.isnan(x) | (F.abs(x) == float("inf")), None).otherwise(x)
 
 

@@ -34,7 +34,8 @@ def with_cells(df: DataFrame, value: str, edges: Sequence[float], name: str = "c
     if len(edges) < 3:
         return df.withColumn(name, F.lit(0))
     cut = Bucketizer(splits=list(edges), inputCol="_cell_x", outputCol="_cell", handleInvalid="keep")
-    out = cut.transform(df.withColumn("_cell_x", F.col(value).cast("double")))
+    # adding 0.0 turns -0.0 into 0.0: the lookup tells them apart, grouping does not
+    out = cut.transform(df.withColumn("_cell_x", F.col(value).cast("double") + F.lit(0.0)))
     return out.withColumn(name, F.col("_cell").cast("int")).drop("_cell_x", "_cell")
 
 
