@@ -9,26 +9,40 @@ from itertools import combinations
 from pyspark.ml.classification import LogisticRegression, RandomForestClassifier
 from pyspark.ml.feature import VectorAssembler
 from pyspark.ml.functions import vector_to_array
+from pyspark.ml.stat import Correlation
 from pyspark.sql import Column, DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from tabsight.functions.expressions import finite, hash32, melt
 from tabsight.operators import metrics as M
-from tabsight.operators.cleaning import impute_median
+from tabsight.operators.cleaning import impute_median, incomplete_columns
 from tabsight.operators.quantiles import holds, quantile_values, ranked_values
 from tabsight.operators.ranking import cell_edges, running_totals, with_cells
-from tabsight.operators.small import fetch_bounded
+from tabsight.operators.small import fetch_bounded, moments
+from tabsight.sources.files import materialised
 
 LONG_KEY = ["column"]
 
 
-def _pairs(df: DataFrame, columns: Sequence[str], value) -> DataFrame:
+def _pairs(df: DataFrame, columns: Sequence[str]) -> DataFrame:
     """All ordered pairs of ``columns`` with their correlation over rows where both are present.
 
-    Every column pair of a row becomes one small struct that is aggregated in the same stage: one
-    compact generated loop for any number of columns, and only p^2/2 partial sums are shuffled.
+    Complete columns go through Spark ML's one-pass Gram matrix. With gaps every column pair of a row
+    becomes one small struct aggregated in the same stage; only p^2/2 partial sums are shuffled.
     """
-    cells = [F.struct(F.lit(i).alias("i"), F.lit(j).alias("j"), value(columns[i]).alias("x"), value(columns[j]).alias("y"))
+    stats = moments(df, columns)
+    rows = max(m["n"] for m in stats.values())
+    if rows and all(m["n"] == rows for m in stats.values()) and not incomplete_columns(df, columns):
+        # scaled first, so that large means cost no precision
+        scaled = df.select(*[((finite(c) - stats[c]["mean"]) / (stats[c]["std"] or 1.0)).alias(f"x{i}")
+                             for i, c in enumerate(columns)])
+        vec = VectorAssembler(inputCols=scaled.columns, outputCol="v").transform(scaled)
+        r = Correlation.corr(vec, "v").first()[0].toArray()
+        data = [(a, b, 1.0 if a == b else None if math.isnan(r[i, j]) else float(r[i, j]))
+                for i, a in enumerate(columns) for j, b in enumerate(columns)]
+        return df.sparkSession.createDataFrame(data, "a string, b string, r double")
+    cells = [F.struct(F.lit(i).alias("i"), F.lit(j).alias("j"), finite(columns[i]).alias("x"), finite(columns[j]).alias("y"))
              for i, j in combinations(range(len(columns)), 2)]
     half = (df.select(F.inline(F.array(*cells))).groupBy("i", "j").agg(F.corr("x", "y").alias("r")))
     names = F.array(*[F.lit(c) for c in columns])
@@ -41,7 +55,7 @@ def _pairs(df: DataFrame, columns: Sequence[str], value) -> DataFrame:
 
 def corr_pearson(df: DataFrame, columns: Sequence[str]) -> DataFrame:
     """Pearson matrix in long form over pairwise-complete rows."""
-    return _pairs(df, columns, finite)
+    return _pairs(df, columns)
 
 
 def average_ranks(df: DataFrame, columns: Sequence[str]) -> DataFrame:
@@ -64,7 +78,8 @@ def corr_spearman(df: DataFrame, columns: Sequence[str]) -> DataFrame:
     for c in columns:
         out = out.join(ranks.filter(F.col("column") == c).select(F.col("value").alias(c), F.col("rank").alias(f"_r_{c}")),
                        c, "left")
-    return _pairs(out, columns, lambda c: F.col(f"_r_{c}")).withColumn("r", F.abs("r"))
+    ranked = materialised(out.select(*[F.col(f"_r_{c}").alias(c) for c in columns]))
+    return _pairs(ranked, columns).withColumn("r", F.abs("r"))
 
 
 def corr_edges(df: DataFrame, columns: Sequence[str], threshold: float = 0.3) -> DataFrame:
@@ -205,14 +220,31 @@ def binary_duplicates(df: DataFrame, columns: Sequence[str], threshold: float =
             .filter(F.col("max_r") > threshold))
 
 
-def _tie_cut(df: DataFrame, column: str, value: float, offset: int, tied: int, keys: Sequence[str]) -> tuple:
-    """The (hash, key...) of the tied row at ``offset`` among rows holding ``value``."""
-    rows = df.filter(finite(column) == value).select("_u", *keys)
-    at = F.lit(offset)
-    hit = (ranked_values(rows, ["_u"], [offset / max(tied - 1, 1)]).filter(holds(at))
-           .select("value", (at - (F.col("upto") - F.col("m"))).alias("i")).first())
-    same = rows.filter(F.col("_u") == int(hit["value"])).orderBy(*keys)
-    return tuple(fetch_bounded(same, what="rows with one hash")[hit["i"]])
+TIE_BITS = 52
+TIE_CELL_BITS = 18
+
+
+def _tie_cuts(df: DataFrame, wanted: Mapping[int, tuple[str, float, int]], keys: Sequence[str]) -> dict[int, tuple]:
+    """The (hash, key...) at a given offset among the rows holding a value; one per wanted cut.
+
+    The hash is uniform, so its top bits split even a very common value into small cells: counts per
+    cell find the right one, and only that cell's rows are ordered.
+    """
+    ties = df.select("_u", *keys, F.explode(F.array_compact(F.array(*[
+        F.when(finite(c) == v, F.lit(t)) for t, (c, v, _) in wanted.items()]))).alias("_t"))
+    ties = ties.withColumn("_cell", F.shiftright("_u", TIE_BITS - TIE_CELL_BITS))
+    offset = F.coalesce(*[F.when(F.col("_t") == t, F.lit(o)) for t, (_, _, o) in wanted.items()])
+    order = W.partitionBy("_t").orderBy("_cell").rowsBetween(W.unboundedPreceding, 0)
+    cells = (ties.groupBy("_t", "_cell").agg(F.count("*").alias("m")).withColumn("upto", F.sum("m").over(order))
+             .filter(holds(offset)).select("_t", "_cell", (offset - (F.col("upto") - F.col("m"))).alias("i")))
+    found = fetch_bounded(cells, len(wanted))
+    here = F.lit(False)
+    for r in found:
+        here = here | ((F.col("_t") == r["_t"]) & (F.col("_cell") == r["_cell"]))
+    need = F.coalesce(*[F.when(F.col("_t") == r["_t"], F.lit(r["i"])) for r in found])
+    place = F.row_number().over(W.partitionBy("_t").orderBy("_u", *keys)) - 1
+    hit = ties.filter(here).withColumn("_place", place).filter(F.col("_place") == need)
+    return {r["_t"]: (r["_u"], *[r[k] for k in keys]) for r in fetch_bounded(hit, len(wanted))}
 
 
 def quantile_bins(df: DataFrame, columns: Sequence[str], keys: Sequence[str], q: int = 4, seed: str = "ties",
@@ -226,28 +258,28 @@ def quantile_bins(df: DataFrame, columns: Sequence[str], keys: Sequence[str], q:
     src = df.withColumn("_u", F.conv(F.substring(F.md5(F.concat_ws(":", F.lit(seed), *[
         F.col(k).cast("string") for k in keys])), 1, 13), 16, 10).cast("bigint"))
     ranked = ranked_values(src, columns, [b / q for b in range(1, q)])
-    found: dict[tuple[str, int], tuple] = {}
-    for b in range(1, q):
-        pos = F.floor((F.col("n") - 1) * b / q)
-        rows = ranked.filter(holds(pos)).select("column", "value", "m", "upto", pos.alias("pos")).collect()
-        for r in rows:
-            found[(r["column"], b)] = (r["value"], r["m"], int(r["pos"] - (r["upto"] - r["m"])))
+    at = [F.floor((F.col("n") - 1) * b / q) for b in range(1, q)]
+    rows = ranked.select("column", "value", "m", "upto", F.explode(F.array_compact(F.array(*[
+        F.when(holds(p), F.struct(F.lit(b).alias("b"), p.alias("pos"))) for b, p in enumerate(at, start=1)]))).alias("s"))
+    found = {(r["column"], r["s"]["b"]): (r["value"], r["m"], int(r["s"]["pos"] - (r["upto"] - r["m"])))
+             for r in fetch_bounded(rows, len(columns) * q)}
+    split = [cut for cut, (_, tied, offset) in found.items() if offset < tied - 1]
+    cuts = _tie_cuts(src, {i: (c, found[c, b][0], found[c, b][2]) for i, (c, b) in enumerate(split)}, keys) if split else {}
 
     out = {}
+    types = [src.schema["_u"].dataType, *[src.schema[k].dataType for k in keys]]
     for c in columns:
         x = finite(c)
         number = F.lit(1)
         for b in range(1, q):
             if (c, b) not in found:
                 continue
-            value, tied, offset = found[(c, b)]
-            if offset == tied - 1:
-                beyond = x > value
-            else:
-                cut = _tie_cut(src, c, value, offset, tied, keys)
-                after = F.struct("_u", *keys) > F.struct(*[F.lit(v).cast(t) for v, t in zip(
-                    cut, [src.schema["_u"].dataType, *[src.schema[k].dataType for k in keys]])])
-                beyond = (x > value) | ((x == value) & after)
+            value = found[c, b][0]
+            beyond = x > value
+            if (c, b) in split:
+                last = cuts[split.index((c, b))]
+                after = F.struct("_u", *keys) > F.struct(*[F.lit(v).cast(t) for v, t in zip(last, types)])
+                beyond = beyond | ((x == value) & after)
             number = number + F.when(beyond, 1).otherwise(0)
         shown = (names or {}).get(c, c.split("__", 1)[-1])
         out[shown] = F.when(x.isNotNull(), F.concat(F.lit(f"{shown}_Q"), number.cast("string")))

@@ -13,6 +13,7 @@ from tabsight.functions.expressions import clamp, finite
 from tabsight.operators.profiling import filter_sanity, iqr_masks, most_frequent, percentile_limits
 from tabsight.operators.quantiles import median, quantile_values
 from tabsight.operators.small import fetch_bounded, moments
+from tabsight.sources.files import materialised
 
 DEFAULT_GAP = 40.0
 
@@ -137,8 +138,12 @@ def standardize_onehot(df: DataFrame, numeric: Sequence[str], categorical: Seque
 def clean_table(df: DataFrame, *, high: str, low: str, high_range: tuple[float, float], low_range: tuple[float, float],
                 caps: Caps, numeric: Sequence[str], categorical: Sequence[str], strict: bool = False,
                 sanity: Mapping[str, tuple[float, float]] | None = None) -> DataFrame:
-    """All cleaning steps in order: deduplicate, filter, repair, cap, impute."""
-    out = df.dropDuplicates()
+    """All cleaning steps in order: deduplicate, filter, repair, cap, impute.
+
+    Every later step fits its statistics on the deduplicated rows, so these are written once instead
+    of being shuffled again for each fit.
+    """
+    out = materialised(df.dropDuplicates())
     if strict:
         out = filter_sanity(out, high, low, strict=True, **(sanity or {}))
     out = pair_repair(out, high, low, high_range=high_range, low_range=low_range)

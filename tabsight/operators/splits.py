@@ -93,11 +93,12 @@ def poisson_cuts(rate: float) -> list[int]:
 
 
 def poisson_weight(u: Column, rate: float) -> Column:
-    out = F.lit(0)
-    expr = None
-    for count, cut in reversed(list(enumerate(poisson_cuts(rate), start=1))):
-        expr = F.when(u >= cut, count) if expr is None else expr.when(u >= cut, count)
-    return out if expr is None else expr.otherwise(0)
+    """Poisson count of a 32-bit uniform by inverse distribution function."""
+    cuts = poisson_cuts(rate)
+    out = F.when(u < cuts[0], 0)
+    for count, cut in enumerate(cuts[1:], start=1):
+        out = out.when(u < cut, count)
+    return out.otherwise(len(cuts))
 
 
 def bootstrap_weights(df: DataFrame, keys: Sequence[str], n_boot: int, *, rate: float = 1.0,
@@ -109,13 +110,12 @@ def bootstrap_weights(df: DataFrame, keys: Sequence[str], n_boot: int, *, rate:
     """
     groups = (n_boot + 3) // 4
     digest = F.md5(F.concat_ws(":", F.lit(seed), *[F.col(k).cast("string") for k in keys], F.col("_g").cast("string")))
-    four = df.withColumn("_g", F.explode(F.sequence(F.lit(0), F.lit(groups - 1)))).withColumn("_d", digest)
-
-    def word(i: int) -> Column:
-        return F.conv(F.substring("_d", 8 * i + 1, 8), 16, 10).cast("bigint")
-
+    # the words become columns first, so that the weight's CASE does not work them out again per branch
+    four = df.withColumn("_g", F.explode(F.sequence(F.lit(0), F.lit(groups - 1)))).select(
+        *df.columns, "_g", digest.alias("_d")).select(*df.columns, "_g", *[
+            F.conv(F.substring("_d", 8 * i + 1, 8), 16, 10).cast("bigint").alias(f"_w{i}") for i in range(4)])
     drawn = four.select(*df.columns, F.inline(F.array(*[
-        F.struct((F.col("_g") * 4 + i).alias("replicate"), poisson_weight(word(i), rate).alias("w"))
+        F.struct((F.col("_g") * 4 + i).alias("replicate"), poisson_weight(F.col(f"_w{i}"), rate).alias("w"))
         for i in range(4)])))
     return drawn.filter((F.col("w") > 0) & (F.col("replicate") < n_boot))
 
