@@ -141,9 +141,7 @@ def _feature_scores(df: DataFrame, columns: Sequence[str], target: str) -> DataF
 
 def univariate_auc(df: DataFrame, columns: Sequence[str], target: str) -> DataFrame:
     """ROC-AUC of every column as a score; NULL for a constant column."""
-    counts = _feature_scores(df, columns, target)
-    distinct = counts.groupBy("column").agg(F.count("*").alias("distinct"))
-    return M.roc_auc(counts, LONG_KEY).join(distinct, "column").select(
+    return M.ranking_metrics(_feature_scores(df, columns, target), LONG_KEY).select(
         "column", F.when(F.col("distinct") > 1, F.col("roc_auc")).alias("auc"), "distinct")
 
 
@@ -317,8 +315,8 @@ def shift_classifier(df: DataFrame, columns: Sequence[str], split: str, keys: Se
     weight = fit.featureImportances if model == "forest" else [abs(v) for v in fit.coefficients]
     scored = fit.transform(ready.filter("_held")).select(
         F.lit(model).alias("model"), F.col(split).alias("y_true"), vector_to_array("probability")[1].alias("y_pred"))
-    auc = M.roc_auc(M.score_counts(scored), ["model"])
+    auc = M.roc_auc(M.score_counts(scored), ["model"]).first()["roc_auc"]
     ranked = df.sparkSession.createDataFrame(
         [(model, c, float(weight[i])) for i, c in enumerate(columns)], "model string, column string, importance double")
-    return ranked.join(auc, "model").select("model", "column", "importance", F.col("roc_auc").alias("auc"),
-                                            shift_severity(F.col("roc_auc")).alias("severity"))
+    ranked = ranked.withColumn("auc", F.lit(auc).cast("double"))
+    return ranked.withColumn("severity", shift_severity(F.col("auc")))

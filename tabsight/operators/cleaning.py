@@ -155,9 +155,9 @@ def clean_metadata(before: DataFrame, after: DataFrame, target: str) -> DataFram
     """One row describing a cleaning run."""
     nulls = sum((F.sum(F.col(c).isNull().cast("bigint")) for c in after.columns[1:]),
                 F.sum(F.col(after.columns[0]).isNull().cast("bigint")))
-    a = after.agg(F.count("*").alias("final_count"), nulls.alias("missing_after"),
-                  F.avg(F.col(target).cast("double")).alias("positive_ratio"), F.lit(1).alias("_one"))
-    b = before.agg(F.count("*").alias("initial_count"), F.lit(1).alias("_one"))
-    return b.join(a, "_one").select(
-        "initial_count", "final_count", (F.col("initial_count") - F.col("final_count")).alias("removed"),
+    rows = before.count()
+    return after.agg(F.count("*").alias("final_count"), nulls.alias("missing_after"),
+                     F.avg(F.col(target).cast("double")).alias("positive_ratio")).select(
+        F.lit(rows).cast("bigint").alias("initial_count"), "final_count",
+        (F.lit(rows) - F.col("final_count")).cast("bigint").alias("removed"),
         F.lit(len(after.columns)).alias("columns"), "missing_after", "positive_ratio")

@@ -26,30 +26,43 @@ def score_counts(df: DataFrame, *, by: Sequence[str] = ("model",), y: str = "y_t
 
 
 def ranked_scores(counts: DataFrame, by: Sequence[str], descending: bool = True) -> DataFrame:
-    """Add ``tp`` and ``m``: positives and rows at or above (below, if ascending) each score."""
-    return running_totals(counts, by=by, value="score", sums={"pos": "tp", "n": "m"}, descending=descending)
+    """Add ``tp`` and ``m``: positives and rows at or above (below, if ascending) each score; and
+    ``p_all`` and ``n_all``: the group's totals."""
+    return running_totals(counts, by=by, value="score", sums={"pos": "tp", "n": "m"}, descending=descending,
+                          totals={"pos": "p_all", "n": "n_all"})
 
 
 def _group_totals(counts: DataFrame, by: Sequence[str]) -> DataFrame:
     return counts.groupBy(*by).agg(F.sum("pos").alias("p_all"), F.sum("n").alias("n_all"))
 
 
-def roc_auc(counts: DataFrame, by: Sequence[str]) -> DataFrame:
-    """Rank form of ROC-AUC, a tie counting one half; NULL when a class is missing."""
+def _auc() -> Column:
     neg = F.col("n") - F.col("pos")
     above_neg = F.col("m") - F.col("tp") - neg
-    wins_lost = F.sum(F.col("pos") * (above_neg + neg / F.lit(2.0)))
+    lost = F.sum(F.col("pos") * (above_neg + neg / F.lit(2.0)))
     pos, negs = F.sum("pos"), F.sum(neg)
-    auc = F.when((pos > 0) & (negs > 0), 1.0 - wins_lost / (pos.cast("double") * negs))
-    return ranked_scores(counts, by).groupBy(*by).agg(auc.alias("roc_auc"))
+    return F.when((pos > 0) & (negs > 0), 1.0 - lost / (pos.cast("double") * negs))
+
+
+def _ap() -> Column:
+    step = F.sum(F.col("pos") * F.col("tp") / F.col("m").cast("double"))
+    return F.when(F.sum("pos") > 0, step / F.sum("pos"))
+
+
+def roc_auc(counts: DataFrame, by: Sequence[str]) -> DataFrame:
+    """Rank form of ROC-AUC, a tie counting one half; NULL when a class is missing."""
+    return ranked_scores(counts, by).groupBy(*by).agg(_auc().alias("roc_auc"))
 
 
 def average_precision(counts: DataFrame, by: Sequence[str]) -> DataFrame:
     """Sum of recall steps times precision, without interpolation."""
-    step = F.sum(F.col("pos") * F.col("tp") / F.col("m").cast("double"))
-    pos = F.sum("pos")
+    return ranked_scores(counts, by).groupBy(*by).agg(_ap().alias("pr_auc"))
+
+
+def ranking_metrics(counts: DataFrame, by: Sequence[str]) -> DataFrame:
+    """ROC-AUC, average precision and the number of distinct scores from one ranking."""
     return ranked_scores(counts, by).groupBy(*by).agg(
-        F.when(pos > 0, step / pos).alias("pr_auc"))
+        _auc().alias("roc_auc"), _ap().alias("pr_auc"), F.count("*").alias("distinct"))
 
 
 def _confusion(y: Column, flag: Column) -> dict[str, Column]:
@@ -147,7 +160,7 @@ def f1_at_recall(counts: DataFrame, by: Sequence[str], recalls: Sequence[float]
 
     Where no score qualifies the row falls back to threshold 0.5 and its F1.
     """
-    r = ranked_scores(counts, by).join(_group_totals(counts, by), list(by))
+    r = ranked_scores(counts, by)
     recall, precision = ratio(F.col("tp"), F.col("p_all")), F.col("tp") / F.col("m").cast("double")
     scored = r.select(
         *by, "score", "tp", "m", "p_all", recall.alias("recall"),
@@ -177,8 +190,7 @@ def composite_metric(df: DataFrame, *, by: Sequence[str] = ("model",), y: str =
     """Weighted sum of ROC-AUC, average precision and accuracy."""
     counts = score_counts(df, by=by, y=y, p=p)
     keys = list(by)
-    joined = (roc_auc(counts, by).join(average_precision(counts, by), keys)
-              .join(basic_metrics(df, by=by, y=y, p=p), keys))
+    joined = ranking_metrics(counts, by).join(basic_metrics(df, by=by, y=y, p=p), keys)
     w = weights
     return joined.select(*by, (w[0] * F.col("roc_auc") + w[1] * F.col("pr_auc")
                                + w[2] * F.col("accuracy")).alias("composite"))
@@ -192,7 +204,7 @@ def all_metrics(df: DataFrame, *, by: Sequence[str] = ("model",), y: str = "y_tr
     """
     keys = list(by)
     counts = score_counts(df, by=by, y=y, p=p)
-    ranked = ranked_scores(counts, by).join(_group_totals(counts, by), keys)
+    ranked = ranked_scores(counts, by)
     s, pos, n = F.col("score"), F.col("pos"), F.col("n")
     neg, tp, m, p_all, n_all = n - pos, F.col("tp"), F.col("m"), F.col("p_all"), F.col("n_all")
     hit = s >= 0.5
@@ -246,14 +258,14 @@ def cv_summary(df: DataFrame, *, by: Sequence[str] = ("model",), fold: str = "fo
 
 def roc_curve(counts: DataFrame, by: Sequence[str]) -> DataFrame:
     """False and true positive rate per distinct score."""
-    r = ranked_scores(counts, by).join(_group_totals(counts, by), list(by))
+    r = ranked_scores(counts, by)
     return r.select(*by, "score", ratio(F.col("m") - F.col("tp"), F.col("n_all") - F.col("p_all")).alias("fpr"),
                     ratio(F.col("tp"), F.col("p_all")).alias("tpr"))
 
 
 def pr_curve(counts: DataFrame, by: Sequence[str]) -> DataFrame:
     """Precision and recall per distinct score."""
-    r = ranked_scores(counts, by).join(_group_totals(counts, by), list(by))
+    r = ranked_scores(counts, by)
     return r.select(*by, "score", ratio(F.col("tp"), F.col("m")).alias("precision"),
                     ratio(F.col("tp"), F.col("p_all")).alias("recall"))
 

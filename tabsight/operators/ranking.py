@@ -40,8 +40,8 @@ def with_cells(df: DataFrame, value: str, edges: Sequence[float], name: str = "c
 
 
 def running_totals(df: DataFrame, *, by: Sequence[str], value: str, sums: Mapping[str, str],
-                   descending: bool = False, cell: str = "cell") -> DataFrame:
-    """Inclusive running sums within ``by`` along ``value``.
+                   descending: bool = False, cell: str = "cell", totals: Mapping[str, str] | None = None) -> DataFrame:
+    """Inclusive running sums within ``by`` along ``value``, and whole-group sums if ``totals`` names them.
 
     ``df`` has one row per (by, value) and a ``cell`` column that is monotone in ``value``. ``sums``
     maps a summed column to the name of its running total.
@@ -53,7 +53,9 @@ def running_totals(df: DataFrame, *, by: Sequence[str], value: str, sums: Mappin
 
     per_cell = df.groupBy(*by, cell).agg(*[F.sum(s).alias(s) for s in sums])
     before = W.partitionBy(*by).orderBy(ordered(cell)).rowsBetween(W.unboundedPreceding, -1)
-    offsets = per_cell.select(*by, cell, *[F.coalesce(F.sum(s).over(before), F.lit(0)).alias(f"_{s}_0") for s in sums])
+    offsets = per_cell.select(
+        *by, cell, *[F.coalesce(F.sum(s).over(before), F.lit(0)).alias(f"_{s}_0") for s in sums],
+        *[F.sum(s).over(W.partitionBy(*by)).alias(t) for s, t in (totals or {}).items()])
     inside = W.partitionBy(*by, cell).orderBy(ordered(value)).rowsBetween(W.unboundedPreceding, 0)
     out = df.withColumns({t: F.sum(s).over(inside) for s, t in sums.items()}).join(offsets, [*by, cell])
     return (out.withColumns({t: F.col(t) + F.col(f"_{s}_0") for s, t in sums.items()})

@@ -25,11 +25,9 @@ def _supports(freq: DataFrame, by: Sequence[str], side: str) -> DataFrame:
 
 
 def _finish(split: DataFrame, freq: DataFrame, by: Sequence[str]) -> DataFrame:
-    """Attach both sides' supports and work out confidence and lift."""
-    out = (split.join(_supports(freq, by, "antecedents"), [*by, "antecedents"])
-           .join(_supports(freq, by, "consequents"), [*by, "consequents"]))
-    conf = F.col("support") / F.col("antecedent_support")
-    return (out.withColumn("confidence", conf)
+    """Attach the antecedents' supports and work out confidence and lift."""
+    out = split.join(_supports(freq, by, "antecedents"), [*by, "antecedents"])
+    return (out.withColumn("confidence", F.col("support") / F.col("antecedent_support"))
             .withColumn("lift", F.col("confidence") / F.col("consequent_support"))
             .select(*by, "antecedents", "consequents", "antecedent_support", "consequent_support", "support",
                     "confidence", "lift"))
@@ -37,9 +35,16 @@ def _finish(split: DataFrame, freq: DataFrame, by: Sequence[str]) -> DataFrame:
 
 def target_rules(freq: DataFrame, target_item: str, min_confidence: float = 0.6, by: Sequence[str] = ()) -> DataFrame:
     """Rules X -> {target} from itemsets that hold the target."""
-    with_target = freq.filter(F.array_contains("items", target_item) & (F.size("items") > 1))
-    split = with_target.select(*by, F.array_remove("items", target_item).alias("antecedents"),
-                               F.array(F.lit(target_item)).alias("consequents"), "support")
+    alone = freq.filter((F.size("items") == 1) & (F.col("items")[0] == target_item))
+    split = freq.filter(F.array_contains("items", target_item) & (F.size("items") > 1)).select(
+        *by, F.array_remove("items", target_item).alias("antecedents"),
+        F.array(F.lit(target_item)).alias("consequents"), "support")
+    if by:
+        split = split.join(small_side(alone.select(*by, F.col("support").alias("consequent_support"))), list(by))
+    else:
+        # one consequent, one number
+        row = alone.first()
+        split = split.withColumn("consequent_support", F.lit(row["support"] if row else None).cast("double"))
     return _finish(split, freq, by).filter(F.col("confidence") >= min_confidence)
 
 
@@ -57,6 +62,7 @@ def general_rules(freq: DataFrame, *, metric: str = "lift", min_threshold: float
     split = (freq.filter(F.size("items") > 1)
              .select(*by, "items", "support", F.explode(proper_subsets("items")).alias("antecedents"))
              .select(*by, "antecedents", F.array_except("items", "antecedents").alias("consequents"), "support"))
+    split = split.join(_supports(freq, by, "consequents"), [*by, "consequents"])
     return _finish(split, freq, by).filter(F.col(metric) >= min_threshold)
 
 

@@ -113,12 +113,13 @@ def _stat(c: str) -> str:
 
 
 @query("feature_audit", with_views(FEAT, SQL_MI, sql_auc(FEATURES, "v_feat", "target")) + f"""
-SELECT "column", round(mutual_info, 6) AS mutual_info, round(auc, 6) AS auc, round(variance, 6) AS variance, is_binary,
+SELECT "column", round(mutual_info, 6) AS mutual_info, round(auc, 6) AS auc, round(variance, 2) AS variance, is_binary,
   "distinct", "distinct"<=1 AS constant, "distinct"<=greatest(2, floor(rows*0.001)) AS near_constant,
   "distinct">greatest(2, floor(rows*0.001)) AND "column" NOT IN ('big') AS selected
 FROM ({' UNION ALL '.join(_stat(c) for c in FEATURES)}) JOIN mi USING ("column") JOIN auc USING ("column")""")
 def feature_audit(spark, sf_dir):
-    return A.feature_audit(features(spark, sf_dir), FEATURES, "target", drop=["big"])
+    audit = A.feature_audit(features(spark, sf_dir), FEATURES, "target", drop=["big"])
+    return audit.withColumn("variance", F.round("variance", 2))
 
 
 @query("redundant_features")

@@ -44,8 +44,7 @@ SELECT 'n_chars' AS model,
   round(sum(pos*tp/m::double)/max(p_all), 6) AS pr_auc FROM r""")
 def text_quality_ranking(spark, sf_dir):
     t = text_labels(spark, sf_dir).withColumn("model", F.lit("n_chars"))
-    c = M.score_counts(t, by=BY, y="y", p="score")
-    return M.roc_auc(c, BY).join(M.average_precision(c, BY), BY)
+    return M.ranking_metrics(M.score_counts(t, by=BY, y="y", p="score"), BY).drop("distinct")
 
 
 @query("basic_metrics", with_views(PRED_LONG) + """

@@ -56,18 +56,28 @@ def calibrate_platt(spark, sf_dir):
     return T.calibrate(p.filter("fold = 4"), "platt", fit_on=p.filter("fold < 4"))
 
 
-@query("calibrate_isotonic")
+def sql_isotonic(src: str, by: str) -> str:
+    """Isotonic values per distinct score as a CTE ``iso`` (by, p, v): max over starts of min over ends of the means."""
+    return f"""ic AS (SELECT {by}, y_pred AS p, sum(y_true)::double AS pos, count(*)::double AS w,
+  row_number() OVER (PARTITION BY {by} ORDER BY y_pred) AS i FROM {src} GROUP BY {by}, y_pred),
+cum AS (SELECT *, sum(pos) OVER q AS cp, sum(w) OVER q AS cw FROM ic
+  WINDOW q AS (PARTITION BY {by} ORDER BY i ROWS UNBOUNDED PRECEDING)),
+ends AS (SELECT j.{by}, j.i AS j, k.i AS k, min((k.cp-j.cp+j.pos)/(k.cw-j.cw+j.w)) OVER (PARTITION BY j.{by}, j.i
+  ORDER BY k.i DESC ROWS UNBOUNDED PRECEDING) AS m FROM cum j JOIN cum k ON j.{by}=k.{by} AND j.i<=k.i),
+iso AS (SELECT c.{by}, c.p, e.v FROM cum c JOIN (SELECT {by}, k, max(m) AS v FROM ends GROUP BY 1, 2) e
+  ON c.{by}=e.{by} AND c.i=e.k)"""
+
+
+@query("calibrate_isotonic", with_views(PRED_LONG, "fit AS (SELECT * FROM v_long WHERE model='a' AND fold<4)",
+                                        sql_isotonic("fit", "model")) + """
+SELECT id, fold, t.model, y_true, round(CASE WHEN a.p IS NULL THEN b.v WHEN b.p IS NULL OR a.p=b.p THEN a.v
+  ELSE a.v+(b.v-a.v)*(y_pred-a.p)/(b.p-a.p) END, 6) AS y_pred FROM (SELECT * FROM v_long WHERE model='a' AND fold=4) t
+ASOF LEFT JOIN iso a ON t.model=a.model AND t.y_pred>=a.p ASOF LEFT JOIN iso b ON t.model=b.model AND t.y_pred<=b.p""")
 def calibrate_isotonic(spark, sf_dir):
     p = predictions_long(spark, sf_dir).filter("model = 'a'")
     return T.calibrate(p.filter("fold = 4"), "isotonic", fit_on=p.filter("fold < 4"))
 
 
-@query("calibration_report")
-def calibration_report(spark, sf_dir):
-    p = predictions_long(spark, sf_dir).filter("model = 'b'")
-    return T.calibration_report(p, "isotonic", folds=range(5))
-
-
 def _sql_side(tag: str) -> str:
     return f"""{tag}0 AS (SELECT model, fold, y_true AS y, {tag} AS p FROM ver UNION ALL
   SELECT model, -1, y_true, {tag} FROM ver),
@@ -76,11 +86,22 @@ def _sql_side(tag: str) -> str:
   count(*) AS n FROM {tag}0 GROUP BY model, fold, least(floor(p*15), 14)) GROUP BY 1, 2)"""
 
 
-@query("calibration_delta", with_views(PRED_LONG, """ver AS (SELECT model, fold, y_true, y_pred AS pre,
-  least(greatest(y_pred*1.1-0.0502, 0), 1)::double AS post FROM v_long)""", _sql_side("pre"), _sql_side("post")) + """
+DELTA = """
 SELECT a.model, a.fold, round(a.brier, 6) AS brier_pre, round(b.ece, 6) AS ece_pre, round(c.brier, 6) AS brier_post,
   round(d.ece, 6) AS ece_post, round(c.brier-a.brier, 6) AS delta_brier, round(d.ece-b.ece, 6) AS delta_ece
-FROM preb a JOIN pree b USING (model, fold) JOIN postb c USING (model, fold) JOIN poste d USING (model, fold)""")
+FROM preb a JOIN pree b USING (model, fold) JOIN postb c USING (model, fold) JOIN poste d USING (model, fold)"""
+
+
+@query("calibration_report", with_views(PRED_LONG, "own AS (SELECT * FROM v_long WHERE model='b')",
+                                        sql_isotonic("own", "fold"), """ver AS (SELECT model, o.fold, y_true, y_pred AS pre,
+  v AS post FROM own o JOIN iso ON o.fold=iso.fold AND o.y_pred=iso.p)""", _sql_side("pre"), _sql_side("post")) + DELTA)
+def calibration_report(spark, sf_dir):
+    p = predictions_long(spark, sf_dir).filter("model = 'b'")
+    return T.calibration_report(p, "isotonic", folds=range(5))
+
+
+@query("calibration_delta", with_views(PRED_LONG, """ver AS (SELECT model, fold, y_true, y_pred AS pre,
+  least(greatest(y_pred*1.1-0.0502, 0), 1)::double AS post FROM v_long)""", _sql_side("pre"), _sql_side("post")) + DELTA)
 def calibration_delta(spark, sf_dir):
     p = predictions_long(spark, sf_dir)
     post = F.least(F.greatest(F.col("y_pred") * 1.1 - 0.0502, F.lit(0.0)), F.lit(1.0))
