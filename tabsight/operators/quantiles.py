@@ -3,8 +3,8 @@
 ``percentile()`` keeps every distinct value of a column in one aggregation buffer. Here a mergeable
 sketch first brackets each wanted rank (one pass, a few numbers back to the driver); a second pass
 counts the rows outside the brackets and groups only the values inside them by value, with map-side
-combine. What is left per column is about ``6 / accuracy`` of the rows, so the final running count is
-small at any input size, and the answer is exact, not approximate.
+combine. What is left per wanted rank is about ``6 / accuracy`` of the rows; where even that is much, the
+running count goes cell by cell. The answer is exact, not approximate.
 """
 
 from __future__ import annotations
@@ -18,11 +18,12 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from tabsight.functions.expressions import finite
-from tabsight.operators.ranking import with_cells
+from tabsight.operators.ranking import cell_edges, running_totals, with_cells
 from tabsight.operators.small import fetch_bounded
 
 ACCURACY = 20_000
 MAX_GROUPS = 100_000
+MAX_WINDOW_ROWS = 2_000_000
 
 
 def _bracket_edges(n: int, sketch: list[float] | None, k: int, accuracy: int) -> list[float]:
@@ -89,6 +90,14 @@ def ranked_values(df: DataFrame, columns: Sequence[str], probs: Sequence[float],
               .groupBy(*by, "column", "cell", "value")
               .agg(F.sum(F.col("present").cast("bigint")).alias("m")))
     group = [*by, "column"]
+    expected = 2 * slack * k * max([r[f"n{j}"] for r in rows for j in range(len(columns))], default=0)
+    if expected > MAX_WINDOW_ROWS:
+        # too many for one task per column: number the rows cell by cell instead
+        edges_in = cell_edges(counts.filter(F.col("value").isNotNull()), "value")
+        slot = F.col("cell") * len(edges_in) + F.coalesce(F.col("part") + 1, F.lit(0))
+        placed = with_cells(counts, "value", edges_in, "part").withColumn("slot", slot)
+        return running_totals(placed, by=group, value="value", sums={"m": "upto"}, cell="slot",
+                              totals={"m": "n"}).drop("part", "slot")
     order = W.partitionBy(*group).orderBy("cell", "value").rowsBetween(W.unboundedPreceding, 0)
     return (counts.withColumn("upto", F.sum("m").over(order))
             .withColumn("n", F.sum("m").over(W.partitionBy(*group))))

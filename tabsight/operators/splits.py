@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 
 from tabsight.functions.expressions import hash32
 
-CELL_BITS = 12
+CELL_BITS = 16
 
 
 def hash_positions(df: DataFrame, by: Sequence[str], keys: Sequence[str], seed: str,

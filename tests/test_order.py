@@ -4,6 +4,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
+from tabsight.operators import quantiles
 from tabsight.operators.quantiles import exact_quantiles, quantile_values
 from tabsight.operators.ranking import cell_edges, running_totals, with_cells
 from tabsight.operators.splits import bootstrap_weights, hash_positions, poisson_cuts, stratified_folds, stratified_split
@@ -39,6 +40,20 @@ def test_quantiles_by_group_ignore_missing(spark, accuracy):
     assert got["c"] == (0, [None, None])
 
 
+def test_quantiles_cell_by_cell(spark, monkeypatch):
+    monkeypatch.setattr(quantiles, "MAX_WINDOW_ROWS", 0)
+    rng = np.random.default_rng(12)
+    rows = [(g, float(v)) for g in ("a", "b") for v in np.round(rng.exponential(20, 1500), 1)]
+    df = spark.createDataFrame(rows, "g string, x double").repartition(4)
+    for accuracy in (50, 20_000):
+        got = {r["g"]: list(r["q"]) for r in exact_quantiles(df, ["x"], PROBS, by=["g"], accuracy=accuracy).collect()}
+        for g in ("a", "b"):
+            want = np.percentile([v for k, v in rows if k == g], [100 * p for p in PROBS])
+            assert got[g] == pytest.approx(list(want))
+        assert quantile_values(df, ["x"], PROBS, accuracy=accuracy)["x"] == pytest.approx(
+            list(np.percentile([v for _, v in rows], [100 * p for p in PROBS])))
+
+
 @pytest.mark.parametrize("n", [1, 2, 3, 4])
 def test_quantiles_of_few_rows(spark, n):
     x = [3.0, 1.0, 10.0, 2.0][:n]
@@ -64,7 +79,7 @@ def test_running_totals_match_a_plain_cumsum(spark, cells, descending):
             assert got[(g, v)] == total
 
 
-@pytest.mark.parametrize("bits", [2, 12])
+@pytest.mark.parametrize("bits", [2, 16])
 def test_hash_positions_are_a_permutation_per_class(spark, bits):
     df = spark.range(2000).select(F.col("id").alias("k"), (F.col("id") % 3 == 0).cast("int").alias("y"))
     rows = hash_positions(df, ["y"], ["k"], "s", cell_bits=bits).collect()
