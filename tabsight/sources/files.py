@@ -5,6 +5,7 @@ from __future__ import annotations
 import tempfile
 import uuid
 from collections.abc import Sequence
+from functools import cache
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -13,6 +14,11 @@ from pyspark.sql import types as T
 _CHECKPOINT_KEY = "spark.checkpoint.dir"
 
 
+@cache
+def _local_folder() -> str:
+    return tempfile.mkdtemp(prefix="tabsight-")
+
+
 def shared_folder(spark: SparkSession) -> str:
     """A fresh path below the folder the cluster names in ``spark.checkpoint.dir``.
 
@@ -22,8 +28,7 @@ def shared_folder(spark: SparkSession) -> str:
     if not base:
         if not spark.sparkContext.master.startswith("local"):
             raise ValueError(f"set {_CHECKPOINT_KEY} to a folder all executors share")
-        base = tempfile.mkdtemp(prefix="tabsight-")
-        spark.conf.set(_CHECKPOINT_KEY, base)
+        base = _local_folder()
     return f"{base.rstrip('/')}/tabsight-{uuid.uuid4().hex}"
 
 

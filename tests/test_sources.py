@@ -61,3 +61,11 @@ def test_manifest(spark):
     r = P.prediction_manifest(df).first()
     assert (r["rows"], r["ids"], r["folds"], r["columns"]) == (3, 2, "0,1", 4)
     assert r["positive_ratio"] == pytest.approx(1 / 3)
+
+
+def test_shared_folder_is_below_the_named_one(spark, tmp_path):
+    class Session:
+        conf = {"spark.checkpoint.dir": str(tmp_path)}
+
+    a, b = S.shared_folder(Session()), S.shared_folder(Session())
+    assert a != b and a.startswith(str(tmp_path)) and S.shared_folder(spark) != S.shared_folder(spark)
