@@ -16,8 +16,6 @@ SQL_PLACE = f"""v_placed AS (SELECT *, row_number() OVER (PARTITION BY target OR
   ('0x'||substr(md5(concat_ws(':', '42', {KEYS})), 1, 8))::bigint, {KEYS}) AS rn, count(*) OVER (PARTITION BY target) AS n
   FROM v_measure)"""
 SQL_PLACED = MEASURE + ", " + SQL_PLACE
-SQL_SPLIT = SQL_PLACE + f""", v_split AS (SELECT {KEYS},
-  CASE WHEN rn<=round(n*0.2::double) THEN 'test' ELSE 'train' END AS split FROM v_placed)"""
 
 
 def _measure(spark, sf_dir):
