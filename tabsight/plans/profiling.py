@@ -92,7 +92,7 @@ def duplicate_flag(spark, sf_dir):
 
 SQL_DUP_FLAGS = MEASURE_DUP + """, v_flags AS (SELECT *, lo>hi-1 AS flag_low_gt_high, hi-1>8 AS flag_high_extreme,
   lo<1 AS flag_low_extreme, hi-1<0 AS flag_high_negative, lo<0 AS flag_low_negative,
-  count(*) OVER (PARTITION BY l_orderkey, l_linenumber, l_partkey, l_suppkey)>1 AS flag_duplicate FROM v_dup)
+  count(*) OVER (PARTITION BY l_orderkey, l_linenumber, l_partkey, l_suppkey, l_quantity, l_extendedprice, hi, lo, l_linestatus, target)>1 AS flag_duplicate FROM v_dup)
 """
 
 
@@ -150,8 +150,8 @@ UNION ALL SELECT 'missing', '*', sum((l_quantity IS NULL)::int+(l_linestatus IS
 UNION ALL SELECT 'outlier', 'l_quantity', sum((l_quantity<3 OR l_quantity>48)::int), 1, 'Low' FROM d
 UNION ALL SELECT 'outlier', 'l_extendedprice', sum((l_extendedprice<0)::int), 1, 'Low' FROM d
 UNION ALL SELECT 'class_imbalance', 'target', abs(sum(target)-sum(1-target)), 1, 'High' FROM d
-UNION ALL SELECT 'duplicate', '*', sum(m-1), 1, 'Low' FROM (SELECT count(*) AS m FROM d GROUP BY l_orderkey,
-  l_linenumber, l_partkey, l_suppkey))
+UNION ALL SELECT 'duplicate', '*', sum(m-1), 1, 'Low' FROM (SELECT count(*) AS m FROM d GROUP BY
+  l_orderkey, l_linenumber, l_partkey, l_suppkey, l_quantity, l_extendedprice, hi, lo, l_linestatus, target))
 SELECT category, feature, n::bigint AS n, round(100*n/(r*w)::double, 6) AS pct, severity FROM i, t WHERE n>0""")
 def quality_report(spark, sf_dir):
     m = measure_null(spark, sf_dir)
