@@ -2,41 +2,56 @@
 
 from __future__ import annotations
 
-import tempfile
 import uuid
 from collections.abc import Sequence
-from functools import cache
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 _CHECKPOINT_KEY = "spark.checkpoint.dir"
-
-
-@cache
-def _local_folder() -> str:
-    return tempfile.mkdtemp(prefix="tabsight-")
+_CLEANUP_KEY = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
 
 
 def shared_folder(spark: SparkSession) -> str:
-    """A fresh path below the folder the cluster names in ``spark.checkpoint.dir``.
+    """A fresh path below the folder named in ``spark.checkpoint.dir``, else below the warehouse.
 
-    Where nothing is named, only a local-mode session may use a folder of its own.
+    Both are folders that all executors share; local and cluster sessions take the same path. The path is
+    deleted when the session's JVM ends.
     """
     base = spark.conf.get(_CHECKPOINT_KEY, None) or spark.sparkContext.getConf().get(_CHECKPOINT_KEY)
-    if not base:
-        if not spark.sparkContext.master.startswith("local"):
-            raise ValueError(f"set {_CHECKPOINT_KEY} to a folder all executors share")
-        base = _local_folder()
-    return f"{base.rstrip('/')}/tabsight-{uuid.uuid4().hex}"
+    path = f"{(base or spark.conf.get('spark.sql.warehouse.dir')).rstrip('/')}/tabsight-{uuid.uuid4().hex}"
+    _hadoop(spark, path, "deleteOnExit")
+    return path
+
+
+def _hadoop(spark: SparkSession, path: str, method: str, *more: object) -> None:
+    target = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    fs = target.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    getattr(fs, method)(target, *more)
 
 
 def materialised(df: DataFrame) -> DataFrame:
-    """Written once and read back: later stages reuse it and lost executors do not recompute it."""
-    path = shared_folder(df.sparkSession)
-    df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    """Written once and read back: later stages reuse it and lost executors do not recompute it.
+
+    The shuffle files of the write are given up as soon as it has ended, where Spark can do so.
+    """
+    spark, path = df.sparkSession, shared_folder(df.sparkSession)
+    before = spark.conf.get(_CLEANUP_KEY, None)
+    spark.conf.set(_CLEANUP_KEY, "true")
+    try:
+        df.write.parquet(path)
+    finally:
+        spark.conf.unset(_CLEANUP_KEY) if before is None else spark.conf.set(_CLEANUP_KEY, before)
+    out = spark.read.schema(df.schema).parquet(path)
+    out._tabsight_path = path
+    return out
+
+
+def discard(*tables: DataFrame) -> None:
+    """Delete tables made by ``materialised`` that nothing will read any more."""
+    for table in tables:
+        _hadoop(table.sparkSession, table._tabsight_path, "delete", True)
 
 
 def sniff_delimiter(spark: SparkSession, path: str) -> str:
