@@ -31,7 +31,7 @@ def _hadoop(spark: SparkSession, path: str, method: str, *more: object) -> None:
     getattr(fs, method)(target, *more)
 
 
-def materialised(df: DataFrame) -> DataFrame:
+def materialised(df: DataFrame, compression: str = "snappy") -> DataFrame:
     """Written once and read back: later stages reuse it and lost executors do not recompute it.
 
     The shuffle files of the write are given up as soon as it has ended, where Spark can do so.
@@ -40,7 +40,7 @@ def materialised(df: DataFrame) -> DataFrame:
     before = spark.conf.get(_CLEANUP_KEY, None)
     spark.conf.set(_CLEANUP_KEY, "true")
     try:
-        df.write.parquet(path)
+        df.write.option("compression", compression).parquet(path)
     finally:
         spark.conf.unset(_CLEANUP_KEY) if before is None else spark.conf.set(_CLEANUP_KEY, before)
     out = spark.read.schema(df.schema).parquet(path)
