@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tabsight.llm import decontaminate, packing, sharding, token_files
+from tabsight.llm import decontaminate, exact_repeats, packing, sharding, substring_dedup, token_files
 from tabsight.sources.files import shared_folder
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -50,6 +50,11 @@ def op7_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(_table(spark, sf_dir, "documents"), byte_bpe(), end_id=0, capacity=2048)
 
 
+@_query
+def op8_super_kmer_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return substring_dedup.remove_repeats(_table(spark, sf_dir, "documents")).drop("kept")
+
+
 @_query
 def op9_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = decontaminate.decontaminate(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "benchmark"))
@@ -58,6 +63,11 @@ def op9_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
                         decontaminate.is_contaminated().alias("contaminated"))
 
 
+@_query
+def op10_prefix_free_parsing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return exact_repeats.remove_repeated_bytes(_table(spark, sf_dir, "documents")).drop("kept")
+
+
 _LOWER = "translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
 
 ORACLES["op9_decontamination"] = f"""
@@ -75,3 +85,16 @@ SELECT doc_id, CAST(len(w) AS BIGINT) AS n_words, coalesce(n_hit, 0) AS n_hit, c
        sha256(coalesce(items, '')) AS items_sha256, coalesce(n_hit, 0) > 0 AND 20 * coalesce(n_hit, 0) >= len(w) AS contaminated
 FROM d LEFT JOIN hit USING (doc_id) LEFT JOIN own USING (doc_id)
 """
+
+ORACLES["op8_super_kmer_dedup"] = """
+WITH d AS (SELECT doc_id, coalesce(regexp_extract_all(text, '[^\\x20\\x09-\\x0D]+'), []) AS w FROM documents),
+t AS (SELECT doc_id, k, array_to_string(w[k : k + 12], ' ') AS window_words
+      FROM (SELECT doc_id, w, unnest(range(1, CAST(len(w) - 11 AS BIGINT))) AS k FROM d)),
+f AS (SELECT window_words, min(doc_id) AS first_doc FROM t GROUP BY window_words),
+gone AS (SELECT DISTINCT doc_id, unnest(range(k, k + 13)) AS j FROM t JOIN f USING (window_words) WHERE first_doc < doc_id),
+words AS (SELECT doc_id, j, w[j] AS word FROM (SELECT doc_id, w, unnest(range(1, CAST(len(w) + 1 AS BIGINT))) AS j FROM d)),
+kept AS (SELECT doc_id, count(*) AS n_kept, string_agg(word, ' ' ORDER BY j) AS body
+         FROM words ANTI JOIN gone USING (doc_id, j) GROUP BY doc_id)
+SELECT doc_id, CAST(len(w) AS BIGINT) AS n_words, CAST(len(w) - coalesce(n_kept, 0) AS BIGINT) AS n_removed, sha256(coalesce(body, '')) AS kept_sha256
+FROM d LEFT JOIN kept USING (doc_id)
+"""
