@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tabsight.llm import decontaminate, exact_repeats, jaccard_join, packing, sharding, substring_dedup, token_files
+from tabsight.llm import additive_model, decontaminate, exact_repeats, jaccard_join, packing, quality_rules, sharding, substring_dedup, token_files, url_filter
 from tabsight.sources.files import shared_folder
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -30,6 +30,21 @@ def byte_bpe() -> str:
     return public_tokenizers.path("byte_bpe_50k.json")
 
 
+#: (verdict, rule): a host with all its subdomains, and the start of a path.
+URL_RULES = [("allow", "com/"), ("block", "example.com/en/"), ("allow", "www.example.com/en/"), ("block", "net/es/"), ("block", "net/fr/")]
+
+
+@_query
+def op1_markov_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return url_filter.judge(_table(spark, sf_dir, "pages"), URL_RULES).withColumn("score", F.round("score", 6))
+
+
+@_query
+def op2_decision_list(spark: SparkSession, sf_dir: str) -> DataFrame:
+    judged = quality_rules.judge(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "labels"))
+    return judged.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "rule", "kept")
+
+
 @_query
 def op3_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     folder = shared_folder(spark)
@@ -50,6 +65,11 @@ def op5_lsh_forest_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return jaccard_join.near_duplicates(_table(spark, sf_dir, "documents"))
 
 
+@_query
+def op6_additive_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return additive_model.classify(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "labels"))
+
+
 @_query
 def op7_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(_table(spark, sf_dir, "documents"), byte_bpe(), end_id=0, capacity=2048)
@@ -73,6 +93,8 @@ def op10_prefix_free_parsing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_repeats.remove_repeated_bytes(_table(spark, sf_dir, "documents")).drop("kept")
 
 
+ORACLES["op1_markov_url_filter"] = url_filter.oracle(URL_RULES)
+
 _LOWER = "translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
 
 ORACLES["op9_decontamination"] = f"""
