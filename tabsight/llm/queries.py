@@ -36,7 +36,7 @@ URL_RULES = [("allow", "com/"), ("block", "example.com/en/"), ("allow", "www.exa
 
 @_query
 def op1_markov_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return url_filter.judge(_table(spark, sf_dir, "pages"), URL_RULES).withColumn("score", F.round("score", 6))
+    return url_filter.judge(_table(spark, sf_dir, "pages"), URL_RULES).withColumn("score", F.floor("score"))
 
 
 @_query

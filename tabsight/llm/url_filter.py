@@ -101,7 +101,8 @@ def threshold(held: DataFrame) -> int:
 
 
 def judge(pages: DataFrame, rules: Rules, id_col: str = "page_id", url_col: str = "url") -> DataFrame:
-    """(id, host, path, rule, verdict, score) for every page; score is the mean log ratio per character.
+    """(id, host, path, rule, verdict, score) for every page; score is the mean log ratio per
+    character, in millionths of a nat.
 
     A null url, or one without "://", has an empty host and path and is judged by the model from these. Null ids
     are kept; repeated rows are judged alike and counted as often as they stand; without urls under both kinds of
@@ -119,7 +120,7 @@ def judge(pages: DataFrame, rules: Rules, id_col: str = "page_id", url_col: str
     scored = materialised(d.join(total, "text").withColumn("mean", F.col("total") / (F.length("text") + 1)))
     least = threshold(scored.filter("held and judged is not null").select("mean", "judged"))
     by_model = F.when(F.col("mean") >= F.lit(float(least * STEP)), "allow").otherwise("block")
-    return scored.select(id_col, "host", "path", "rule", F.coalesce("judged", by_model).alias("verdict"), (F.col("mean") / 1e6).alias("score"))
+    return scored.select(id_col, "host", "path", "rule", F.coalesce("judged", by_model).alias("verdict"), F.col("mean").alias("score"))
 
 
 def oracle(rules: Rules) -> str:
@@ -139,8 +140,8 @@ def oracle(rules: Rules) -> str:
                          + (f"s.{c}_p" if k else f"CAST({UNIFORM} AS DOUBLE)") + f" AS {c}_s" for c in ("accepted", "rejected"))
         levels.append(f"p{k} AS (SELECT gram, {', '.join(p)} FROM (SELECT t.gram, {sums} FROM t{k} t {shorter}))")
     return f"""
-WITH u AS (SELECT page_id, coalesce(url, '') AS url, instr(coalesce(url, ''), '://') AS at FROM pages),
-r AS (SELECT page_id, url, CASE WHEN at > 0 THEN substr(url, at + 3) ELSE '' END AS rest FROM u),
+WITH u AS (SELECT page_id, coalesce(url, '') AS url, instr(coalesce(url, ''), '://') AS mark FROM pages),
+r AS (SELECT page_id, url, CASE WHEN mark > 0 THEN substr(url, mark + 3) ELSE '' END AS rest FROM u),
 h AS (SELECT page_id, url, translate(regexp_extract(rest, '^[^/?#]*'), {lower}) AS host,
              regexp_extract(substr(rest, length(regexp_extract(rest, '^[^/?#]*')) + 1), '^[^?#]*') AS path FROM r),
 m AS (SELECT page_id, host, path, host || path AS body, CASE {case} END AS rule, CAST('0x' || substr(md5(url), 1, 4) AS INT) % {FOLDS} = 0 AS held FROM h),
@@ -156,5 +157,5 @@ c AS (SELECT greatest(-{REACH}, least({REACH}, CAST(floor(mean / {STEP}) AS INT)
 w AS (SELECT t, sum(CASE WHEN step >= t THEN a ELSE 0 END) * (SELECT sum(b) FROM c) + sum(CASE WHEN step < t THEN b ELSE 0 END) * (SELECT sum(a) FROM c) AS worth
       FROM c, range(-{REACH}, {REACH} + 1) AS g(t) GROUP BY t),
 l AS (SELECT coalesce((SELECT t FROM w WHERE (SELECT min(x) FROM (SELECT sum(a) AS x FROM c UNION ALL SELECT sum(b) FROM c)) > 0 ORDER BY worth DESC, abs(t), t LIMIT 1), 0) AS least)
-SELECT page_id, host, path, rule, coalesce(judged, CASE WHEN mean >= least * {STEP} THEN 'allow' ELSE 'block' END) AS verdict, mean / 1e6 AS score FROM z, l
+SELECT page_id, host, path, rule, coalesce(judged, CASE WHEN mean >= least * {STEP} THEN 'allow' ELSE 'block' END) AS verdict, CAST(floor(mean) AS BIGINT) AS score FROM z, l
 """
