@@ -1,8 +1,50 @@
-"""The corpus pipeline: stages that each apply one operator of tabsight.llm to what the stage before kept."""
+"""The corpus pipeline: five stages, each one operator of tabsight.llm applied to all that the stage before kept."""
 
-STAGES = []
+from __future__ import annotations
+
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from tabsight.llm import decontaminate, jaccard_join, packing, quality_rules, substring_dedup
+from tabsight.llm.queries import byte_bpe
+from tabsight.sources.files import materialised
+
+
+def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that the base rules or the learned decision list reject go."""
+    return quality_rules.keep_good(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"))
+
+
+def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """One document of each group of copies and near copies stays: that with the smallest id."""
+    return jaccard_join.one_of_each(docs)
+
+
+def repeated_passages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Words in windows that a document with a smaller id holds as well are cut out; every document stays."""
+    return substring_dedup.trimmed(docs).withColumn("n_chars", F.coalesce(F.length("text").cast("long"), F.col("n_chars"))).select(*docs.columns)
+
+
+def benchmark(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that hold benchmark items in one word of twenty or more go."""
+    return decontaminate.clean(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
+
+
+def packed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Places of all documents' pieces in sequences of 2048 tokens."""
+    return packing.pack(docs, byte_bpe(), end_id=0, capacity=2048)
+
+
+STAGES = [("quality rules", quality), ("n-gram jaccard join", near_duplicates), ("substring dedup", repeated_passages),
+          ("benchmark decontamination", benchmark), ("best-fit packing", packed)]
+
+#: Learned rules and tokens are beyond SQL; tests/llm/test_pipeline.py runs a brute-force version.
 ORACLE_SQL = None
 
 
-def run(spark, sf_dir):
-    return spark.read.parquet(f"{sf_dir}/documents.parquet")
+def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All stages in turn, each written and read again as the next one's documents."""
+    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    for _, stage in STAGES[:-1]:
+        docs = materialised(stage(spark, docs, sf_dir))
+    return STAGES[-1][1](spark, docs, sf_dir)

@@ -90,37 +90,46 @@ def item_blocks(benchmark: DataFrame, item_col: str, text_col: str, block_bytes:
 
 def decontaminate(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text",
                   item_col: str = "item_id", item_text_col: str = "text", window: int = WINDOW,
-                  block_bytes: int = BLOCK_BYTES) -> DataFrame:
-    """Adds n_words, n_hit, items (those with occurring patterns) and spans (hit stretches, character offsets).
+                  block_bytes: int = BLOCK_BYTES, carry: tuple[str, ...] = ()) -> DataFrame:
+    """(id, the carried columns, n_words, n_hit, items, spans) for every document.
 
-    The id column is returned with them; other columns are not read. Null, empty and blank texts have no words;
-    a null id is kept; repeated rows are judged one by one; items that are equal are all named; an empty
-    benchmark hits nothing; an empty table gives no rows. Work per text is linear in its length.
+    items are those with occurring patterns, spans the hit stretches as character offsets. Other columns are not
+    read. Null, empty and blank texts have no words; a null id is kept; repeated rows are judged one by one; items
+    that are equal are all named; an empty benchmark hits nothing; an empty table gives no rows. Work per text is
+    linear in its length.
     """
-    kind = id_column(docs, id_col).schema[id_col].dataType.simpleString()
+    keys = [id_column(docs, id_col), *carry]
+    kinds = ", ".join(f"`{c}` {docs.schema[c].dataType.simpleString()}" for c in [id_col, *carry])
     blocks = item_blocks(benchmark, item_col, item_text_col, block_bytes)
-    out = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("body"))
+    out = docs.select(id_col, *carry, F.col(text_col).alias("__body"))
     for i, items in enumerate(blocks):
-        out = _scan(out, items, window, kind, first=i == 0, last=i == len(blocks) - 1)
-    return out.withColumnRenamed("id", id_col)
+        out = _scan(out, items, window, kinds, len(keys), first=i == 0, last=i == len(blocks) - 1)
+    return out
+
+
+def clean(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text", **options) -> DataFrame:
+    """The documents, with all their columns, that are not contaminated."""
+    whole = docs.withColumn("__row", F.struct(*docs.columns))
+    return decontaminate(whole, benchmark, id_col, text_col, carry=("__row",), **options).filter(~is_contaminated()).select("__row.*")
 
 
-def _scan(docs: DataFrame, items: tuple[tuple[str, str], ...], window: int, kind: str, first: bool, last: bool) -> DataFrame:
+def _scan(docs: DataFrame, items: tuple[tuple[str, str], ...], window: int, kinds: str, n_keys: int, first: bool, last: bool) -> DataFrame:
     """One automaton over all texts; what earlier blocks have found is carried along."""
 
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         found = automaton(items, window)
         for batch in batches:
             for k in range(0, batch.num_rows, 2000):
-                yield _scan_batch(batch.slice(k, 2000), found, first, last)
+                yield _scan_batch(batch.slice(k, 2000), found, n_keys, first, last)
 
     seen = "items array<string>, ranges array<array<int>>"
-    return docs.mapInArrow(scan, f"id {kind}, {SCHEMA}" if last else f"id {kind}, body string, {seen}")
+    return docs.mapInArrow(scan, f"{kinds}, {SCHEMA}" if last else f"{kinds}, __body string, {seen}")
 
 
-def _scan_batch(batch: pa.RecordBatch, found, first: bool, last: bool) -> pa.RecordBatch:
+def _scan_batch(batch: pa.RecordBatch, found, n_keys: int, first: bool, last: bool) -> pa.RecordBatch:
     n_words, n_hit, items, spans, ranges = [], [], [], [], []
-    texts = batch.column(1).cast(pa.large_binary())
+    keys, names = batch.columns[:n_keys], batch.schema.names[:n_keys]
+    texts = batch.column("__body").cast(pa.large_binary())
     old = zip(*(batch.column(c).to_pylist() for c in ("items", "ranges")), strict=True) if not first else iter([([], [])] * batch.num_rows)
     for text, (own, at) in zip(texts, old, strict=True):
         raw = text.as_py() or b""
@@ -142,12 +151,12 @@ def _scan_batch(batch: pa.RecordBatch, found, first: bool, last: bool) -> pa.Rec
         ranges.append(merged)
         spans.append(_spans(raw, merged) if merged and last else [])
     if not last:
-        return pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(items, pa.list_(pa.string())), pa.array(ranges, pa.list_(pa.list_(pa.int32())))],
-                                          ["id", "body", "items", "ranges"])
+        return pa.RecordBatch.from_arrays([*keys, batch.column("__body"), pa.array(items, pa.list_(pa.string())), pa.array(ranges, pa.list_(pa.list_(pa.int32())))],
+                                          [*names, "__body", "items", "ranges"])
     pair = pa.struct([("start", pa.int32()), ("end", pa.int32())])
     return pa.RecordBatch.from_arrays(
-        [batch.column(0), pa.array(n_words, pa.int64()), pa.array(n_hit, pa.int64()), pa.array(items, pa.list_(pa.string())), pa.array(spans, pa.list_(pair))],
-        ["id", "n_words", "n_hit", "items", "spans"])
+        [*keys, pa.array(n_words, pa.int64()), pa.array(n_hit, pa.int64()), pa.array(items, pa.list_(pa.string())), pa.array(spans, pa.list_(pair))],
+        [*names, "n_words", "n_hit", "items", "spans"])
 
 
 def is_contaminated():

@@ -256,7 +256,31 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     kept, and ignored in class_id where the class has others; repeated rows are copies; an empty table gives no
     rows. Words are runs without ASCII white space. Other columns are not read.
     """
-    texts = keyed(id_column(docs, id_col), id_col, text_col)
+    found = _classed(keyed(id_column(docs, id_col), id_col, text_col), width, permille, near, recall, block)
+    return found.select(F.col("id").alias(id_col), "class_id", "n_copies", "n_links")
+
+
+def one_of_each(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", **options) -> DataFrame:
+    """The documents, with all their columns, of which one of each class stays: that with the smallest id.
+
+    Of repeated rows one stays; texts without words all stay, also where they are repeated.
+    """
+    defaults = {"width": SHINGLE, "permille": PERMILLE, "near": NEAR, "recall": RECALL, "block": BLOCK}
+    found = materialised(_classed(keyed(id_column(docs, id_col), id_col, text_col), **defaults | options))
+    lone = F.struct(F.col("tkey"), F.col("blank"))
+    best = (found.filter(F.col("id").eqNullSafe(F.col("class_id"))).groupBy("id", "class_key").agg(F.min(lone).alias("first"))
+            .select(F.col("id").alias("__id"), F.col("first.tkey").alias("__tkey"), F.col("first.blank").alias("__blank")).distinct())
+    key = F.xxhash64(F.coalesce(F.col(text_col), F.lit("")))
+    kept = docs.join(best, (key == F.col("__tkey")) & F.col(id_col).eqNullSafe(F.col("__id")))
+    repeated = found.filter("not blank").groupBy("id", "tkey").agg(F.count(F.lit(1)).alias("n")).filter("n > 1").limit(1).count()
+    if repeated:  # several rows with one id and text
+        number = F.row_number().over(Window.partitionBy("__id", "__tkey").orderBy(F.lit(0)))
+        kept = kept.withColumn("__number", number).filter("__number = 1 or __blank")
+    return kept.select(*docs.columns)
+
+
+def _classed(texts: DataFrame, width: int, permille: int, near: int, recall: float, block: int) -> DataFrame:
+    """(id, tkey, class_id, class_key, blank, n_copies, n_links); class_key tells classes apart where ids are null."""
     signed = materialised(signatures(texts, width))
     first = F.struct(F.col("id").isNull().alias("none"), "id", "tkey")
     classes = materialised(signed.groupBy("hi", "lo").agg(F.count(F.lit(1)).alias("n_copies"), F.min(first).alias("first"), F.first("labels").alias("labels"), F.first("sketch").alias("sketch"))
@@ -267,10 +291,11 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     links = materialised(verified(texts, members, width, permille, block))
     joined = components(links.select(F.col("node").alias("a"), F.col("root").alias("b")))
     small = joined.join(classes.select("node", "id"), "node").groupBy("root").agg(F.min("id").alias("least"))
-    linked = (joined.join(small, "root").select("node", "least")
+    linked = (joined.join(small, "root").select("node", "root", "least")
               .join(links.filter("n_links is not null").select("node", "n_links"), "node", "left"))
     named = classes.select("node", "hi", "lo", "n_copies", F.col("id").alias("own")).join(linked, "node", "left").select(
-        "hi", "lo", "n_copies", F.coalesce("least", "own").alias("class_id"), F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links"))
-    out = signed.select("id", "hi", "lo").join(named, ["hi", "lo"]).select("id", "class_id", "n_copies", "n_links")
-    blank = texts.filter(F.trim(F.translate("body", "\t\n\x0b\x0c\r", "     ")) == "").select("id", F.col("id").alias("class_id"), F.lit(1).cast("long").alias("n_copies"), F.lit(0).cast("long").alias("n_links"))
-    return out.unionByName(blank).withColumnRenamed("id", id_col)
+        "hi", "lo", "n_copies", F.coalesce("least", "own").alias("class_id"), F.coalesce("root", "node").alias("class_key"), F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links"))
+    out = signed.select("id", "tkey", "hi", "lo").join(named, ["hi", "lo"]).select("id", "tkey", "class_id", "class_key", F.lit(False).alias("blank"), "n_copies", "n_links")
+    blank = texts.filter(F.trim(F.translate("body", "\t\n\x0b\x0c\r", "     ")) == "").select(
+        "id", "tkey", F.col("id").alias("class_id"), F.col("tkey").alias("class_key"), F.lit(True).alias("blank"), F.lit(1).cast("long").alias("n_copies"), F.lit(0).cast("long").alias("n_links"))
+    return out.unionByName(blank)

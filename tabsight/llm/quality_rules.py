@@ -35,13 +35,14 @@ FEATURES = ("n_words", "word_length", "symbols_per_word", "exclaims_per_word", "
             "repeat_share", "distinct_share", "words_per_line")
 
 
-def statistics(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def statistics(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", carry: str = "") -> DataFrame:
     """(id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, the FEATURES) of every whole text.
 
-    A null text counts as empty. Three-word windows are compared by 96-bit hash within their text.
+    ``carry`` names a column to take along, for instance a struct of all columns. A null text counts as empty. Three-word windows are compared by 96-bit hash within their text.
     """
     text = F.col("__text")
-    d = docs.select(F.col(id_col), F.coalesce(F.col(text_col), F.lit("")).alias("__text"))
+    keys = [id_col, *[carry] * bool(carry)]
+    d = docs.select(*keys, F.coalesce(F.col(text_col), F.lit("")).alias("__text"))
     d = d.withColumn("__words", F.array_remove(F.split(text, r"[\x20\x09-\x0D]+"), ""))
     d = d.withColumn("__lines", F.filter(F.split(text, "\n"), lambda x: F.length(F.trim(F.translate(x, _SPACE, " " * len(_SPACE)))) > 0))
     word = lambda i: F.get("__words", i)
@@ -56,7 +57,7 @@ def statistics(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
     without = lambda c: F.length(text) - F.length(F.replace(text, F.lit(c)))
     n_words = F.size("__words")
     d = d.select(
-        id_col, n_words.cast("long").alias("n_words"), F.length(F.array_join("__words", "")).cast("long").alias("word_chars"),
+        *keys, n_words.cast("long").alias("n_words"), F.length(F.array_join("__words", "")).cast("long").alias("word_chars"),
         (F.length(text) - F.length(F.translate(text, SYMBOLS, ""))).cast("long").alias("n_symbols"),
         (F.size("__lines") - F.size(F.array_distinct("__lines"))).cast("long").alias("n_dup_lines"),
         F.coalesce(F.when(F.col("__first").isNotNull(), F.size("__hit")), F.lit(0)).cast("long").alias("n_repeat_words"),
@@ -64,7 +65,7 @@ def statistics(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
         without("|").alias("__pipes"), (F.length(text) - F.length(F.translate(text, _UPPER, ""))).alias("__uppers"))
     per = lambda x, y: F.col(x) / F.greatest(F.col(y), F.lit(1))
     return d.select(
-        id_col, "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", per("word_chars", "n_words").alias("word_length"),
+        *keys, "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", per("word_chars", "n_words").alias("word_length"),
         per("n_symbols", "n_words").alias("symbols_per_word"), per("__exclaims", "n_words").alias("exclaims_per_word"), per("__pipes", "n_words").alias("pipes_per_word"),
         per("__uppers", "word_chars").alias("upper_share"), per("n_dup_lines", "__n_lines").alias("dup_line_share"),
         per("n_repeat_words", "n_words").alias("repeat_share"), per("__distinct", "n_words").alias("distinct_share"), per("n_words", "__n_lines").alias("words_per_line"))
@@ -206,7 +207,25 @@ def judge(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col:
     or labels gives no rows or no learned rules. Clashing columns of either table are not read.
     """
     stats = materialised(statistics(id_column(docs, id_col), id_col, text_col))
+    return judged(stats, _learned(stats, labels, id_col, label_col))
+
+
+def _learned(stats: DataFrame, labels: DataFrame, id_col: str, label_col: str) -> list[Rule]:
     known = labels.select(F.col(id_col).alias("__id"), F.col(label_col).alias("__label"))
-    rules = learn(stats.join(known, F.col(id_col) == F.col("__id")), "__label", id_col)
+    return learn(stats.join(known, F.col(id_col) == F.col("__id")), "__label", id_col)
+
+
+def judged(stats: DataFrame, rules: list[Rule]) -> DataFrame:
+    """Adds base_failed, rule and kept to statistics."""
     out = stats.withColumn("base_failed", base_failed()).withColumn("rule", decision(rules))
     return out.withColumn("kept", ~F.col("base_failed") & F.col("rule").isNull())
+
+
+def keep_good(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "quality") -> DataFrame:
+    """The documents, with all their columns, that neither the base rules nor a learned rule rejects.
+
+    The learned list is applied to the rows as they are read, so that no text is shuffled.
+    """
+    rules = _learned(materialised(statistics(docs, id_col, text_col)), labels, id_col, label_col)
+    whole = docs.withColumn("__row", F.struct(*docs.columns))
+    return judged(statistics(whole, id_col, text_col, "__row"), rules).filter("kept").select("__row.*")

@@ -108,3 +108,37 @@ def test_components(spark):
 def test_empty_tables(spark):
     assert near_duplicates(spark.createDataFrame([], SCHEMA)).count() == 0
     assert near_duplicates(spark.createDataFrame([(1, "a", None, None)], SCHEMA)).collect()[0]["class_id"] == 1
+
+
+def test_one_of_each_class_stays(spark):
+    rows = fixture() + [(3, "one two three", "n", "p"), (3, "one two three", "n", "p"), (None, "seven lone words in a row here", None, None),
+                        (None, "seven lone words in a row here", None, None), (None, "one two three", None, None), (77, "", None, None), (77, "", None, None)]
+    got = Counter((r["doc_id"], r["text"]) for r in jaccard_join.one_of_each(spark.createDataFrame(rows, SCHEMA).repartition(5)).collect())
+    per_text = brute_classes(rows)
+    blank = Counter((r[0], r[1]) for r in rows if per_text[r[1]] is None)
+    groups = {per_text[r[1]] for r in rows} - {None}
+    assert sum(got.values()) == sum(blank.values()) + len(groups)
+    assert all(got[x] == n for x, n in blank.items())
+    kept = {}
+    for (doc, text), n in got.items():
+        if per_text[text] is not None:
+            assert n == 1 and per_text[text] not in kept
+            kept[per_text[text]] = doc
+    for r in rows:
+        key = per_text[r[1]]
+        if key is not None and r[0] is not None:
+            assert kept[key] is not None and kept[key] <= r[0]
+
+
+def brute_classes(rows):
+    """Text to a name of its class, None for texts without words."""
+    texts = list({r[1] for r in rows})
+    sets = [shingles(t) for t in texts]
+    name = list(range(len(texts)))
+    for i, a in enumerate(sets):
+        for j in range(i):
+            b = sets[j]
+            if a and b and 5 * len(a & b) >= 4 * len(a | b) and name[i] != name[j]:
+                old, new = name[i], name[j]
+                name = [new if x == old else x for x in name]
+    return {t: name[i] if sets[i] else None for i, t in enumerate(texts)}
