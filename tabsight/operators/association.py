@@ -18,7 +18,7 @@ from tabsight.functions.expressions import finite, hash32, melt
 from tabsight.operators import metrics as M
 from tabsight.operators.cleaning import impute_median, incomplete_columns
 from tabsight.operators.quantiles import holds, quantile_values, ranked_values
-from tabsight.operators.ranking import cell_edges, running_totals, with_cells
+from tabsight.operators.ranking import running_totals, with_cells
 from tabsight.operators.small import fetch_bounded, moments
 from tabsight.sources.files import materialised
 
@@ -61,8 +61,7 @@ def corr_pearson(df: DataFrame, columns: Sequence[str]) -> DataFrame:
 def average_ranks(df: DataFrame, columns: Sequence[str]) -> DataFrame:
     """``column, value, rank``: average rank per distinct value of every column."""
     long = melt(df, [], columns).withColumn("value", finite("value")).filter(F.col("value").isNotNull())
-    counts = (with_cells(long, "value", cell_edges(long, "value"))
-              .groupBy("column", "cell", "value").agg(F.count("*").alias("m")))
+    counts = long.groupBy("column", (F.col("value") + F.lit(0.0)).alias("value")).agg(F.count("*").alias("m"))
     ranked = running_totals(counts, by=LONG_KEY, value="value", sums={"m": "upto"})
     return ranked.select("column", "value", (F.col("upto") - (F.col("m") - 1) / 2.0).alias("rank"))
 

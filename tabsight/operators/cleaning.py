@@ -25,7 +25,8 @@ def pair_repair(df: DataFrame, high: str, low: str, *, high_range: tuple[float,
     out = df.filter((F.col(high) >= 0) & (F.col(low) >= 0)) if drop_negative else df
     h, l = F.col(high), F.col(low)
     if swap:
-        out = out.withColumns({high: F.greatest(h, l), low: F.least(h, l)})
+        # a missing reading is not filled with the other one
+        out = out.withColumns({high: F.when(l > h, l).otherwise(h), low: F.when(l > h, h).otherwise(l)})
     if cap:
         out = out.withColumns({high: clamp(high, *high_range), low: clamp(low, *low_range)})
     sound = out.filter((h > l) & (h >= high_range[0]) & (l >= low_range[0]))

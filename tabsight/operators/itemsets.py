@@ -9,11 +9,9 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from tabsight.operators.quantiles import exact_quantiles
-from tabsight.operators.small import small_side
+from tabsight.operators.small import joined, small_side
 from tabsight.sources.files import materialised
 
-MAX_LOCAL_SETS = 50_000
-
 
 def score_normalise(scores: DataFrame, how: str = "max", *, feature: str = "feature", score: str = "score",
                     out: str = "norm") -> DataFrame:
@@ -27,7 +25,7 @@ def score_normalise(scores: DataFrame, how: str = "max", *, feature: str = "feat
         return F.when(F.col(c) == 0, 1.0).otherwise(F.col(c))
 
     value = F.col(score) / or_one("_top") if how == "max" else (F.col(score) - F.col("_mean")) / or_one("_sd")
-    return scores.join(stats, feature).withColumn(out, value).drop("_top", "_mean", "_sd")
+    return joined(scores, stats, [feature]).withColumn(out, value).drop("_top", "_mean", "_sd")
 
 
 def binarize_scores(scores: DataFrame, tau: float | str = "p80", *, feature: str = "feature", norm: str = "norm",
@@ -36,7 +34,7 @@ def binarize_scores(scores: DataFrame, tau: float | str = "p80", *, feature: str
     if isinstance(tau, str) and tau.lower().startswith("p"):
         cut = exact_quantiles(scores.select(feature, norm), [norm], [float(tau[1:]) / 100.0], by=[feature])
         limits = small_side(cut.select(feature, F.col("q")[0].alias("_cut")))
-        return scores.join(limits, feature).withColumn(out, (F.col(norm) >= F.col("_cut")).cast("int")).drop("_cut")
+        return joined(scores, limits, [feature]).withColumn(out, (F.col(norm) >= F.col("_cut")).cast("int")).drop("_cut")
     return scores.withColumn(out, (F.col(norm) >= float(tau)).cast("int"))
 
 
@@ -83,22 +81,22 @@ def frequent_itemsets(baskets: DataFrame, *, by: Sequence[str] = (), min_support
     totals = small_side(base.groupBy(*keys).agg(F.sum("w").alias("rows")))
 
     def frequent(state: DataFrame) -> DataFrame:
-        found = (state.groupBy(*keys, F.col("prefix").alias("items")).agg(F.sum("w").alias("count"))
-                 .join(totals, keys).withColumn("support", F.col("count") / F.col("rows"))
+        found = (state.groupBy(*keys, F.col("prefix").alias("items")).agg(F.sum("w").alias("count")))
+        found = (joined(found, totals, keys).withColumn("support", F.col("count") / F.col("rows"))
                  .filter(F.col("support") >= min_support)
                  .select(*keys, "items", "count", "rows", "support"))
-        return small_side(found, MAX_LOCAL_SETS)
+        return materialised(found)
 
     single = frequent(base.select(*keys, "w", F.explode(F.transform("items", lambda i: F.array(i))).alias("prefix")))
     known = small_side(single.groupBy(*keys).agg(F.collect_list(F.col("items")[0]).alias("known")))
-    state = base.join(known, keys).select(
+    state = joined(base, known, keys).select(
         *keys, "w", F.filter("items", lambda i: F.array_contains("known", i)).alias("items"))
     state = state.select(*keys, "w", "items", F.explode("items").alias("last")).withColumn("prefix", F.array("last"))
     levels = [single]
     for size in range(2, max_len + 1):
         seen = levels[-1].select(*keys, F.col("items").alias("prefix"))
         if size > 2:
-            state = state.join(seen, [*keys, "prefix"])
+            state = joined(state, seen, [*keys, "prefix"])
         state = (state.select(*keys, "w", "items", "prefix", F.explode(
             F.filter("items", lambda i: i > F.element_at("prefix", -1))).alias("next"))
             .select(*keys, "w", "items", F.concat("prefix", F.array("next")).alias("prefix")))

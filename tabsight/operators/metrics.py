@@ -13,15 +13,15 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tabsight.functions.expressions import ratio
-from tabsight.operators.ranking import cell_edges, running_totals, with_cells
+from tabsight.operators.ranking import running_totals
+from tabsight.operators.small import joined, small_side
 from tabsight.operators.splits import bootstrap_weights
 
 
-def score_counts(df: DataFrame, *, by: Sequence[str] = ("model",), y: str = "y_true", p: str = "y_pred",
-                 cells: int | None = None) -> DataFrame:
-    """``by..., cell, score, pos, n``: rows and positives per distinct score."""
-    return (with_cells(df, p, cell_edges(df, p, cells))
-            .groupBy(*by, "cell", F.col(p).cast("double").alias("score"))
+def score_counts(df: DataFrame, *, by: Sequence[str] = ("model",), y: str = "y_true", p: str = "y_pred") -> DataFrame:
+    """``by..., score, pos, n``: rows and positives per distinct score."""
+    # adding 0.0 turns -0.0 into 0.0
+    return (df.groupBy(*by, (F.col(p).cast("double") + F.lit(0.0)).alias("score"))
             .agg(F.sum(F.col(y).cast("bigint")).alias("pos"), F.count("*").alias("n")))
 
 
@@ -145,12 +145,12 @@ def best_f1_grid(df: DataFrame, *, by: Sequence[str] = ("model",), y: str = "y_t
                 .agg(F.sum(F.col(y).cast("bigint")).alias("pos"), F.count("*").alias("n")))
     totals = _group_totals(per_slot, by)
     reached = F.when(F.col("slot") >= 0, F.sequence(F.lit(0), F.col("slot"))).otherwise(F.array().cast("array<int>"))
-    at = (per_slot.select(*by, "pos", "n", F.explode(reached).alias("t"))
-          .groupBy(*by, "t").agg(F.sum("pos").alias("tp"), F.sum("n").alias("m")).join(totals, list(by)))
+    at = (per_slot.select(*by, "pos", "n", F.explode(reached).alias("t")).groupBy(*by, "t").agg(F.sum("pos").alias("tp"), F.sum("n").alias("m")))
+    at = joined(at, totals, by)
     f1 = ratio(2 * F.col("tp"), F.col("m") + F.col("p_all"))
     best = at.groupBy(*by).agg(F.max(F.struct(f1.alias("f1"), (-F.col("t")).alias("t"))).alias("b"))
     threshold = (start - F.col("b.t") * step) / F.lit(float(scale))
-    return (totals.join(best, list(by), "left")
+    return (joined(totals, best, by, "left")
             .select(*by, F.when(F.col("b.f1") > 0, threshold).otherwise(F.lit(0.5)).alias("threshold"),
                     F.coalesce(F.col("b.f1"), F.lit(0.0)).alias("f1")))
 
@@ -180,7 +180,7 @@ def f1_at_recall(counts: DataFrame, by: Sequence[str], recalls: Sequence[float]
 def metrics_at_threshold(df: DataFrame, policy: DataFrame, *, by: Sequence[str] = ("model",), y: str = "y_true",
                          p: str = "y_pred") -> DataFrame:
     """Metrics at thresholds fixed elsewhere: ``policy`` has one ``threshold`` per group."""
-    cut = df.join(policy.select(*by, "threshold"), list(by))
+    cut = joined(df, small_side(policy.select(*by, "threshold")), by)
     return confusion_matrix(cut, by=[*by, "threshold"], y=y, p=p, threshold="threshold").select(
         *by, "threshold", "f1", "accuracy", F.col("recall").alias("sensitivity"), "specificity")
 
@@ -189,10 +189,9 @@ def composite_metric(df: DataFrame, *, by: Sequence[str] = ("model",), y: str =
                      weights: Sequence[float] = (0.4, 0.4, 0.2)) -> DataFrame:
     """Weighted sum of ROC-AUC, average precision and accuracy."""
     counts = score_counts(df, by=by, y=y, p=p)
-    keys = list(by)
-    joined = ranking_metrics(counts, by).join(basic_metrics(df, by=by, y=y, p=p), keys)
+    both = joined(ranking_metrics(counts, by), basic_metrics(df, by=by, y=y, p=p), by)
     w = weights
-    return joined.select(*by, (w[0] * F.col("roc_auc") + w[1] * F.col("pr_auc")
+    return both.select(*by, (w[0] * F.col("roc_auc") + w[1] * F.col("pr_auc")
                                + w[2] * F.col("accuracy")).alias("composite"))
 
 
@@ -202,7 +201,6 @@ def all_metrics(df: DataFrame, *, by: Sequence[str] = ("model",), y: str = "y_tr
 
     Everything is derived from the per-score table: it stands in for the rows, weighted by count.
     """
-    keys = list(by)
     counts = score_counts(df, by=by, y=y, p=p)
     ranked = ranked_scores(counts, by)
     s, pos, n = F.col("score"), F.col("pos"), F.col("n")
@@ -230,7 +228,7 @@ def all_metrics(df: DataFrame, *, by: Sequence[str] = ("model",), y: str = "y_tr
                                                    F.col("threshold").alias("threshold_f1"))
     n_neg = n_all - p_all
     f1_half = ratio(2 * F.col("tp5"), F.col("tp5") + F.col("fp5") + p_all)
-    return one.join(grid, keys).select(
+    return joined(one, grid, by).select(
         *by,
         F.when((p_all > 0) & (n_neg > 0), 1.0 - F.col("lost") / (p_all.cast("double") * n_neg)).alias("roc_auc"),
         F.when(p_all > 0, F.col("ap") / p_all).alias("pr_auc"),
@@ -330,9 +328,8 @@ def bootstrap_ap_ci(pairs: DataFrame, *, id: str = "id", y: str = "y_true", n_bo
     """
     long = pairs.select(id, y, F.inline(F.array(
         *[F.struct(F.lit(m).alias("model"), F.col(f"p_{m}").alias("p")) for m in ("a", "b")])))
-    placed = with_cells(long, "p", cell_edges(long, "p"))
-    counts = (bootstrap_weights(placed, [id], n_boot, seed=seed)
-              .groupBy("replicate", "model", "cell", F.col("p").alias("score"))
+    counts = (bootstrap_weights(long, [id], n_boot, seed=seed)
+              .groupBy("replicate", "model", F.col("p").alias("score"))
               .agg(F.sum(F.col("w") * F.col(y)).cast("bigint").alias("pos"), F.sum("w").cast("bigint").alias("n")))
     ap = average_precision(counts, ["replicate", "model"])
     both = ap.groupBy("replicate").agg(F.max(F.when(F.col("model") == "a", F.col("pr_auc"))).alias("ap_a"),

@@ -11,46 +11,44 @@ from pyspark.ml.feature import VectorAssembler
 from pyspark.ml.functions import vector_to_array
 from pyspark.ml.regression import IsotonicRegression
 from pyspark.ml.tuning import CrossValidator, ParamGridBuilder
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tabsight.operators import metrics as M
-from tabsight.operators.small import fetch_bounded, moments
+from tabsight.operators.small import joined, moments, small_side
 from tabsight.operators.splits import stratified_folds, stratified_split
 from tabsight.sources.files import materialised
 
+#: Spark's limit; a depth of None means this.
+MAX_DEPTH = 30
 DEFAULT_PARAMS = {"trees": 20, "depth": 6, "features": "sqrt", "leaf": 5}
 # Search ranges of the forest.
 SEARCH_SPACE = {"depth": (6, 30), "features": ("sqrt", "log2", 0.2, 1.0), "trees": (200, 1500, 50), "leaf": (1, 15)}
-MAX_CLASSES = 1000
 
 
 def class_weights(df: DataFrame, target: str) -> DataFrame:
     """``n / (classes * n_class)`` per class."""
-    counts = fetch_bounded(df.groupBy(target).agg(F.count("*").alias("n")).orderBy(target), MAX_CLASSES, "classes")
-    n = sum(r["n"] for r in counts)
-    return df.sparkSession.createDataFrame(
-        [(r[target], r["n"], n / (len(counts) * r["n"])) for r in counts],
-        f"{target} {df.schema[target].dataType.simpleString()}, n bigint, weight double")
+    counts = df.groupBy(target).agg(F.count("*").alias("n"))
+    whole = counts.agg(F.sum("n").alias("all"), F.count("*").alias("classes")).first()
+    return counts.select(target, "n", (F.lit(whole["all"]) / (F.lit(whole["classes"]) * F.col("n"))).alias("weight")).orderBy(target)
 
 
 def with_class_weights(df: DataFrame, target: str, name: str = "weight") -> DataFrame:
-    out: Column | None = None
-    for r in class_weights(df, target).collect():
-        hit = F.col(target) == r[target]
-        out = F.when(hit, r["weight"]) if out is None else out.when(hit, r["weight"])
-    return df.withColumn(name, out)
+    weights = small_side(class_weights(df, target).select(target, F.col("weight").alias(name)))
+    return joined(df, weights, [target], "left")
 
 
 def fit_forest(df: DataFrame, target: str, features: Sequence[str], params: Mapping | None = None,
                seed: int = 42) -> RandomForestClassificationModel:
-    """A class-balanced random forest."""
+    """A class-balanced random forest; a depth of None means as deep as Spark grows trees."""
     p = {**DEFAULT_PARAMS, **(params or {})}
+    if (p["depth"] or MAX_DEPTH) > MAX_DEPTH:
+        raise ValueError(f"Spark grows trees to a depth of {MAX_DEPTH}, not {p['depth']}")
     rows = VectorAssembler(inputCols=list(features), outputCol="_x").transform(
         with_class_weights(df.select(target, *features), target, "_w"))
     return RandomForestClassifier(
         featuresCol="_x", labelCol=target, weightCol="_w", numTrees=int(p["trees"]),
-        maxDepth=min(int(p["depth"] or 30), 30), featureSubsetStrategy=str(p["features"]),
+        maxDepth=int(p["depth"] or MAX_DEPTH), featureSubsetStrategy=str(p["features"]),
         minInstancesPerNode=int(p["leaf"]), seed=seed).fit(rows)
 
 
@@ -98,11 +96,12 @@ class Isotonic:
     @classmethod
     def fit(cls, df: DataFrame, y: str = "y_true", p: str = "y_pred") -> Isotonic:
         rows = _score_weights(df, y, p)
-        return cls(IsotonicRegression(featuresCol="p", labelCol="y", weightCol="w", predictionCol="_c").fit(rows))
+        return cls(IsotonicRegression(featuresCol="_iso_p", labelCol="y", weightCol="w", predictionCol="_iso_c").fit(
+            rows.withColumnRenamed("p", "_iso_p")))
 
     def apply(self, df: DataFrame, p: str = "y_pred") -> DataFrame:
-        out = self.model.transform(df.withColumnRenamed(p, "p"))
-        return out.drop("p").withColumnRenamed("_c", p).select(*df.columns)
+        out = self.model.transform(df.withColumnRenamed(p, "_iso_p"))
+        return out.drop("_iso_p").withColumnRenamed("_iso_c", p).select(*df.columns)
 
 
 CALIBRATORS = {"platt": Platt, "isotonic": Isotonic}

@@ -11,8 +11,8 @@ from pyspark.sql import functions as F
 
 from tabsight.functions.expressions import bin_right_closed, finite, melt, ratio
 from tabsight.operators.quantiles import exact_quantiles, quantile_values
-from tabsight.operators.ranking import cell_edges, running_totals, with_cells
-from tabsight.operators.small import moments, small_side
+from tabsight.operators.ranking import running_totals
+from tabsight.operators.small import joined, moments, small_side
 
 
 def profile_summary(df: DataFrame, numeric: Sequence[str], categorical: Sequence[str] = ()) -> DataFrame:
@@ -82,11 +82,11 @@ def outlier_counts(df: DataFrame, columns: Sequence[str], z: float = 4.0, k: flo
 
 
 def quality_flags(df: DataFrame, high: str, low: str, max_high: float = 240, min_low: float = 40) -> DataFrame:
-    """Rule flags for a pair of columns where ``high`` should exceed ``low``."""
+    """Rule flags for a pair of columns where ``high`` should exceed ``low``; a missing reading raises none."""
     h, l = F.col(high), F.col(low)
-    return df.withColumns({
-        "flag_low_gt_high": l > h, "flag_high_extreme": h > max_high, "flag_low_extreme": l < min_low,
-        "flag_high_negative": h < 0, "flag_low_negative": l < 0, "flag_negative": (h < 0) | (l < 0)})
+    flags = {"flag_low_gt_high": l > h, "flag_high_extreme": h > max_high, "flag_low_extreme": l < min_low,
+             "flag_high_negative": h < 0, "flag_low_negative": l < 0, "flag_negative": (h < 0) | (l < 0)}
+    return df.withColumns({k: F.coalesce(v, F.lit(False)) for k, v in flags.items()})
 
 
 QUALITY_FLAGS = ["flag_low_gt_high", "flag_high_extreme", "flag_low_extreme", "flag_high_negative",
@@ -127,13 +127,14 @@ def flagged_records(flagged: DataFrame, flags: Sequence[str] = tuple(QUALITY_FLA
 
 def sanity_flags(df: DataFrame, high: str, low: str, high_range: tuple[float, float] = (80, 240),
                  low_range: tuple[float, float] = (40, 180)) -> DataFrame:
-    """0/1 flags: swapped, out of range, non-positive difference, and whether any is raised."""
+    """0/1 flags: swapped, out of range, non-positive difference, and whether any is raised.
+
+    A missing reading raises no flag.
+    """
     h, l = F.col(high), F.col(low)
-    out = df.withColumns({
-        "swap_suspect": (l > h).cast("int"),
-        "high_unreal": ((h < high_range[0]) | (h > high_range[1])).cast("int"),
-        "low_unreal": ((l < low_range[0]) | (l > low_range[1])).cast("int"),
-        "diff_not_positive": (h - l <= 0).cast("int")})
+    flags = {"swap_suspect": l > h, "high_unreal": (h < high_range[0]) | (h > high_range[1]),
+             "low_unreal": (l < low_range[0]) | (l > low_range[1]), "diff_not_positive": h - l <= 0}
+    out = df.withColumns({k: F.coalesce(v.cast("int"), F.lit(0)) for k, v in flags.items()})
     return out.withColumn("any_flag", F.greatest("swap_suspect", "high_unreal", "low_unreal", "diff_not_positive"))
 
 
@@ -233,7 +234,7 @@ def class_histogram(df: DataFrame, column: str, by: str, bins: int = 30) -> Data
     width = F.col("_hi") - F.col("_lo")
     slot = F.when(width == 0, F.lit(bins // 2)).otherwise(
         F.least(F.floor((F.col("_x") - F.col("_lo")) / width * bins), F.lit(bins - 1))).cast("int")
-    return src.join(limits, by).groupBy(by, slot.alias("bin")).agg(F.count("*").alias("n"))
+    return joined(src, limits, [by]).groupBy(by, slot.alias("bin")).agg(F.count("*").alias("n"))
 
 
 def class_quartiles(df: DataFrame, columns: Sequence[str], by: str, k: float = 1.5) -> DataFrame:
@@ -241,7 +242,7 @@ def class_quartiles(df: DataFrame, columns: Sequence[str], by: str, k: float = 1
     q = exact_quantiles(df, columns, [0.25, 0.5, 0.75], by=[by]).select(
         by, "column", "n", F.col("q")[0].alias("q1"), F.col("q")[1].alias("median"), F.col("q")[2].alias("q3"))
     x, reach = F.col("value"), k * (F.col("q3") - F.col("q1"))
-    return (melt(df, [by], columns).withColumn("value", finite("value")).join(small_side(q), [by, "column"])
+    return (joined(melt(df, [by], columns).withColumn("value", finite("value")), small_side(q), [by, "column"])
             .groupBy(by, "column", "n", "q1", "median", "q3").agg(
                 F.min(F.when(x >= F.col("q1") - reach, x)).alias("whisker_low"),
                 F.max(F.when(x <= F.col("q3") + reach, x)).alias("whisker_high")))
@@ -257,9 +258,10 @@ def count_by_value_class(df: DataFrame, value: str | Column, target: str, classe
         F.struct(F.lit(k).alias("class"), F.col(f"n{k}").alias("n")) for k in classes])))
 
 
-def ordinal_trend(df: DataFrame, column: str, target: str, levels: Sequence[int] = (1, 2, 3)) -> DataFrame:
-    """Least-squares line through the mean target of ordered levels, in percent."""
-    rates = (df.filter(F.col(column).isin(list(levels))).groupBy(F.col(column).cast("double").alias("x"))
+def ordinal_trend(df: DataFrame, column: str, target: str, levels: Sequence[int] | None = None) -> DataFrame:
+    """Least-squares line through the mean target of ordered levels (all, or those listed), in percent."""
+    rows = df if levels is None else df.filter(F.col(column).isin(list(levels)))
+    rates = (rows.groupBy(F.col(column).cast("double").alias("x"))
              .agg((100 * F.avg(F.col(target).cast("double"))).alias("y")))
     return rates.agg(F.regr_slope("y", "x").alias("slope"), F.regr_intercept("y", "x").alias("intercept"),
                      F.count("*").alias("levels"))
@@ -271,7 +273,7 @@ def poly_trend(df: DataFrame, value: str, target: str, degree: int = 5) -> DataF
     The power sums are Spark aggregates over the distinct values; only the (degree+1) square system
     is solved on the driver.
     """
-    counts = (with_cells(df, value, cell_edges(df, value)).groupBy("cell", value)
+    counts = (df.groupBy(value)
               .agg(F.sum((F.col(target) == 1).cast("bigint")).alias("n")).withColumn("one", F.lit(1)))
     placed = running_totals(counts, by=[], value=value, sums={"one": "upto"}).select(
         value, "n", (F.col("upto") - 1).alias("position"))

@@ -3,8 +3,8 @@
 ``percentile()`` keeps every distinct value of a column in one aggregation buffer. Here a mergeable
 sketch first brackets each wanted rank (one pass, a few numbers back to the driver); a second pass
 counts the rows outside the brackets and groups only the values inside them by value, with map-side
-combine. What is left per wanted rank is about ``6 / accuracy`` of the rows; where even that is much, the
-running count goes cell by cell. The answer is exact, not approximate.
+combine. What is left per wanted rank is about ``6 / accuracy`` of the rows. Grouped quantiles skip the sketch and
+count by value. The running count always goes cell by cell. The answer is exact, not approximate.
 """
 
 from __future__ import annotations
@@ -13,17 +13,12 @@ import math
 from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame
-from pyspark.sql import Window as W
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
 from tabsight.functions.expressions import finite
-from tabsight.operators.ranking import cell_edges, running_totals, with_cells
-from tabsight.operators.small import fetch_bounded
+from tabsight.operators.ranking import running_totals, with_cells
 
 ACCURACY = 20_000
-MAX_GROUPS = 100_000
-MAX_WINDOW_ROWS = 2_000_000
 
 
 def _bracket_edges(n: int, sketch: list[float] | None, k: int, accuracy: int) -> list[float]:
@@ -51,32 +46,19 @@ def ranked_values(df: DataFrame, columns: Sequence[str], probs: Sequence[float],
     or below it, ``n`` rows have a value at all. Rows between the brackets come as one line each with
     a NULL value. NULL, NaN and infinities are ignored.
     """
-    spark = df.sparkSession
     by, probs = list(by), sorted(probs)
     k = len(probs)
     src = df.select(*by, *[finite(c).alias(f"x{j}") for j, c in enumerate(columns)])
-
-    slack = 3.0 / accuracy
-    grid = [p for q in probs for p in (max(0.0, q - slack), min(1.0, q + slack))]
-    sketched = src.groupBy(*by).agg(
-        *[F.count(f"x{j}").alias(f"n{j}") for j in range(len(columns))],
-        *[F.percentile_approx(f"x{j}", grid, accuracy).alias(f"s{j}") for j in range(len(columns))])
-    rows = fetch_bounded(sketched, MAX_GROUPS, f"groups of {by}")
-
-    edges = [[_bracket_edges(r[f"n{j}"], r[f"s{j}"], k, accuracy) for j in range(len(columns))] for r in rows]
     if by:
-        # one row per group, at most MAX_GROUPS of them
-        schema = T.StructType([df.schema[c] for c in by] + [
-            T.StructField(f"e{j}", T.ArrayType(T.DoubleType())) for j in range(len(columns))])
-        bounds = spark.createDataFrame([(*[r[c] for c in by], *e) for r, e in zip(rows, edges)], schema)
-
-        def cell_of(j: int) -> Column:
-            passed = F.size(F.filter(f"e{j}", lambda e: e <= F.col(f"x{j}")))
-            return F.when(F.size(f"e{j}") == 0, 1).otherwise(passed)
-
-        src = src.join(F.broadcast(bounds), by).withColumns({f"c{j}": cell_of(j) for j in range(len(columns))})
+        # every value stays: groups may be many, and their brackets would have to travel with them
+        src = src.withColumns({f"c{j}": F.lit(1) for j in range(len(columns))})
     else:
-        for j, e in enumerate(edges[0]):
+        slack = 3.0 / accuracy
+        grid = [p for q in probs for p in (max(0.0, q - slack), min(1.0, q + slack))]
+        row = src.agg(*[F.count(f"x{j}").alias(f"n{j}") for j in range(len(columns))],
+                      *[F.percentile_approx(f"x{j}", grid, accuracy).alias(f"s{j}") for j in range(len(columns))]).first()
+        for j in range(len(columns)):
+            e = _bracket_edges(row[f"n{j}"], row[f"s{j}"], k, accuracy)
             cuts = [-math.inf, *e, math.inf]
             src = with_cells(src, f"x{j}", cuts, f"c{j}") if e else src.withColumn(f"c{j}", F.lit(1))
 
@@ -89,18 +71,7 @@ def ranked_values(df: DataFrame, columns: Sequence[str], probs: Sequence[float],
     counts = (src.select(*by, F.inline(F.array(*[place(j, c) for j, c in enumerate(columns)])))
               .groupBy(*by, "column", "cell", "value")
               .agg(F.sum(F.col("present").cast("bigint")).alias("m")))
-    group = [*by, "column"]
-    expected = 2 * slack * k * max([r[f"n{j}"] for r in rows for j in range(len(columns))], default=0)
-    if expected > MAX_WINDOW_ROWS:
-        # too many for one task per column: number the rows cell by cell instead
-        edges_in = cell_edges(counts.filter(F.col("value").isNotNull()), "value")
-        slot = F.col("cell") * len(edges_in) + F.coalesce(F.col("part") + 1, F.lit(0))
-        placed = with_cells(counts, "value", edges_in, "part").withColumn("slot", slot)
-        return running_totals(placed, by=group, value="value", sums={"m": "upto"}, cell="slot",
-                              totals={"m": "n"}).drop("part", "slot")
-    order = W.partitionBy(*group).orderBy("cell", "value").rowsBetween(W.unboundedPreceding, 0)
-    return (counts.withColumn("upto", F.sum("m").over(order))
-            .withColumn("n", F.sum("m").over(W.partitionBy(*group))))
+    return running_totals(counts, by=[*by, "column"], value=["cell", "value"], sums={"m": "upto"}, totals={"m": "n"})
 
 
 def holds(position: Column) -> Column:

@@ -1,8 +1,8 @@
 """Running totals over a total order without a single-partition window.
 
-The order axis is cut into cells holding about equally many rows (cut points from a mergeable
-sketch, fetched once as a short list of numbers, so every stage and every retry sees the same cells).
-Totals per cell give each cell's starting offset; the window then runs inside a cell only.
+Rows, one per point of the order, are dealt by ranges of (group, value) into cells of about equal size and written
+once, so every stage and every retry sees the same cells. Totals per cell give each cell's starting offset; the window
+then runs inside a cell only.
 """
 
 from __future__ import annotations
@@ -14,19 +14,23 @@ from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from tabsight.operators.small import joined
+from tabsight.sources.files import materialised
+
 
 def cell_count(df: DataFrame) -> int:
     """Cells to aim for: one per shuffle partition, at least 16."""
     return max(16, int(df.sparkSession.conf.get("spark.sql.shuffle.partitions", "200")))
 
 
-def cell_edges(df: DataFrame, value: str, cells: int | None = None) -> list[float]:
-    """Strictly increasing cut points that split the rows of ``df`` about evenly along ``value``."""
-    k = cells or cell_count(df)
-    grid = [i / k for i in range(1, k)]
-    x = F.col(value).cast("double")
-    cut = df.agg(F.percentile_approx(x, grid, 10 * k).alias("e")).first()["e"] or []
-    return [float("-inf"), *sorted({float(v) for v in cut}), float("inf")]
+def range_cells(df: DataFrame, order: Sequence[str], cell: str = "cell", cells: int | None = None) -> DataFrame:
+    """Add a ``cell`` that is monotone along ``order``; cells hold about equally many rows.
+
+    Give one row per point of the order: equal points share a cell. Leading group columns are part of the
+    order, so a group has cells of its own range. The dealt rows are written: every later reader sees the same cells.
+    """
+    dealt = df.repartitionByRange(cells or cell_count(df), *order)
+    return materialised(dealt.withColumn(cell, F.spark_partition_id()))
 
 
 def with_cells(df: DataFrame, value: str, edges: Sequence[float], name: str = "cell") -> DataFrame:
@@ -39,24 +43,25 @@ def with_cells(df: DataFrame, value: str, edges: Sequence[float], name: str = "c
     return out.withColumn(name, F.col("_cell").cast("int")).drop("_cell_x", "_cell")
 
 
-def running_totals(df: DataFrame, *, by: Sequence[str], value: str, sums: Mapping[str, str],
-                   descending: bool = False, cell: str = "cell", totals: Mapping[str, str] | None = None) -> DataFrame:
+def running_totals(df: DataFrame, *, by: Sequence[str], value: str | Sequence[str], sums: Mapping[str, str],
+                   descending: bool = False, totals: Mapping[str, str] | None = None, cells: int | None = None) -> DataFrame:
     """Inclusive running sums within ``by`` along ``value``, and whole-group sums if ``totals`` names them.
 
-    ``df`` has one row per (by, value) and a ``cell`` column that is monotone in ``value``. ``sums``
-    maps a summed column to the name of its running total.
+    ``df`` has one row per (by, value). ``sums`` maps a summed column to the name of its running total. NULL is a
+    group like any other.
     """
-    by = list(by)
+    by, values = list(by), [value] if isinstance(value, str) else list(value)
+    placed = range_cells(df, [*by, *values], "_cell", cells)
 
     def ordered(c: str):
         return F.col(c).desc() if descending else F.col(c).asc()
 
-    per_cell = df.groupBy(*by, cell).agg(*[F.sum(s).alias(s) for s in sums])
-    before = W.partitionBy(*by).orderBy(ordered(cell)).rowsBetween(W.unboundedPreceding, -1)
+    per_cell = placed.groupBy(*by, "_cell").agg(*[F.sum(s).alias(s) for s in sums])
+    before = W.partitionBy(*by).orderBy(ordered("_cell")).rowsBetween(W.unboundedPreceding, -1)
     offsets = per_cell.select(
-        *by, cell, *[F.coalesce(F.sum(s).over(before), F.lit(0)).alias(f"_{s}_0") for s in sums],
+        *by, "_cell", *[F.coalesce(F.sum(s).over(before), F.lit(0)).alias(f"_{s}_0") for s in sums],
         *[F.sum(s).over(W.partitionBy(*by)).alias(t) for s, t in (totals or {}).items()])
-    inside = W.partitionBy(*by, cell).orderBy(ordered(value)).rowsBetween(W.unboundedPreceding, 0)
-    out = df.withColumns({t: F.sum(s).over(inside) for s, t in sums.items()}).join(offsets, [*by, cell])
+    inside = W.partitionBy(*by, "_cell").orderBy(*[ordered(v) for v in values]).rowsBetween(W.unboundedPreceding, 0)
+    out = joined(placed.withColumns({t: F.sum(s).over(inside) for s, t in sums.items()}), offsets, [*by, "_cell"])
     return (out.withColumns({t: F.col(t) + F.col(f"_{s}_0") for s, t in sums.items()})
-            .drop(*[f"_{s}_0" for s in sums]))
+            .drop("_cell", *[f"_{s}_0" for s in sums]))

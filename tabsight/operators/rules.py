@@ -18,6 +18,8 @@ from tabsight.operators.splits import bootstrap_weights
 from tabsight.sources.files import materialised
 
 EPS = 1e-9
+#: Items of a set whose subsets are listed one by one; above that the list would not fit a row.
+MAX_ITEMS = 22
 
 
 def _supports(freq: DataFrame, by: Sequence[str], side: str) -> DataFrame:
@@ -49,11 +51,17 @@ def target_rules(freq: DataFrame, target_item: str, min_confidence: float = 0.6,
 
 
 def proper_subsets(items: str) -> Column:
-    """All non-empty proper subsets of a short array column, each keeping the array's order."""
-    masks = F.when(F.size(items) > 1, F.sequence(
-        F.lit(1), F.call_function("shiftleft", F.lit(1), F.size(items)) - 2)).otherwise(F.array().cast("array<int>"))
+    """All non-empty proper subsets of a short array column, each keeping the array's order.
+
+    Their number doubles with every item; above ``MAX_ITEMS`` items the query stops with an error.
+    """
+    one = F.lit(1).cast("long")
+    too_long = F.raise_error(F.concat(F.lit("subsets of too many items: "), F.size(items).cast("string"))).cast("array<bigint>")
+    masks = (F.when(F.size(items) > MAX_ITEMS, too_long)
+             .when(F.size(items) > 1, F.sequence(one, F.call_function("shiftleft", one, F.size(items)) - 2, one))
+             .otherwise(F.array().cast("array<bigint>")))
     return F.transform(masks, lambda m: F.filter(
-        items, lambda x, i: F.call_function("shiftright", m, i).bitwiseAND(1) == 1))
+        items, lambda x, i: F.call_function("shiftright", m, i).bitwiseAND(one) == 1))
 
 
 def general_rules(freq: DataFrame, *, metric: str = "lift", min_threshold: float = 1.1,

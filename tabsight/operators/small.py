@@ -28,6 +28,20 @@ def small_side(df: DataFrame, limit: int = SMALL_ROWS) -> DataFrame:
     return F.broadcast(df.sparkSession.createDataFrame(rows, df.schema))
 
 
+def joined(left: DataFrame, right: DataFrame, keys: Sequence[str], how: str = "inner") -> DataFrame:
+    """Join on keys of which NULL equals NULL, so that no group is lost; the keys come from the left side."""
+    keys = list(keys)
+    other = right.withColumnsRenamed({k: f"_right_{k}" for k in keys})
+    match = [F.col(k).eqNullSafe(F.col(f"_right_{k}")) for k in keys]
+    if not match:
+        return left.join(other, F.lit(True), how)
+    condition = match[0]
+    for m in match[1:]:
+        condition = condition & m
+    out = left.join(other, condition, how)
+    return out if how in ("left_semi", "left_anti") else out.drop(*[f"_right_{k}" for k in keys])
+
+
 def moments(df: DataFrame, columns: Sequence[str]) -> dict[str, dict[str, float]]:
     """Count, mean and population deviation of several columns' finite values, in one scan."""
     x = {c: finite(c) for c in columns}

@@ -10,6 +10,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from tabsight.functions.expressions import hash32
+from tabsight.operators.small import joined
 
 CELL_BITS = 16
 
@@ -29,7 +30,7 @@ def hash_positions(df: DataFrame, by: Sequence[str], keys: Sequence[str], seed:
              .select(*by, "_cell", F.coalesce(F.sum("_m").over(before), F.lit(0)).alias("_before"),
                      F.sum("_m").over(W.partitionBy(*by)).alias("_n")))
     inside = W.partitionBy(*by, "_cell").orderBy("_u", *keys)
-    return (u.withColumn("_rn", F.row_number().over(inside)).join(cells, [*by, "_cell"])
+    return (joined(u.withColumn("_rn", F.row_number().over(inside)), cells, [*by, "_cell"])
             .withColumn("_rn", F.col("_rn") + F.col("_before")).drop("_u", "_cell", "_before"))
 
 
@@ -81,11 +82,13 @@ def spotlight_ids(df: DataFrame, id: str, ids: DataFrame, n: int = 20, seed: str
 
 def poisson_cuts(rate: float) -> list[int]:
     """Upper bounds of a 32-bit uniform for each Poisson count: count = number of cuts <= u."""
+    if not 0 < rate <= 1:
+        raise ValueError(f"a sampling rate is above 0 and at most 1, not {rate}")
     cuts, p, total, k = [], math.exp(-rate), 0.0, 0
     while True:
         total += p
         cut = int(total * 2**32)
-        if cut >= 2**32 - 1 or k > 200:
+        if cut >= 2**32 - 1:
             return cuts
         cuts.append(cut)
         k += 1

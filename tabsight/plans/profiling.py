@@ -230,12 +230,11 @@ def class_quartiles(spark, sf_dir):
 
 
 @query("count_by_value_class", with_views(MEASURE) + """
-SELECT v.value, c.class, coalesce(n, 0)::bigint AS n FROM (SELECT DISTINCT hi*10+lo AS value FROM v_measure
-  WHERE l_quantity<3) v CROSS JOIN (SELECT unnest([0, 1]) AS class) c LEFT JOIN (SELECT hi*10+lo AS value,
-  target AS class, count(*) AS n FROM v_measure WHERE l_quantity<3 GROUP BY 1, 2) x
+SELECT v.value, c.class, coalesce(n, 0)::bigint AS n FROM (SELECT DISTINCT hi*10+lo AS value FROM v_measure) v CROSS JOIN (SELECT unnest([0, 1]) AS class) c LEFT JOIN (SELECT hi*10+lo AS value,
+  target AS class, count(*) AS n FROM v_measure GROUP BY 1, 2) x
   ON v.value=x.value AND c.class=x.class""")
 def count_by_value_class(spark, sf_dir):
-    m = measure(spark, sf_dir).filter("l_quantity < 3")
+    m = measure(spark, sf_dir)
     return P.count_by_value_class(m, F.col("hi") * 10 + F.col("lo"), "target")
 
 
@@ -248,7 +247,7 @@ def count_by_state_class(spark, sf_dir):
 
 @query("ordinal_trend", with_views(MEASURE) + """
 SELECT round(regr_slope(y, x), 6) AS slope, round(regr_intercept(y, x), 6) AS intercept, count(*) AS levels FROM (
-  SELECT l_linenumber::double AS x, 100*avg(target) AS y FROM v_measure WHERE l_linenumber IN (1, 2, 3) GROUP BY 1)""")
+  SELECT l_linenumber::double AS x, 100*avg(target) AS y FROM v_measure GROUP BY 1)""")
 def ordinal_trend(spark, sf_dir):
     return P.ordinal_trend(measure(spark, sf_dir), "l_linenumber", "target")
 

@@ -4,9 +4,9 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from tabsight.operators import quantiles
+from tabsight.operators.metrics import all_metrics, average_precision, roc_auc, score_counts
 from tabsight.operators.quantiles import exact_quantiles, quantile_values
-from tabsight.operators.ranking import cell_edges, running_totals, with_cells
+from tabsight.operators.ranking import range_cells, running_totals
 from tabsight.operators.splits import bootstrap_weights, hash_positions, poisson_cuts, stratified_folds, stratified_split
 
 PROBS = [0.0, 0.01, 0.25, 0.5, 0.8, 0.99, 1.0]
@@ -40,8 +40,7 @@ def test_quantiles_by_group_ignore_missing(spark, accuracy):
     assert got["c"] == (0, [None, None])
 
 
-def test_quantiles_cell_by_cell(spark, monkeypatch):
-    monkeypatch.setattr(quantiles, "MAX_WINDOW_ROWS", 0)
+def test_quantiles_cell_by_cell(spark):
     rng = np.random.default_rng(12)
     rows = [(g, float(v)) for g in ("a", "b") for v in np.round(rng.exponential(20, 1500), 1)]
     df = spark.createDataFrame(rows, "g string, x double").repartition(4)
@@ -67,9 +66,7 @@ def test_running_totals_match_a_plain_cumsum(spark, cells, descending):
     rng = np.random.default_rng(3)
     rows = sorted({(g, round(float(v), 2)) for g in ("a", "b") for v in rng.exponential(1, 400)})
     df = spark.createDataFrame([(g, v, i % 7) for i, (g, v) in enumerate(rows)], "g string, v double, m long")
-    placed = with_cells(df, "v", cell_edges(df, "v", cells))
-    assert placed.select("cell").distinct().count() > 1
-    out = running_totals(placed, by=["g"], value="v", sums={"m": "upto"}, descending=descending).collect()
+    out = running_totals(df, by=["g"], value="v", sums={"m": "upto"}, descending=descending, cells=cells).collect()
     got = {(r["g"], r["v"]): r["upto"] for r in out}
     for g in ("a", "b"):
         mine = [(v, m) for (k, v), m in zip(rows, (i % 7 for i in range(len(rows)))) if k == g]
@@ -105,3 +102,32 @@ def test_poisson_weights_have_the_right_mean(spark):
     w = bootstrap_weights(spark.range(3000), ["id"], 10, rate=0.8).groupBy("replicate").agg(F.sum("w").alias("n"))
     totals = [r["n"] for r in w.collect()]
     assert len(totals) == 10 and abs(np.mean(totals) / 3000 - 0.8) < 0.03
+
+
+def test_cells_are_even_whatever_the_ranges(spark):
+    """One column in [0, 1] next to wide ones, and a score that nearly all rows share."""
+    narrow = spark.range(20_000).select(F.lit("c0").alias("column"), F.rand(1).alias("value"))
+    wide = spark.range(20_000).select(F.lit("c1").alias("column"), (F.rand(2) * 1e6).alias("value"))
+    sizes = [r["count"] for r in range_cells(narrow.unionByName(wide), ["column", "value"], cells=16).groupBy("cell").count().collect()]
+    assert len(sizes) > 12 and max(sizes) <= 2 * 40_000 / 16
+    zeros = spark.range(50_000).select(F.when(F.col("id") % 100 < 97, 0.0).otherwise(F.rand(3)).alias("y_pred"), F.lit(1).alias("y_true"), F.lit("m").alias("model"))
+    counts = score_counts(zeros)
+    sizes = [r["count"] for r in range_cells(counts, ["model", "score"], cells=16).groupBy("cell").count().collect()]
+    assert max(sizes) <= 2 * counts.count() / 16 + 1
+
+
+def test_null_groups_are_kept(spark):
+    df = spark.createDataFrame([(None if i % 10 == 0 else i % 2, i, float(i % 13) / 13, i % 3 == 0) for i in range(1000)], "y int, k long, p double, b boolean")
+    assert stratified_split(df, "y", ["k"]).count() == 1000
+    assert stratified_folds(df, "y", ["k"]).count() == 1000
+    split = stratified_split(df, "y", ["k"]).filter("y IS NULL").groupBy("split").count().collect()
+    assert {r["split"]: r["count"] for r in split} == {"test": 20, "train": 80}
+    q = {r["y"]: (r["n"], r["q"]) for r in exact_quantiles(df, ["p"], [0.5], by=["y"]).collect()}
+    mine = [float(i % 13) / 13 for i in range(0, 1000, 10)]
+    assert q[None] == (100, [pytest.approx(float(np.median(mine)))])
+    scored = df.select(F.col("y").alias("model"), F.col("b").cast("int").alias("y_true"), F.col("p").alias("y_pred"))
+    counts = score_counts(scored)
+    for found in (roc_auc(counts, ["model"]), average_precision(counts, ["model"]), all_metrics(scored)):
+        assert {r["model"] for r in found.collect()} == {None, 0, 1}
+    with pytest.raises(ValueError):
+        poisson_cuts(800)

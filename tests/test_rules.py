@@ -55,10 +55,13 @@ def test_grouped_itemsets_match_each_group(frame, baskets):
         assert mine == brute([b for i, b in enumerate(baskets) if i % 2 == g], 0.1, 3)
 
 
-def test_itemsets_survive_a_side_too_large_to_fetch(frame, baskets, monkeypatch):
-    monkeypatch.setattr(S, "MAX_LOCAL_SETS", 2)
-    got = {tuple(r["items"]): r["count"] for r in S.frequent_itemsets(frame, min_support=0.1, max_len=3).collect()}
-    assert got == brute(baskets, 0.1, 3)
+def test_subsets_of_many_items_are_all_there_or_an_error(spark):
+    df = spark.createDataFrame([([str(i) for i in range(n)],) for n in (1, 2, 12)], "items array<string>")
+    sizes = [r[0] for r in df.select(F.size(R.proper_subsets("items"))).collect()]
+    assert sizes == [0, 2, 2**12 - 2]
+    long = spark.createDataFrame([([str(i) for i in range(32)],)], "items array<string>")
+    with pytest.raises(Exception, match="too many items"):
+        long.select(R.proper_subsets("items")).collect()
 
 
 def test_general_rules_match_brute_force(frame, baskets):

@@ -167,3 +167,18 @@ def test_guarded_diff_and_products(spark):
     assert rows(D.guarded_diff(df, "hi", "lo", "d"), "d") == [(40,), (None,), (None,)]
     out = D.interactions(df, {"p": ("hi", "lo"), "q": ("hi", "none")})
     assert out.columns == ["hi", "lo", "p"]
+
+
+def test_missing_readings_raise_no_flag_and_are_not_filled(spark):
+    df = spark.createDataFrame([(1, 120.0, 80.0), (2, None, 80.0), (3, 120.0, None), (4, 70.0, 90.0)], "id int, hi double, lo double")
+    kept = {mode: {r["id"] for r in P.filter_sanity(df, "hi", "lo", strict=mode).collect()} for mode in (False, True)}
+    assert kept[False] == {1, 2, 3} and kept[True] <= kept[False] and {2, 3} <= kept[True]
+    assert {r["id"]: r["flag_low_gt_high"] for r in P.quality_flags(df, "hi", "lo").collect()} == {1: False, 2: False, 3: False, 4: True}
+    fixed = {r["id"]: (r["hi"], r["lo"]) for r in C.pair_repair(df, "hi", "lo", drop_negative=False).collect()}
+    assert fixed[2] == (None, 80.0) and fixed[3] == (120.0, None) and fixed[4] == (90.0, 70.0)
+
+
+def test_histogram_and_quartiles_keep_a_null_class(spark):
+    df = spark.createDataFrame([(None if i % 4 == 0 else i % 2, float(i)) for i in range(80)], "y int, x double")
+    assert sum(r["n"] for r in P.class_histogram(df, "x", "y").collect()) == 80
+    assert {r["y"]: r["n"] for r in P.class_quartiles(df, ["x"], "y").collect()} == {None: 20, 0: 20, 1: 40}
