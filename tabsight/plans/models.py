@@ -14,7 +14,7 @@ from tabsight.plans.views import MEASURE, MEASURE_KEYS, PRED_LONG, measure, pred
 from tabsight.sources.files import materialised
 
 FEATURES = ["l_quantity", "l_extendedprice", "hi", "lo", "l_linenumber"]
-FOLDS = 3
+FOLDS = 5
 QUICK = {"trees": 10, "depth": 5}
 
 

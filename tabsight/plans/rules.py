@@ -12,7 +12,7 @@ from tabsight.plans.registry import query
 from tabsight.plans.splits import sql_draws
 from tabsight.plans.views import BASKET, baskets, table, with_views
 
-SUPPORT, CONFIDENCE, LIFT, LEN = 0.02, 0.5, 1.0, 3
+SUPPORT, CONFIDENCE, LIFT, LEN = 0.02, 0.5, 1.0, 4
 
 NORM = MEANS + """, v_norm AS (SELECT *, score/CASE WHEN max(score) OVER f=0 THEN 1 ELSE max(score) OVER f END AS norm
   FROM v_mean WINDOW f AS (PARTITION BY feature))
@@ -94,13 +94,12 @@ def sql_sets(src: str, rows: str, by: str = "", key: str = "id", support: float
     on = f" USING ({by})" if by else ""
     one = f"SELECT {g}x.item AS items, 1 AS k, count(*) AS count FROM {src} x GROUP BY ALL"
     p = f"x.{by}, " if by else ""
-    parts = [one,
-             f"SELECT {p}x.item||','||y.item AS items, 2 AS k, count(*) AS count FROM {src} x JOIN {src} y "
-             f"ON x.{key}=y.{key} AND x.item<y.item GROUP BY ALL"]
-    if size >= 3:
-        parts.append(
-            f"SELECT {p}x.item||','||y.item||','||z.item AS items, 3 AS k, count(*) AS count FROM {src} x JOIN {src} y "
-            f"ON x.{key}=y.{key} AND x.item<y.item JOIN {src} z ON x.{key}=z.{key} AND y.item<z.item GROUP BY ALL")
+    parts = [one]
+    for k in range(2, size + 1):
+        names = "xyzuvw"[:k]
+        joins = "".join(f" JOIN {src} {n} ON x.{key}={n}.{key} AND {m}.item<{n}.item" for m, n in zip(names, names[1:]))
+        items = "||','||".join(f"{n}.item" for n in names)
+        parts.append(f"SELECT {p}{items} AS items, {k} AS k, count(*) AS count FROM {src} x{joins} GROUP BY ALL")
     join = f"JOIN ({rows}) t{on}" if by else f"CROSS JOIN ({rows}) t"
     return f"""freq AS (SELECT {g}items, k, count, rows, count/rows::double AS support
   FROM ({' UNION ALL '.join(parts)}) {join} WHERE count/rows::double >= {support})"""
