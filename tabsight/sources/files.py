@@ -63,11 +63,23 @@ def sniff_delimiter(spark: SparkSession, path: str) -> str:
 def read_delimited(spark: SparkSession, path: str, schema: T.StructType | None = None) -> DataFrame:
     """Delimited text with a sniffed separator; header names are trimmed and lower-cased.
 
-    Give ``schema`` in production: without it every value stays text, as nothing is inferred.
+    With ``schema`` columns are found by their header names, in any order, and typed; a name that is missing or
+    not in the schema is an error, also where a later file's header differs from the first one's. Without it every
+    value stays text, as nothing is inferred.
     """
-    reader = spark.read.option("header", True).option("sep", sniff_delimiter(spark, path)).option("enforceSchema", True)
-    df = reader.schema(schema).csv(path) if schema else reader.csv(path)
-    return df.toDF(*[c.strip().lower() for c in df.columns])
+    sep = sniff_delimiter(spark, path)
+    reader = spark.read.option("header", True).option("sep", sep)
+    if schema is None:
+        df = reader.csv(path)
+        return df.toDF(*[c.strip().lower() for c in df.columns])
+    raw = reader.csv(path).columns
+    names = [c.strip().lower() for c in raw]
+    wanted = {f.name.strip().lower(): f for f in schema.fields}
+    if sorted(names) != sorted(wanted):
+        raise ValueError(f"header {names} does not match {sorted(wanted)}")
+    typed = T.StructType([T.StructField(c, wanted[n].dataType) for c, n in zip(raw, names)])
+    df = reader.option("enforceSchema", False).schema(typed).csv(path).toDF(*names)
+    return df.select(*[F.col(n).alias(f.name) for n, f in wanted.items()])
 
 
 def write_delimited(df: DataFrame, path: str, sep: str = ";") -> None:

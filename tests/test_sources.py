@@ -15,6 +15,16 @@ def test_delimiter_is_sniffed_and_headers_cleaned(spark, tmp_path, sep):
     assert S.read_delimited(spark, str(f)).columns == ["id", "weight"]
 
 
+def test_columns_are_found_by_header_name(spark, tmp_path):
+    f = tmp_path / "t.csv"
+    f.write_text("Weight , ID\n70.5,1\n")
+    schema = T.StructType([T.StructField("id", T.IntegerType()), T.StructField("weight", T.DoubleType())])
+    assert [tuple(r) for r in S.read_delimited(spark, str(f), schema).collect()] == [(1, 70.5)]
+    for bad in (T.StructType(schema.fields[:1]), T.StructType([*schema.fields, T.StructField("age", T.IntegerType())])):
+        with pytest.raises(ValueError, match="does not match"):
+            S.read_delimited(spark, str(f), bad)
+
+
 def test_id_list_keeps_digit_lines(spark, tmp_path):
     f = tmp_path / "ids.txt"
     f.write_text("3\n x\n 12 \n\n-4\n5a\n3\n")
@@ -63,9 +73,19 @@ def test_manifest(spark):
     assert r["positive_ratio"] == pytest.approx(1 / 3)
 
 
-def test_shared_folder_is_below_the_named_one(spark, tmp_path):
+def test_shared_folder_is_below_the_named_one(spark, tmp_path, monkeypatch):
     class Session:
         conf = {"spark.checkpoint.dir": str(tmp_path)}
 
-    a, b = S.shared_folder(Session()), S.shared_folder(Session())
+    with monkeypatch.context() as m:
+        m.setattr(S, "_hadoop", lambda *a: None)
+        a, b = S.shared_folder(Session()), S.shared_folder(Session())
     assert a != b and a.startswith(str(tmp_path)) and S.shared_folder(spark) != S.shared_folder(spark)
+
+
+def test_discard_deletes_what_was_written(spark):
+    kept, gone = S.materialised(spark.range(3).toDF("a")), S.materialised(spark.range(4).toDF("a"))
+    S.discard(gone)
+    assert kept.count() == 3
+    with pytest.raises(Exception):
+        spark.read.parquet(gone._tabsight_path).count()
