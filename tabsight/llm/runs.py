@@ -7,9 +7,10 @@ with the same minimiser; within one run all windows differ.
 
 * Equal runs are recognised by a 128-bit name (the minimiser, and a hash of the first and last window, which
   together cover a run) and need no text.
+* A run that repeats itself right behind itself, as in periodic text, is one row with the number of times.
 * Only runs that meet different runs in their bucket travel as one packed string each; there all windows are
   sorted by hash, and windows of equal hash are compared byte by byte.
-* A bucket with more runs than ``WIDE`` is spread over the cluster window by window, by 128-bit hash.
+* A bucket with more such runs than ``WIDE`` is spread over the cluster window by window, by 128-bit hash.
 
 A document is addressed by its id and a hash of its text, so repeated or null ids do no harm.
 """
@@ -28,8 +29,10 @@ from tabsight.llm.text import slices, spread, string_buffers, words_of
 from tabsight.sources.files import materialised
 
 STEP = 1 << 22
-WIDE = 20_000
-CHUNK_BYTES = 8 << 20
+SLICE_BYTES = 1 << 20
+WIDE = 5_000
+CHUNK_BYTES = 1 << 20
+PAIRS = 50_000
 _MASK = np.uint64((1 << 24) - 1)
 
 
@@ -155,25 +158,30 @@ def _id_type(df: DataFrame) -> str:
 
 
 def runs_of(texts: DataFrame, kind: Kind) -> DataFrame:
-    """(mini, run, id, tkey, start, n) for every run of every text."""
+    """(mini, run, id, tkey, start, n, times) for every run of every text: it stands there ``times`` times in a row."""
 
     def parse(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             data, offsets = string_buffers(batch.column(2))
-            for i, j in slices(offsets):
+            for i, j in slices(offsets, SLICE_BYTES):
                 e = kind.elements(data[offsets[i]: offsets[j]], offsets[i: j + 1] - offsets[i])
                 first, n, mini = minimiser_runs(e, kind)
                 if not len(first):
                     continue
                 doc = np.searchsorted(e.offsets, first, "right") - 1
                 name = mix(e.windows(first, kind.length) * np.uint64(3) + mix(e.windows(first + n - 1, kind.length)) + n.astype(np.uint64))
+                new = np.ones(len(first), bool)
+                new[1:] = (mini[1:] != mini[:-1]) | (name[1:] != name[:-1]) | (doc[1:] != doc[:-1]) | (first[1:] != first[:-1] + n[:-1])
+                head = np.flatnonzero(new)
+                times = np.diff(np.append(head, len(first)))
+                first, n, mini, name, doc = (x[head] for x in (first, n, mini, name, doc))
                 rows = pa.array(doc + i)
                 yield pa.RecordBatch.from_arrays(
                     [pa.array(mini.view(np.int64)), pa.array(name.view(np.int64)), batch.column(0).take(rows), batch.column(1).take(rows),
-                     pa.array(first - e.offsets[doc]), pa.array(n.astype(np.int32))],
-                    ["mini", "run", "id", "tkey", "start", "n"])
+                     pa.array(first - e.offsets[doc]), pa.array(n), pa.array(times)],
+                    ["mini", "run", "id", "tkey", "start", "n", "times"])
 
-    return texts.mapInArrow(parse, f"mini long, run long, id {_id_type(texts)}, tkey long, start long, n int")
+    return texts.mapInArrow(parse, f"mini long, run long, id {_id_type(texts)}, tkey long, start long, n long, times long")
 
 
 def repeated_windows(texts: DataFrame, kind: Kind, earlier: bool, wide: int = WIDE) -> DataFrame:
@@ -186,12 +194,12 @@ def repeated_windows(texts: DataFrame, kind: Kind, earlier: bool, wide: int = WI
         found = found.withColumn("known", order > F.min(order).over(name)).withColumn("open", ~F.col("known"))
     else:
         this = F.struct("id", "tkey", "start")
-        found = found.withColumn("known", F.count(F.lit(1)).over(name) > 1).withColumn("open", ~F.col("known") | (this == F.min(this).over(name)))
+        found = found.withColumn("known", F.sum("times").over(name) > 1).withColumn("open", ~F.col("known") | (this == F.min(this).over(name)))
     found = (found.withColumn("open", F.col("open") & (F.min("run").over(bucket) != F.max("run").over(bucket)))
-             .withColumn("wide", F.count(F.lit(1)).over(bucket) > wide)
-             .filter("known or open").select("id", "tkey", "start", "n", "mini", "known", "open", "wide"))
+             .withColumn("wide", F.sum(F.col("open").cast("long")).over(bucket) > wide)
+             .filter("known or open").select("id", "tkey", "start", "n", "times", "mini", "known", "open", "wide"))
     found = materialised(found)
-    parts = [found.filter("known").select("id", "tkey", "start", "n")]
+    parts = [found.filter("known").select("id", "tkey", "start", (F.col("n") * F.col("times")).alias("n"))]
     narrow = _packed(texts, found.filter("open and not wide"), kind, order)
     parts.append(_sorted_buckets(narrow.repartition("mini").sortWithinPartitions("mini"), kind, earlier))
     if found.filter("open and wide").limit(1).count():
@@ -213,7 +221,7 @@ def _with_texts(texts: DataFrame, lists: DataFrame, how: str) -> DataFrame:
 
 
 def _packed(texts: DataFrame, rows: DataFrame, kind: Kind, order: Column) -> DataFrame:
-    """(mini, ord, id, tkey, start, packed): the bytes of each run, its words one space apart."""
+    """(mini, ord, id, tkey, start, n, times, packed): the bytes of each run, its words one space apart."""
 
     def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -222,7 +230,7 @@ def _packed(texts: DataFrame, rows: DataFrame, kind: Kind, order: Column) -> Dat
                 data, offsets = string_buffers(one.column("body"))
                 e = kind.elements(data, offsets)
                 runs = one.column("rows").flatten()
-                start, n, mini = (runs.field(c).to_numpy(zero_copy_only=False) for c in ("start", "n", "mini"))
+                start, n, mini, times = (runs.field(c).to_numpy(zero_copy_only=False) for c in ("start", "n", "mini", "times"))
                 raw = data.tobytes()
                 if kind.unit == "word":
                     last = start + n + kind.length - 2
@@ -231,11 +239,12 @@ def _packed(texts: DataFrame, rows: DataFrame, kind: Kind, order: Column) -> Dat
                     packed = [raw[a:b] for a, b in zip(start.tolist(), (start + n + kind.length - 1).tolist(), strict=True)]
                 same = pa.array(np.zeros(len(start), np.int64))
                 yield pa.RecordBatch.from_arrays(
-                    [pa.array(mini), one.column("ord").take(same), one.column("id").take(same), one.column("tkey").take(same), pa.array(start), pa.array(packed, pa.binary())],
-                    ["mini", "ord", "id", "tkey", "start", "packed"])
+                    [pa.array(mini), one.column("ord").take(same), one.column("id").take(same), one.column("tkey").take(same), pa.array(start), pa.array(n), pa.array(times),
+                     pa.array(packed, pa.binary())],
+                    ["mini", "ord", "id", "tkey", "start", "n", "times", "packed"])
 
-    joined = _with_texts(texts, _lists(rows, "start", "n", "mini"), "inner").withColumn("ord", order)
-    return joined.mapInArrow(pack, f"mini long, ord long, id {_id_type(texts)}, tkey long, start long, packed binary")
+    joined = _with_texts(texts, _lists(rows, "start", "n", "mini", "times"), "inner").withColumn("ord", order)
+    return joined.mapInArrow(pack, f"mini long, ord long, id {_id_type(texts)}, tkey long, start long, n long, times long, packed binary")
 
 
 def _windows(packed: pa.Array, kind: Kind) -> tuple[Elements, np.ndarray, np.ndarray]:
@@ -254,9 +263,12 @@ def _classes(e: Elements, at: np.ndarray, kind: Kind) -> tuple[np.ndarray, np.nd
     new[1:] = hashes[order[1:]] != hashes[order[:-1]]
     raw = e.data.tobytes()
     a, b = e.starts[at], e.ends[at + kind.length - 1]
-    pairs = np.flatnonzero(~new)
-    p, q = order[pairs - 1], order[pairs]
-    differ = [k for k, w, x, y, z in zip(pairs.tolist(), a[p].tolist(), b[p].tolist(), a[q].tolist(), b[q].tolist(), strict=True) if raw[w:x] != raw[y:z]]
+    equal = np.flatnonzero(~new)
+    differ = []
+    for low in range(0, len(equal), PAIRS):
+        pairs = equal[low: low + PAIRS]
+        p, q = order[pairs - 1], order[pairs]
+        differ += [k for k, w, x, y, z in zip(pairs.tolist(), a[p].tolist(), b[p].tolist(), a[q].tolist(), b[q].tolist(), strict=True) if raw[w:x] != raw[y:z]]
     if differ:  # two contents with one hash: order those windows by their bytes
         group = np.cumsum(new)
         for g in {int(group[k]) for k in differ}:
@@ -291,10 +303,14 @@ def _sorted_buckets(packed: DataFrame, kind: Kind, earlier: bool) -> DataFrame:
         head = np.ones(len(hit), bool)
         head[1:] = (np.diff(hit) != 1) | (row[hit[1:]] != row[hit[:-1]])
         cut = np.flatnonzero(head)
-        rows = row[hit[cut]]
-        take = pa.array(rows)
+        rows, size = row[hit[cut]], np.diff(np.append(cut, len(hit)))
         start = batch.column("start").to_numpy()[rows] + at[hit[cut]] - e.offsets[rows]
-        yield pa.RecordBatch.from_arrays([batch.column("id").take(take), batch.column("tkey").take(take), pa.array(start), pa.array(np.diff(np.append(cut, len(hit))).astype(np.int32))],
+        step, times = (batch.column(c).to_numpy()[rows] for c in ("n", "times"))
+        whole = size == step  # then its repetitions make one stretch with it
+        size, times = np.where(whole, size * times, size), np.where(whole, 1, times)
+        start = np.repeat(start, times) + (spread(np.zeros(len(times), np.int64), times) * np.repeat(step, times))
+        take = pa.array(np.repeat(rows, times))
+        yield pa.RecordBatch.from_arrays([batch.column("id").take(take), batch.column("tkey").take(take), pa.array(start), pa.array(np.repeat(size, times))],
                                          ["id", "tkey", "start", "n"])
 
     def sort(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -318,7 +334,7 @@ def _sorted_buckets(packed: DataFrame, kind: Kind, earlier: bool) -> DataFrame:
         if kept:
             yield from solve(_together(kept))
 
-    return packed.mapInArrow(sort, f"id {_id_type(packed)}, tkey long, start long, n int")
+    return packed.mapInArrow(sort, f"id {_id_type(packed)}, tkey long, start long, n long")
 
 
 def _together(parts: list[pa.RecordBatch]) -> pa.RecordBatch:
@@ -338,13 +354,14 @@ def _spread_buckets(packed: DataFrame, kind: Kind, earlier: bool) -> DataFrame:
                 rows = pa.array(row)
                 yield pa.RecordBatch.from_arrays(
                     [pa.array(e.windows(at, kind.length).view(np.int64)), pa.array(e.windows(at, kind.length, 23).view(np.int64)),
-                     *(part.column(c).take(rows) for c in ("ord", "id", "tkey")), pa.array(part.column("start").to_numpy()[row] + at - e.offsets[row])],
-                    ["h1", "h2", "ord", "id", "tkey", "start"])
+                     *(part.column(c).take(rows) for c in ("ord", "id", "tkey", "n", "times")), pa.array(part.column("start").to_numpy()[row] + at - e.offsets[row])],
+                    ["h1", "h2", "ord", "id", "tkey", "n", "times", "start"])
 
-    rows = packed.mapInArrow(emit, f"h1 long, h2 long, ord long, id {_id_type(packed)}, tkey long, start long")
+    rows = packed.mapInArrow(emit, f"h1 long, h2 long, ord long, id {_id_type(packed)}, tkey long, n long, times long, start long")
     same = Window.partitionBy("h1", "h2")
     hit = F.col("ord") > F.min("ord").over(same) if earlier else F.count(F.lit(1)).over(same) > 1
-    return rows.withColumn("hit", hit).filter("hit").select("id", "tkey", "start", F.lit(1).alias("n"))
+    found = rows.withColumn("hit", hit).filter("hit").withColumn("turn", F.explode(F.sequence(F.lit(0).cast("long"), F.col("times") - 1)))
+    return found.select("id", "tkey", (F.col("start") + F.col("n") * F.col("turn")).alias("start"), F.lit(1).cast("long").alias("n"))
 
 
 def covered(start: np.ndarray, n: np.ndarray, length: int, size: int) -> np.ndarray:
