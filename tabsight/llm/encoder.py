@@ -16,7 +16,7 @@ import pyarrow as pa
 
 from tabsight.llm.text import MAX_SLICE, is_space, slices, spread, string_buffers
 
-CACHE_CHUNKS = 1_000_000
+CACHE_CHUNKS = 800_000
 
 # fixed values: lead bytes of UTF-8 sequences that can be white space; no cut behind those
 _UNSURE_LEADS = (0xC2, 0xE1, 0xE2, 0xE3)

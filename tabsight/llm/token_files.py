@@ -49,20 +49,27 @@ def decode_ranks(control: bytes, data: bytes, n: int) -> np.ndarray:
     return out
 
 
+def id_bytes(tokenizer: str, end_id: int) -> str:
+    """The type of ids between stages: two bytes where the vocabulary allows, else four."""
+    return "<u2" if max(encoder(tokenizer).library.get_vocab_size(), end_id + 1) <= 1 << 16 else "<u4"
+
+
 def tokenised(docs: DataFrame, tokenizer: str, end_id: int, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """(id, n_tokens, ids as little-endian unsigned 32-bit integers), the end id included."""
+    """(id, n_tokens, ids as integers of ``id_bytes``), the end id included."""
+    width = id_bytes(tokenizer, end_id)
     kind = id_column(docs, id_col).schema[id_col].dataType.simpleString()
 
     def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        end = np.array([end_id], "<u4")
+        end = np.array([end_id], np.uint32)
         for batch in batches:
-            low, n, ids = 0, [], []
+            low, n, ids, size = 0, [], [], 0
             for _, own in encoder(tokenizer).encode(batch.column(1)):
                 n.append(len(own) + 1)
-                ids.append(np.concatenate((own, end)).astype("<u4").tobytes())
-                if sum(map(len, ids[-1:])) + 4 * sum(n) > 64 << 20:
+                ids.append(np.concatenate((own, end)).astype(width).tobytes())
+                size += len(ids[-1])
+                if size > 8 << 20:
                     yield _batch(batch, low, n, ids, id_col)
-                    low, n, ids = low + len(n), [], []
+                    low, n, ids, size = low + len(n), [], [], 0
             if n:
                 yield _batch(batch, low, n, ids, id_col)
 
@@ -74,14 +81,14 @@ def _batch(batch: pa.RecordBatch, low: int, n: list[int], ids: list[bytes], id_c
                                       [id_col, "n_tokens", "ids"])
 
 
-def token_counts(tokens: DataFrame) -> DataFrame:
-    """(id, n) over all documents; a task hands on each id once."""
+def token_counts(tokens: DataFrame, width: str) -> DataFrame:
+    """(token, n) over all documents; a task hands on each id once."""
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         total = np.zeros(1 << 16, np.int64)
         for batch in batches:
             for ids in batch.column(0):
-                own = np.bincount(np.frombuffer(ids.as_buffer(), "<u4"))
+                own = np.bincount(np.frombuffer(ids.as_buffer(), width))
                 if len(own) > len(total):
                     total = np.concatenate((total, np.zeros(len(own), np.int64)))
                 total[: len(own)] += own
@@ -98,9 +105,10 @@ def write_token_files(docs: DataFrame, path: str, tokenizer: str, end_id: int, i
     Null and empty texts hold the end id alone; null ids come first; repeated rows are documents of their own,
     side by side; an empty table gives empty files. The ids' number is bounded by the vocabulary.
     """
+    width = id_bytes(tokenizer, end_id)
     tokens = materialised(tokenised(docs, tokenizer, end_id, id_col, text_col), "zstd")
     kind = docs.schema[id_col].dataType.simpleString()
-    order = sorted(token_counts(tokens).collect(), key=lambda r: (-r["n"], r["token"]))  # the vocabulary at most
+    order = sorted(token_counts(tokens, width).collect(), key=lambda r: (-r["n"], r["token"]))  # the vocabulary at most
     spark = docs.sparkSession
     rank_of = np.zeros(max((r["token"] for r in order), default=0) + 1, np.uint32)
     rank_of[[r["token"] for r in order]] = np.arange(len(order))
@@ -110,7 +118,7 @@ def write_token_files(docs: DataFrame, path: str, tokenizer: str, end_id: int, i
         for batch in batches:
             for k in range(0, batch.num_rows, 256):
                 some = batch.slice(k, 256)
-                pairs = [encode_ranks(rank_of[np.frombuffer(x.as_buffer(), "<u4")]) for x in some.column("ids")]
+                pairs = [encode_ranks(rank_of[np.frombuffer(x.as_buffer(), width)]) for x in some.column("ids")]
                 n = some.column("n_tokens").to_numpy()
                 yield pa.RecordBatch.from_arrays(
                     [pa.array([part] * len(n), pa.int32()), pa.array(at + np.cumsum(n) - n), some.column(id_col), some.column("n_tokens"),
@@ -122,7 +130,7 @@ def write_token_files(docs: DataFrame, path: str, tokenizer: str, end_id: int, i
     spark.createDataFrame([(i, r["token"]) for i, r in enumerate(order)], "rank long, token long").coalesce(1).write.parquet(f"{path}/ranks")
     (tokens.repartitionByRange(cells, F.col(id_col).asc_nulls_first()).sortWithinPartitions(F.col(id_col).asc_nulls_first())
      .mapInArrow(encode, f"part int, start_in_part long, `{id_col}` {kind}, n_tokens long, control binary, data binary")
-     .write.parquet(f"{path}/tokens"))
+     .write.option("compression", "zstd").parquet(f"{path}/tokens"))
     discard(tokens)
 
 
