@@ -3,7 +3,7 @@
 Documents with equal sets of word shingles form a class and are compared once. Every class has a label of
 ``DEPTH`` minimum hashes in each of ``TREES`` trees. A tree's labels, sorted, are its prefix trie: classes that
 share a prefix stand together, those with the longest common prefix side by side. Each class meets its next
-``NEAR`` neighbours; classes further apart in a long stretch are met through the chain between them. The matched
+``NEAR`` neighbours, of those with its own full label only the next ``CLOSE``; classes further apart in a long stretch are met through the chain between them. The matched
 prefix starts at full depth and is shortened until the expected recall, from the similarities found, is enough;
 the depth that reaches it at the threshold itself ends the search.
 
@@ -31,6 +31,8 @@ TREES = 32
 DEPTH = 8
 RECALL = 0.9999
 NEAR = 8
+#: Of the next neighbours with the same full label, so many are met: the group is verified as a whole later.
+CLOSE = 2
 BLOCK = 128
 SKETCH = 128
 #: Standard deviations that a sketch may be below the threshold.
@@ -102,8 +104,9 @@ def candidates(classes: DataFrame, depth: int, near: int, permille: int) -> Data
     tree = F.posexplode(F.transform(F.sequence(F.lit(0), F.lit(TREES - 1)), lambda t: F.substring("labels", t * 2 * DEPTH + 1, F.lit(2 * DEPTH)))).alias("tree", "label")
     trie = Window.partitionBy("tree", "prefix").orderBy("label", "node").rowsBetween(1, near)
     pairs = (classes.select("node", tree).withColumn("prefix", F.substring("label", 1, 2 * depth))
-             .withColumn("others", F.collect_list("node").over(trie)).filter(F.size("others") > 0)
-             .select("node", F.explode("others").alias("other"))
+             .withColumn("others", F.collect_list(F.struct("label", "node")).over(trie)).filter(F.size("others") > 0)
+             .withColumn("others", F.filter("others", lambda o, i: (i < CLOSE) | (o["label"] != F.col("label"))))
+             .select("node", F.explode("others.node").alias("other"))
              .select(F.least("node", "other").alias("a"), F.greatest("node", "other").alias("b")).distinct())
     left = classes.select(F.col("node").alias("a"), F.col("sketch").alias("x"))
     right = classes.select(F.col("node").alias("b"), F.col("sketch").alias("y"))
