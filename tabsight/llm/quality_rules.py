@@ -121,8 +121,8 @@ def learn(labelled: DataFrame, label: str, key: str, features: tuple[str, ...] =
     if got[features[0]] is None:
         return []
     edges = {f: sorted(set(map(float, got[f]))) for f in features}
-    # a bin is the number of edges below a value, doubled, plus one at an edge: both directions read off it
-    place = [F.struct(F.lit(f).alias("f"), _place(F.col(f), edges[f]).alias("b")) for f in features]
+    rows = materialised(rows.withColumns({f"__bin_{f}": _place(f, edges[f]) for f in features}))
+    place = [F.struct(F.lit(f).alias("f"), F.col(f"__bin_{f}").alias("b")) for f in features]
     rules: list[Rule] = []
     while len(rules) < max_rules:
         open_rows = rows.filter(~covers_any(rules)) if rules else rows
@@ -150,11 +150,10 @@ def covers_any(rules: list[Rule]) -> Column:
     return out
 
 
-def _place(value: Column, edges: list[float]) -> Column:
-    out = F.lit(0)
-    for e in edges:
-        out = out + F.when(value > e, 2).when(value == e, 1).otherwise(0)
-    return out
+def _place(feature: str, edges: list[float]) -> Column:
+    """The number of edges below a value, doubled, plus one at an edge: conditions in both directions read off it."""
+    cuts = F.array(*(F.lit(e) for e in edges))
+    return (2 * F.size(F.filter(cuts, lambda e: e < F.col(feature))) + F.array_contains(cuts, F.col(feature).cast("double")).cast("int")).cast("int")
 
 
 def _counts(rows: DataFrame, place: list[Column]) -> dict[str, dict[int, list[int]]]:
