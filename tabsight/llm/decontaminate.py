@@ -13,8 +13,9 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
-from tabsight.llm.text import id_column
+from tabsight.llm.text import all_columns, id_column
 
 WINDOW = 13
 
@@ -24,6 +25,7 @@ BLOCK_BYTES = 16 << 20
 #: Other bytes than a-z, 0-9 and those beyond ASCII become spaces, A-Z become a-z.
 NORMAL = bytes(b if b >= 0x80 or chr(b).isdigit() or chr(b).islower() else b + 32 if chr(b).isupper() else 32 for b in range(256))
 
+SEEN = "__body string, items array<string>, ranges array<array<int>>"
 SCHEMA = "n_words long, n_hit long, items array<string>, spans array<struct<start:int,end:int>>"
 
 _automata: dict[tuple, tuple] = {}
@@ -98,22 +100,22 @@ def decontaminate(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id",
     that are equal are all named; an empty benchmark hits nothing; an empty table gives no rows. Work per text is
     linear in its length.
     """
-    keys = [id_column(docs, id_col), *carry]
-    kinds = ", ".join(f"`{c}` {docs.schema[c].dataType.simpleString()}" for c in [id_col, *carry])
+    keys = [id_col, *carry]
+    id_column(docs, id_col)
     blocks = item_blocks(benchmark, item_col, item_text_col, block_bytes)
-    out = docs.select(id_col, *carry, F.col(text_col).alias("__body"))
+    out = docs.select(*keys, F.col(text_col).alias("__body"))
     for i, items in enumerate(blocks):
-        out = _scan(out, items, window, kinds, len(keys), first=i == 0, last=i == len(blocks) - 1)
+        out = _scan(out, items, window, len(keys), first=i == 0, last=i == len(blocks) - 1)
     return out
 
 
 def clean(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text", **options) -> DataFrame:
     """The documents, with all their columns, that are not contaminated."""
-    whole = docs.withColumn("__row", F.struct(*docs.columns))
+    whole = docs.withColumn("__row", F.struct(*all_columns(docs)))
     return decontaminate(whole, benchmark, id_col, text_col, carry=("__row",), **options).filter(~is_contaminated()).select("__row.*")
 
 
-def _scan(docs: DataFrame, items: tuple[tuple[str, str], ...], window: int, kinds: str, n_keys: int, first: bool, last: bool) -> DataFrame:
+def _scan(docs: DataFrame, items: tuple[tuple[str, str], ...], window: int, n_keys: int, first: bool, last: bool) -> DataFrame:
     """One automaton over all texts; what earlier blocks have found is carried along."""
 
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -122,8 +124,8 @@ def _scan(docs: DataFrame, items: tuple[tuple[str, str], ...], window: int, kind
             for k in range(0, batch.num_rows, 2000):
                 yield _scan_batch(batch.slice(k, 2000), found, n_keys, first, last)
 
-    seen = "items array<string>, ranges array<array<int>>"
-    return docs.mapInArrow(scan, f"{kinds}, {SCHEMA}" if last else f"{kinds}, __body string, {seen}")
+    found_here = T.StructType.fromDDL(SCHEMA if last else SEEN)
+    return docs.mapInArrow(scan, T.StructType([*docs.schema.fields[:n_keys], *found_here.fields]))
 
 
 def _scan_batch(batch: pa.RecordBatch, found, n_keys: int, first: bool, last: bool) -> pa.RecordBatch:

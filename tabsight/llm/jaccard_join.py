@@ -22,7 +22,7 @@ from pyspark.sql import functions as F
 
 from tabsight.llm.graph import components
 from tabsight.llm.runs import keyed, mix, odd, word_elements
-from tabsight.llm.text import id_column, slices, string_buffers
+from tabsight.llm.text import all_columns, id_column, slices, string_buffers
 from tabsight.sources.files import materialised
 
 SHINGLE = 5
@@ -279,7 +279,7 @@ def one_of_each(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     if repeated:  # several rows with one id and text
         number = F.row_number().over(Window.partitionBy("__id", "__tkey").orderBy(F.lit(0)))
         kept = kept.withColumn("__number", number).filter("__number = 1 or __blank")
-    return kept.select(*docs.columns)
+    return kept.select(*all_columns(docs))
 
 
 def _classed(texts: DataFrame, width: int, permille: int, near: int, recall: float, block: int) -> DataFrame:

@@ -16,7 +16,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tabsight.llm.runs import WIDE, Kind, covered, keyed, repeated_windows, with_stretches
-from tabsight.llm.text import id_column, string_buffers, words_of
+from tabsight.llm.text import all_columns, id_column, string_buffers, words_of
 
 WINDOW = 13
 GRAM = 5
@@ -88,4 +88,4 @@ def trimmed(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") ->
             columns = [pa.array(texts, pa.string()) if c == text_col else batch.column(c) for c in names]
             yield pa.RecordBatch.from_arrays(columns, names)
 
-    return joined.select(*docs.columns, "__rows").mapInArrow(cut, docs.schema)
+    return joined.select(*all_columns(docs), "__rows").mapInArrow(cut, docs.schema)

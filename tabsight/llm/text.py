@@ -7,7 +7,8 @@ from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
+from pyspark.sql import functions as F
 
 MAX_SLICE = 4 << 20
 
@@ -83,6 +84,11 @@ def map_batches(df: DataFrame, fn: Callable[[Iterator[pa.RecordBatch]], Iterator
     return df.mapInArrow(fn, schema)
 
 
+def all_columns(df: DataFrame) -> list[Column]:
+    """The table's columns, whatever their names hold."""
+    return [F.col("`" + c.replace("`", "``") + "`") for c in df.columns]
+
+
 def id_column(df: DataFrame, name: str) -> DataFrame:
     """The table with ``name`` first, as given; fails early where the column is missing."""
     if name not in df.columns:

@@ -3,7 +3,7 @@ import re
 
 import pytest
 
-from tabsight.llm.decontaminate import decontaminate, is_contaminated
+from tabsight.llm.decontaminate import clean, decontaminate, is_contaminated
 from tests.llm.edge import SCHEMA, awkward
 
 WORD = re.compile(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+")
@@ -62,3 +62,12 @@ def test_empty_tables(spark):
     none = spark.createDataFrame([], "item_id long, text string")
     assert {r["n_hit"] for r in decontaminate(docs, none).collect()} == {0}
     assert decontaminate(docs.limit(0), none).count() == 0
+
+
+def test_clean_rows_keep_all_their_columns(spark):
+    docs, items = fixture()
+    frame = spark.createDataFrame(docs, SCHEMA).withColumnRenamed("n", "a column, with `marks`")
+    got = clean(frame, spark.createDataFrame(items, "item_id long, text string"))
+    assert got.columns == frame.columns
+    want = sorted(map(str, (d for d in docs if not (lambda n, hit, *_: hit > 0 and 20 * hit >= n)(*brute(d[1], items)))))
+    assert sorted(str(tuple(r)) for r in got.collect()) == want
