@@ -113,6 +113,34 @@ def calibrate(df: DataFrame, method: str = "platt", *, fit_on: DataFrame | None
     return CALIBRATORS[method].fit(df if fit_on is None else fit_on, y, p).apply(df, p)
 
 
+def _groups(df: DataFrame, by: Sequence[str]) -> list[tuple]:
+    """The distinct values of a few columns: models and folds, of which there are few."""
+    return [tuple(r) for r in df.select(*by).distinct().orderBy(*by).collect()]
+
+
+def _is(name: str, value):
+    return F.col(name).eqNullSafe(F.lit(value))
+
+
+def cross_calibrate(oof: DataFrame, method: str = "platt", *, fold: str = "fold", model: str = "model", y: str = "y_true",
+                    p: str = "y_pred") -> DataFrame:
+    """Every row calibrated by its own model's calibrator, fitted on all folds of that model but the row's.
+
+    A NULL model or fold is a model or fold like any other; a model of one fold has nothing to fit on and is an error.
+    """
+    oof = materialised(oof)
+    cells = _groups(oof, [model, fold])
+    single = [m for m in dict.fromkeys(m for m, _ in cells) if sum(m == n for n, _ in cells) < 2]
+    if single:
+        raise ValueError(f"models of a single fold cannot be calibrated across folds: {single}")
+    out = None
+    for m, f in cells:
+        own = oof.filter(_is(model, m))
+        part = calibrate(own.filter(_is(fold, f)), method, fit_on=own.filter(~_is(fold, f)), y=y, p=p)
+        out = part if out is None else out.unionByName(part)
+    return oof.limit(0) if out is None else out
+
+
 def oof_predictions(folded: DataFrame, target: str, keys: Sequence[str], features: Sequence[str], *, k: int,
                     fold: str = "fold", params: Sequence[Mapping] = ({},), calibration: str | None = "platt",
                     model: str = "rf", seed: int = 42) -> DataFrame:
@@ -192,10 +220,10 @@ def forest_search(df: DataFrame, target: str, keys: Sequence[str], features: Seq
 
 def calibration_report(oof: DataFrame, method: str = "platt", *, folds: Sequence[int], fold: str = "fold",
                        model: str = "model", bins: int = 15) -> DataFrame:
-    """Brier and ECE per fold before and after calibrating on that fold, and over all folds."""
+    """Brier and ECE per model and fold before and after calibrating on that model's fold, and over all folds."""
     after = None
-    for f in folds:
-        part = calibrate(oof.filter(F.col(fold) == f), method)
+    for m, f in _groups(oof.filter(F.col(fold).isin(list(folds))), [model, fold]):
+        part = calibrate(oof.filter(_is(model, m) & _is(fold, f)), method)
         after = part if after is None else after.unionByName(part)
     return calibration_delta(oof, after, fold=fold, model=model, bins=bins)
 

@@ -52,8 +52,7 @@ def forest_search(spark, sf_dir):
 
 @query("calibrate_platt")
 def calibrate_platt(spark, sf_dir):
-    p = predictions_long(spark, sf_dir).filter("model = 'a'")
-    return T.calibrate(p.filter("fold = 4"), "platt", fit_on=p.filter("fold < 4"))
+    return T.cross_calibrate(predictions_long(spark, sf_dir), "platt")
 
 
 def sql_isotonic(src: str, by: str) -> str:

@@ -1,3 +1,5 @@
+import os
+
 import numpy as np
 import pandas as pd
 import pytest
@@ -6,6 +8,9 @@ from pyspark.sql import functions as F
 from tabsight.operators import metrics as M
 from tabsight.operators import models as T
 from tabsight.operators.splits import fold_membership, oof_integrity, stratified_folds
+from tabsight.plans.catalog import QUERIES
+from tabsight.plans.views import predictions_long
+from tests.compare import ROOT
 
 QUICK = {"trees": 6, "depth": 4, "leaf": 2}
 
@@ -77,6 +82,47 @@ def test_isotonic_on_its_own_fold_has_no_error_left(spark):
         assert r["ece_post"] == pytest.approx(0.0, abs=1e-9) and r["delta_brier"] < 0
 
 
+def two_models(spark):
+    rng = np.random.default_rng(12)
+    rows = [(m, i % 3, int(rng.random() < (q if m == "a" else 1 - q)), float(q))
+            for m in ("a", "b") for i, q in enumerate(np.round(rng.random(150), 2))]
+    return spark.createDataFrame(rows, "model string, fold int, y_true int, y_pred double")
+
+
+@pytest.mark.parametrize("method", ["platt", "isotonic"])
+def test_cross_calibration_covers_every_model_and_fold(spark, method):
+    df = two_models(spark)
+    got = T.cross_calibrate(df, method)
+    assert got.count() == df.count() == 300
+    for m in ("a", "b"):
+        for f in range(3):
+            own = df.filter(F.col("model") == m)
+            want = T.calibrate(own.filter(F.col("fold") == f), method, fit_on=own.filter(F.col("fold") != f))
+            cell = got.filter((F.col("model") == m) & (F.col("fold") == f))
+            assert sorted(r["y_pred"] for r in cell.collect()) == pytest.approx(sorted(r["y_pred"] for r in want.collect()))
+
+
+def test_cross_calibration_needs_a_second_fold(spark):
+    with pytest.raises(ValueError, match="single fold"):
+        T.cross_calibrate(two_models(spark).filter("model = 'a' OR fold = 0"))
+
+
+def test_calibration_report_fits_each_model_apart(spark):
+    df = two_models(spark)
+    both = {(r["model"], r["fold"]): r for r in T.calibration_report(df, "isotonic", folds=range(3)).collect()}
+    for m in ("a", "b"):
+        for r in T.calibration_report(df.filter(F.col("model") == m), "isotonic", folds=range(3)).collect():
+            assert both[m, r["fold"]]["brier_post"] == pytest.approx(r["brier_post"])
+
+
+@pytest.mark.skipif(not os.path.isdir(f"{ROOT}/sf0.001"), reason="no test tables")
+def test_registered_platt_calibrates_all_predictions(spark):
+    got = QUERIES["calibrate_platt"](spark, f"{ROOT}/sf0.001")
+    want = predictions_long(spark, f"{ROOT}/sf0.001")
+    assert got.select("id", "fold", "model", "y_true").exceptAll(want.select("id", "fold", "model", "y_true")).count() == 0
+    assert got.count() == want.count()
+
+
 def test_search_returns_every_trial_best_first(table):
     df, _ = table
     space = {"depth": (2, 4), "features": ("sqrt", "log2", 0.2, 1.0), "trees": (2, 6, 2), "leaf": (1, 5)}
