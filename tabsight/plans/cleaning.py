@@ -75,7 +75,7 @@ def impute_iterative(spark, sf_dir):
     m = measure_null(spark, sf_dir).select(
         *MEASURE_KEYS, "l_quantity", F.when(F.col("l_suppkey") % 19 != 0, F.col("l_extendedprice"))
         .alias("l_extendedprice"), F.col("hi").cast("double").alias("hi"))
-    return C.impute_iterative(m, ["l_quantity", "l_extendedprice", "hi"], max_iter=4)
+    return C.impute_iterative(m, ["l_quantity", "l_extendedprice", "hi"])
 
 
 @query("standardize_onehot", with_views(MEASURE_NULL) + f""",

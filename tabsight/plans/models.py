@@ -15,7 +15,6 @@ from tabsight.sources.files import materialised
 
 FEATURES = ["l_quantity", "l_extendedprice", "hi", "lo", "l_linenumber"]
 FOLDS = 5
-QUICK = {"trees": 10, "depth": 5}
 
 
 def train(spark, sf_dir) -> DataFrame:
@@ -35,19 +34,18 @@ def class_weights(spark, sf_dir):
 
 @query("forest_oof")
 def forest_oof(spark, sf_dir):
-    return T.forest_oof(train(spark, sf_dir), "target", MEASURE_KEYS, features(), k=FOLDS, params=[QUICK])
+    return T.forest_oof(train(spark, sf_dir), "target", MEASURE_KEYS, features(), k=FOLDS)
 
 
 @query("forest_oof_metrics")
 def forest_oof_metrics(spark, sf_dir):
-    oof = materialised(T.forest_oof(train(spark, sf_dir), "target", MEASURE_KEYS, features(), k=FOLDS, params=[QUICK]))
+    oof = materialised(T.forest_oof(train(spark, sf_dir), "target", MEASURE_KEYS, features(), k=FOLDS))
     return M.all_metrics(oof, by=["model", "fold"])
 
 
 @query("forest_search")
 def forest_search(spark, sf_dir):
-    space = {"depth": (3, 5), "features": ("sqrt", "log2", 0.2, 1.0), "trees": (4, 8, 2), "leaf": (1, 15)}
-    return T.forest_search(train(spark, sf_dir), "target", MEASURE_KEYS, features(), trials=2, k=2, space=space)
+    return T.forest_search(train(spark, sf_dir), "target", MEASURE_KEYS, features())
 
 
 @query("calibrate_platt")
@@ -109,15 +107,14 @@ def calibration_delta(spark, sf_dir):
 
 @query("final_scoring")
 def final_scoring(spark, sf_dir):
-    return T.final_scoring(train(spark, sf_dir), "target", MEASURE_KEYS, features(), k=2,
-                           params=[QUICK, {"trees": 8, "depth": 4}])
+    return T.final_scoring(train(spark, sf_dir), "target", MEASURE_KEYS, features())
 
 
 @query("forest_importance")
 def forest_importance(spark, sf_dir):
     t = train(spark, sf_dir)
     folded = materialised(stratified_folds(t, "target", MEASURE_KEYS, k=FOLDS))
-    return I.importance_summary(T.forest_importance(folded, "target", features(), k=FOLDS, params=QUICK))
+    return I.importance_summary(T.forest_importance(folded, "target", features(), k=FOLDS))
 
 
 @query("row_attribution")

@@ -1,3 +1,4 @@
+import inspect
 import os
 
 import numpy as np
@@ -5,6 +6,7 @@ import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
+from tabsight.operators import cleaning as C
 from tabsight.operators import metrics as M
 from tabsight.operators import models as T
 from tabsight.operators.splits import fold_membership, oof_integrity, stratified_folds
@@ -145,3 +147,24 @@ def test_row_attribution_sums_to_one_and_ranks_the_signal(table):
     assert a.groupBy("k").agg(F.sum("score").alias("s")).filter("abs(s - 1) > 1e-9").count() == 0
     mean = {r["feature"]: r["m"] for r in a.groupBy("feature").agg(F.avg("score").alias("m")).collect()}
     assert mean["u"] > mean["v"] > mean["w"]
+
+
+@pytest.mark.skipif(not os.path.isdir(f"{ROOT}/sf0.001"), reason="no test tables")
+@pytest.mark.parametrize("module, name", [(T, "forest_search"), (T, "forest_oof"), (T, "final_scoring"),
+                                          (T, "forest_importance"), (C, "impute_iterative")])
+def test_registered_queries_take_the_operators_defaults(spark, monkeypatch, module, name):
+    signature, seen = inspect.signature(getattr(module, name)), {}
+
+    def record(*args, **options):
+        bound = signature.bind(*args, **options)
+        bound.apply_defaults()
+        seen.update(bound.arguments)
+        raise InterruptedError
+
+    monkeypatch.setattr(module, name, record)
+    with pytest.raises(InterruptedError):
+        QUERIES[name](spark, f"{ROOT}/sf0.001")
+    for option, p in signature.parameters.items():
+        if p.default is not p.empty:
+            assert seen[option] == p.default, option
+    assert seen.get("k", 5) == 5
