@@ -31,13 +31,17 @@ SCHEMA = "n_words long, n_hit long, items array<string>, spans array<struct<star
 _automata: dict[tuple, tuple] = {}
 
 
+def _named_first(item: str | None) -> tuple[bool, str]:
+    return item is None, item or ""
+
+
 def normal_words(text: bytes) -> list[bytes]:
     return text.translate(NORMAL).split()
 
 
-def patterns(items: list[tuple[str, str]], window: int = WINDOW) -> dict[bytes, set[str]]:
+def patterns(items: list[tuple[str | None, str]], window: int = WINDOW) -> dict[bytes, set[str | None]]:
     """Pattern to the items that hold it; items without words have none."""
-    out: dict[bytes, set[str]] = {}
+    out: dict[bytes, set[str | None]] = {}
     for item, text in items:
         words = normal_words((text or "").encode())
         for k in range(max(len(words) - window + 1, min(1, len(words)))):
@@ -45,7 +49,7 @@ def patterns(items: list[tuple[str, str]], window: int = WINDOW) -> dict[bytes,
     return out
 
 
-def automaton(items: tuple[tuple[str, str], ...], window: int):
+def automaton(items: tuple[tuple[str | None, str], ...], window: int):
     """The worker's automaton over the items, built once."""
     key = (items, window)
     if key not in _automata:
@@ -54,7 +58,7 @@ def automaton(items: tuple[tuple[str, str], ...], window: int):
         _automata.clear()
         found = ahocorasick.Automaton()
         for pattern, owners in patterns(list(items), window).items():
-            found.add_word(f" {pattern.decode('latin-1')} ", (pattern.count(b" ") + 1, sorted(owners)))
+            found.add_word(f" {pattern.decode('latin-1')} ", (pattern.count(b" ") + 1, sorted(owners, key=_named_first)))
         if len(found):
             found.make_automaton()
         _automata[key] = (found,)
@@ -81,28 +85,32 @@ def _spans(text: bytes, ranges: list[list[int]]) -> list[dict[str, int]]:
     return [{"start": int(char[starts[a]]), "end": int(char[ends[b - 1]])} for a, b in ranges]
 
 
-def item_blocks(benchmark: DataFrame, item_col: str, text_col: str, block_bytes: int) -> list[tuple[tuple[str, str], ...]]:
-    """The benchmark's items, in blocks of about ``block_bytes`` of text; null texts and ids are left out."""
-    items = benchmark.select(F.col(item_col).cast("string").alias("item"), F.col(text_col).alias("body")).dropna()
+def item_blocks(benchmark: DataFrame, item_col: str, text_col: str, block_bytes: int,
+                unnamed: bool = False) -> list[tuple[tuple[str | None, str], ...]]:
+    """The benchmark's items, in blocks of about ``block_bytes`` of text; null texts are left out, null ids unless ``unnamed``."""
+    items = benchmark.select(F.col(item_col).cast("string").alias("item"), F.col(text_col).alias("body")).dropna(
+        subset=["body"] if unnamed else ["item", "body"])
     total = items.agg(F.coalesce(F.sum(F.octet_length("body")), F.lit(0)).alias("n")).first()["n"]
     n = max(1, -(-2 * total // block_bytes)) if total > block_bytes else 1
     block = F.pmod(F.xxhash64("item", "body"), F.lit(n))
-    return [tuple(sorted((r["item"], r["body"]) for r in items.filter(block == b).collect())) for b in range(n)]
+    return [tuple(sorted(((r["item"], r["body"]) for r in items.filter(block == b).collect()),
+                         key=lambda x: (_named_first(x[0]), x[1]))) for b in range(n)]
 
 
 def decontaminate(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text",
                   item_col: str = "item_id", item_text_col: str = "text", window: int = WINDOW,
-                  block_bytes: int = BLOCK_BYTES, carry: tuple[str, ...] = ()) -> DataFrame:
+                  block_bytes: int = BLOCK_BYTES, carry: tuple[str, ...] = (), unnamed: bool = False) -> DataFrame:
     """(id, the carried columns, n_words, n_hit, items, spans) for every document.
 
     items are those with occurring patterns, spans the hit stretches as character offsets. Other columns are not
     read. Null, empty and blank texts have no words; a null id is kept; repeated rows are judged one by one; items
     that are equal are all named; an empty benchmark hits nothing; an empty table gives no rows. Work per text is
-    linear in its length.
+    linear in its length. Benchmark rows whose id is null are left out unless ``unnamed``: then their words are hit
+    too, and all of them together are one null item, the last of items.
     """
     keys = [id_col, *carry]
     id_column(docs, id_col)
-    blocks = item_blocks(benchmark, item_col, item_text_col, block_bytes)
+    blocks = item_blocks(benchmark, item_col, item_text_col, block_bytes, unnamed)
     out = docs.select(*keys, F.col(text_col).alias("__body"))
     for i, items in enumerate(blocks):
         out = _scan(out, items, window, len(keys), first=i == 0, last=i == len(blocks) - 1)
@@ -115,7 +123,7 @@ def clean(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_co
     return decontaminate(whole, benchmark, id_col, text_col, carry=("__row",), **options).filter(~is_contaminated()).select("__row.*")
 
 
-def _scan(docs: DataFrame, items: tuple[tuple[str, str], ...], window: int, n_keys: int, first: bool, last: bool) -> DataFrame:
+def _scan(docs: DataFrame, items: tuple[tuple[str | None, str], ...], window: int, n_keys: int, first: bool, last: bool) -> DataFrame:
     """One automaton over all texts; what earlier blocks have found is carried along."""
 
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -149,7 +157,7 @@ def _scan_batch(batch: pa.RecordBatch, found, n_keys: int, first: bool, last: bo
         merged = _merged(at)
         n_words.append(len(words))
         n_hit.append(sum(b - a for a, b in merged))
-        items.append(sorted(own))
+        items.append(sorted(own, key=_named_first))
         ranges.append(merged)
         spans.append(_spans(raw, merged) if merged and last else [])
     if not last:

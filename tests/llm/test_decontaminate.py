@@ -3,7 +3,10 @@ import re
 
 import pytest
 
+import corpus_pipeline
 from tabsight.llm.decontaminate import clean, decontaminate, is_contaminated
+from tabsight.llm.queries import ORACLES, QUERIES
+from tests.compare import compare
 from tests.llm.edge import SCHEMA, awkward
 
 WORD = re.compile(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+")
@@ -71,3 +74,22 @@ def test_clean_rows_keep_all_their_columns(spark):
     assert got.columns == frame.columns
     want = sorted(map(str, (d for d in docs if not (lambda n, hit, *_: hit > 0 and 20 * hit >= n)(*brute(d[1], items)))))
     assert sorted(str(tuple(r)) for r in got.collect()) == want
+
+
+def test_items_without_an_id_are_hit_as_the_sql_has_it(spark, tmp_path):
+    import duckdb
+
+    docs, items = fixture()
+    items += [(None, items[1][1]), (None, "only here"), (None, None)]
+    docs = docs[:60] + [(5000, "x only here y", "n", "p"), (5001, "a plain text", "n", "p")]
+    spark.createDataFrame(docs, SCHEMA).coalesce(1).write.parquet(f"{tmp_path}/documents.parquet")
+    spark.createDataFrame(items, "item_id long, text string").coalesce(1).write.parquet(f"{tmp_path}/benchmark.parquet")
+    con = duckdb.connect()
+    for t in ("documents", "benchmark"):
+        con.execute(f"CREATE VIEW {t} AS SELECT * FROM read_parquet('{tmp_path}/{t}.parquet/*.parquet')")
+    name = "op9_decontamination"
+    assert compare(spark, con, name, QUERIES[name], ORACLES[name], str(tmp_path)) == []
+    got = {r["doc_id"]: r for r in QUERIES[name](spark, str(tmp_path)).collect()}
+    assert (got[5000]["n_hit"], got[5000]["n_items"], got[5000]["contaminated"]) == (2, 1, True)
+    kept = {r["doc_id"] for r in corpus_pipeline.benchmark(spark, spark.read.parquet(f"{tmp_path}/documents.parquet"), str(tmp_path)).collect()}
+    assert kept == {k for k, r in got.items() if not r["contaminated"]} and 5000 not in kept
