@@ -1,14 +1,9 @@
-"""Removal of repeated byte strings by prefix-free parsing.
+"""Removal of repeated byte strings by the minimiser buckets of ``runs``, as in op8, over bytes.
 
-A rolling hash over 16 bytes triggers the phrases: a trigger is the smallest hash within reach of a string of 400
-bytes, and consecutive strings with one trigger make a phrase, with an overlap of 399 bytes to the next. So each
-string of 400 bytes lies whole in just one phrase, no phrase is a prefix of the parse elsewhere, and the first 400
-bytes of every corpus suffix are settled in the dictionary alone: the dictionary's suffixes are sorted (by hash,
-then by their bytes) among the phrases with the same trigger, and the parse gives the number of times each phrase
-occurs. A string that is found twice in the dictionary, or once in a phrase that the parse holds twice, is repeated.
-
-Highly repetitive texts have a small dictionary: phrases that occur again are recognised in the parse by name, and
-only phrases that share their trigger with a different phrase need their bytes sorted. See ``runs``.
+The minimiser of a string of 400 bytes is the smallest hash of 16 bytes in it, and consecutive strings with one
+minimiser make a run, with an overlap of 399 bytes to the next. So each string of 400 bytes lies whole in just one
+run, and equal strings lie in runs of one bucket. Equal runs are merged by name and counted; the windows of the others
+are sorted in their bucket, by hash, then by bytes. No dictionary of phrases, parse or suffix array is built. See ``runs``.
 """
 
 from __future__ import annotations
