@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tabsight.llm import additive_model, decontaminate, exact_repeats, jaccard_join, packing, quality_rules, sharding, substring_dedup, token_files, url_filter
+from tabsight.llm import additive_model, block_naming, decontaminate, exact_repeats, jaccard_join, packing, quality_rules, sharding, substring_dedup, token_files, url_filter
 from tabsight.sources.files import shared_folder
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -93,6 +93,12 @@ def op10_prefix_free_parsing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_repeats.remove_repeated_bytes(_table(spark, sf_dir, "documents")).drop("kept")
 
 
+@_query
+def op13_block_naming(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return block_naming.duplicates(_table(spark, sf_dir, "documents"))
+
+
+ORACLES["op13_block_naming"] = block_naming.ORACLE
 ORACLES["op1_markov_url_filter"] = url_filter.oracle(URL_RULES)
 
 _LOWER = "translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
