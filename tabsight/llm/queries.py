@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tabsight.llm import additive_model, block_naming, decontaminate, exact_repeats, jaccard_join, packing, quality_rules, sharding, substring_dedup, token_files, url_filter
+from tabsight.llm import additive_model, block_naming, conversation_repair, decontaminate, exact_repeats, jaccard_join, packing, quality_rules, sharding, substring_dedup, token_files, url_filter
 from tabsight.sources.files import shared_folder
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -93,6 +93,20 @@ def op10_prefix_free_parsing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_repeats.remove_repeated_bytes(_table(spark, sf_dir, "documents")).drop("kept")
 
 
+@_query
+def op11_conversation_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
+    conversations = _table(spark, sf_dir, "conversations")
+    rows = conversation_repair.damaged(conversations)
+    found = conversation_repair.edits(rows)
+    shas = conversation_repair.digests(conversation_repair.repaired(rows, found))
+    own = lambda df, name: df.withColumnRenamed("conv_id", name)
+    out = (conversations.select("conv_id").distinct()
+           .join(own(found, "found_id"), F.col("conv_id").eqNullSafe(F.col("found_id")), "left")
+           .join(own(shas, "sha_id"), F.col("conv_id").eqNullSafe(F.col("sha_id")), "left"))
+    counts = [F.coalesce(c, F.lit(0)).cast("long").alias(c) for c in ("gaps", "blank", "duplicate", "truncated", "illegal", "cost")]
+    return out.select("conv_id", *counts, F.coalesce("audit", F.lit("")).alias("audit"), F.coalesce("repaired_sha256", F.sha2(F.lit(""), 256)).alias("repaired_sha256"))
+
+
 @_query
 def op13_block_naming(spark: SparkSession, sf_dir: str) -> DataFrame:
     return block_naming.duplicates(_table(spark, sf_dir, "documents"))
