@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tabsight.llm import additive_model, block_naming, conversation_repair, decontaminate, exact_repeats, jaccard_join, packing, quality_rules, sharding, substring_dedup, token_files, url_filter
+from tabsight.llm import additive_model, block_naming, conversation_repair, decontaminate, exact_repeats, filter_audit, jaccard_join, packing, quality_rules, sharding, substring_dedup, token_files, url_filter
 from tabsight.sources.files import shared_folder
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -107,11 +107,17 @@ def op11_conversation_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("conv_id", *counts, F.coalesce("audit", F.lit("")).alias("audit"), F.coalesce("repaired_sha256", F.sha2(F.lit(""), 256)).alias("repaired_sha256"))
 
 
+@_query
+def op12_filter_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return filter_audit.audit(filter_audit.mask_counts(spark, f"{sf_dir}/documents.parquet", _table(spark, sf_dir, "labels")))
+
+
 @_query
 def op13_block_naming(spark: SparkSession, sf_dir: str) -> DataFrame:
     return block_naming.duplicates(_table(spark, sf_dir, "documents"))
 
 
+ORACLES["op12_filter_audit"] = filter_audit.ORACLE
 ORACLES["op13_block_naming"] = block_naming.ORACLE
 ORACLES["op1_markov_url_filter"] = url_filter.oracle(URL_RULES)
 
