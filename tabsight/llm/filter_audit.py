@@ -11,9 +11,9 @@ from __future__ import annotations
 
 import hashlib
 import itertools
-import json
 import math
-from collections import Counter, defaultdict
+import pickle
+from collections import defaultdict
 from collections.abc import Iterator
 
 import pandas as pd
@@ -27,6 +27,7 @@ from tabsight.sources.files import shared_folder
 FILTERS = "ABCDE"
 REPEATED = 1 << FILTERS.index("E")
 BATCHES = 4
+TEXTS_PER_KEY = 200
 
 # fixed values: the filters' limits and characters
 MIN_WORDS, DISTINCT_SHARE, UPPER_SHARE = 100, 80, 10
@@ -34,6 +35,7 @@ _UPPER, _SYMBOLS = b"ABCDEFGHIJKLMNOPQRSTUVWXYZ", b"#$%&*|"
 _FOLLOWING = bytes(range(0x80, 0xC0))  # bytes of a character behind its first
 
 _COMBINED = "digest binary, mask int, part string, good int, toxic int, low long, at_low long, rest long"
+_NAMES = [x.split()[0] for x in _COMBINED.split(", ")]
 _DELTA = "part string, mask int, good int, toxic int, delta long"
 
 
@@ -79,38 +81,38 @@ def _combined(rows: DataFrame) -> DataFrame:
                 group[1 if doc == group[0] else 2] += 1
             rows = [(*key[:5], None if low == math.inf else low, at, rest) for key, (low, at, rest) in groups.items()]
             types = (pa.binary(), pa.int32(), pa.string(), pa.int32(), pa.int32(), pa.int64(), pa.int64(), pa.int64())
-            names = [x.split()[0] for x in _COMBINED.split(", ")]
-            yield pa.RecordBatch.from_arrays([pa.array([r[k] for r in rows], t) for k, t in enumerate(types)], names)
+            yield pa.RecordBatch.from_arrays([pa.array([r[k] for r in rows], t) for k, t in enumerate(types)], _NAMES)
 
     return rows.mapInArrow(combine, _COMBINED)
 
 
 def _deltas(key: tuple, frames: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-    """Changes of the counters by one text's new rows; the state is its smallest id and the counters of that id's rows."""
-    low, held = None, Counter()
-    if state.exists:
-        low, packed = state.get
-        held = Counter({tuple(k): n for k, n in json.loads(packed)})
-    before = (low, dict(held))
+    """Changes of the counters by a bucket's new rows.
+
+    The state has, for every text of the bucket, its smallest id and the counters of that id's rows.
+    """
+    texts: dict[bytes, tuple] = pickle.loads(state.get[0]) if state.exists else {}
     change: dict[tuple, int] = defaultdict(int)
     for frame in frames:
-        for mask, part, good, toxic, new, at, rest in zip(*(frame[c] for c in ("mask", "part", "good", "toxic", "low", "at_low", "rest")), strict=True):
-            mask, this = int(mask), (part, int(good), int(toxic))
-            if pd.isna(new):
-                change[mask, this] += int(at)
+        for digest, mask, part, good, toxic, new, at, rest in zip(*(frame[c].tolist() for c in _NAMES), strict=True):
+            this = (part, good, toxic)
+            if new is None or math.isnan(new):
+                change[mask, this] += at
                 continue
             new = int(new)
-            change[mask | REPEATED, this] += int(rest)
+            low, held = texts.get(digest, (None, {}))
+            if rest:
+                change[mask | REPEATED, this] += rest
             if low is None or new < low:
                 for other, n in held.items():  # retracted: a smaller id has arrived
                     change[mask, other] -= n
                     change[mask | REPEATED, other] += n
-                low, held = new, Counter()
-            change[mask | REPEATED * (new > low), this] += int(at)
+                low, held = new, {}
+                texts[digest] = low, held
+            change[mask | REPEATED * (new > low), this] += at
             if new == low:
-                held[this] += int(at)
-    if (low, dict(held)) != before:
-        state.update((low, json.dumps([[k, n] for k, n in held.items()])))
+                held[this] = held.get(this, 0) + at
+    state.update((pickle.dumps(texts, pickle.HIGHEST_PROTOCOL),))
     rows = [(part, mask, good, toxic, n) for (mask, (part, good, toxic)), n in change.items() if n]
     yield pd.DataFrame(rows, columns=["part", "mask", "good", "toxic", "delta"])
 
@@ -120,13 +122,14 @@ def _files_per_batch(table: DataFrame, batches: int) -> int:
 
 
 def mask_counts(spark: SparkSession, path: str, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", part_col: str = "lang",
-                batches: int = BATCHES) -> DataFrame:
+                batches: int = BATCHES, texts_per_key: int = TEXTS_PER_KEY) -> DataFrame:
     """(part, mask, good, toxic, n): documents of the Parquet table at ``path`` by the filters that they fail.
 
     Bit k of the mask is filter k of ABCDE. Null texts are empty, a null part is an empty string. A document without an
     id repeats none and is repeated by none; rows with the same id do not repeat each other. A document is good or
     toxic if any of its labels says so. The stream's checkpoint and its changes are in the shared folder: a batch that
-    is run again replaces what it wrote. ``batches`` is about how many micro-batches the files are dealt to.
+    is run again replaces what it wrote. ``batches`` is about how many micro-batches the files are dealt to, and
+    ``texts_per_key`` about how many texts share one entry of the state, by hash, whatever the table's size.
     """
     folder = shared_folder(spark)
     table = spark.read.parquet(path)
@@ -138,7 +141,9 @@ def mask_counts(spark: SparkSession, path: str, labels: DataFrame, id_col: str =
     docs = source.select(F.col(id_col).cast("long").alias("doc"), F.coalesce(F.col(part_col), F.lit("")).alias("part"), F.coalesce(F.col(text_col), F.lit("")).alias("body"))
     joined = _measured(docs).join(known, F.col("doc") == F.col("labelled"), "left").select(
         "doc", "part", "digest", "mask", F.coalesce("good", F.lit(0)).alias("good"), F.coalesce("toxic", F.lit(0)).alias("toxic"))
-    changes = _combined(joined).groupBy("digest").applyInPandasWithState(_deltas, _DELTA, "low long, held string", "append", GroupStateTimeout.NoTimeout)
+    buckets = max(1, table.count() // texts_per_key)  # the count is in the files' footers
+    bucket = F.pmod(F.xxhash64("digest"), F.lit(buckets))
+    changes = _combined(joined).withColumn("bucket", bucket).groupBy("bucket").applyInPandasWithState(_deltas, _DELTA, "texts binary", "append", GroupStateTimeout.NoTimeout)
 
     def keep(batch: DataFrame, number: int) -> None:
         batch.groupBy("part", "mask", "good", "toxic").agg(F.sum("delta").alias("delta")).coalesce(1).write.mode("overwrite").parquet(f"{folder}/changes/batch={number}")

@@ -1,4 +1,5 @@
 import itertools
+import pickle
 import re
 from collections import Counter
 
@@ -51,13 +52,13 @@ def brute(rows, labels):
     return {k: tuple(v) for k, v in out.items()}
 
 
-@pytest.mark.parametrize("files, batches", [(7, 7), (3, 2), (1, 4)])
-def test_against_brute_force(spark, tmp_path, files, batches):
+@pytest.mark.parametrize("files, batches, texts", [(7, 7, 200), (3, 2, 1), (1, 4, 9)])
+def test_against_brute_force(spark, tmp_path, files, batches, texts):
     rows, labels = fixture()
     rows.sort(key=lambda r: -(r[0] or 0))  # the smallest ids arrive last
     path = f"{tmp_path}/documents.parquet"
     spark.createDataFrame(rows, DOCS).coalesce(1).repartition(files).write.parquet(path)
-    got = audit(mask_counts(spark, path, spark.createDataFrame(labels, LABELS), batches=batches)).collect()
+    got = audit(mask_counts(spark, path, spark.createDataFrame(labels, LABELS), batches=batches, texts_per_key=texts)).collect()
     assert {tuple(r[:3]): tuple(r[3:]) for r in got} == brute(rows, labels)
 
 
@@ -70,14 +71,15 @@ class State:
 
 def test_smaller_ids_retract(spark):
     state, total = State(), Counter()
-    for low, at, rest in [(50, 1, 3), (70, 1, 0), (20, 2, 1), (20, 1, 0), (None, 2, 0), (10, 1, 0)]:
+    for k, (low, at, rest) in enumerate([(50, 1, 3), (70, 1, 0), (20, 2, 1), (20, 1, 0), (None, 2, 0), (10, 1, 0)]):
         frame = pd.DataFrame([(b"x", 3, "en", 1, 0, low, at, rest)], columns=["digest", "mask", "part", "good", "toxic", "low", "at_low", "rest"])
-        for out in _deltas((b"x",), iter([frame]), state):
+        other = pd.DataFrame([(b"y", 5, "en", 0, 0, 7 + k, 1, 0)], columns=frame.columns)
+        for out in _deltas((0,), iter([frame, other]), state):
             for r in out.itertuples():
                 total[r.mask] += r.delta
         assert total[3] + total[19] > 0
-    assert total == {3: 3, 19: 1 + 3 + 1 + 2 + 1 + 1}  # id 10 and the two unknown ids pass
-    assert state.get[0] == 10
+    assert total == {3: 3, 19: 1 + 3 + 1 + 2 + 1 + 1, 5: 1, 21: 5}  # id 10 and the two unknown ids pass
+    assert {k: low for k, (low, _) in pickle.loads(state.get[0]).items()} == {b"x": 10, b"y": 7}
 
 
 def test_rows_of_a_batch_are_combined(spark):
