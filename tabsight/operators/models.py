@@ -1,27 +1,25 @@
-"""Training and calibration with Spark ML. The driver only loops over folds; every fit is distributed."""
+"""Training, search and scoring of forests (see ``forest``) and of a logistic model. Every fit is distributed."""
 
 from __future__ import annotations
 
 import random
 from collections.abc import Mapping, Sequence
 
-from pyspark.ml.classification import LogisticRegression, RandomForestClassificationModel, RandomForestClassifier
-from pyspark.ml.evaluation import Evaluator
+from pyspark.ml.classification import LogisticRegression
 from pyspark.ml.feature import VectorAssembler
-from pyspark.ml.functions import vector_to_array
-from pyspark.ml.regression import IsotonicRegression
-from pyspark.ml.tuning import CrossValidator, ParamGridBuilder
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from tabsight.operators import forest
 from tabsight.operators import metrics as M
+from tabsight.operators.calibration import Platt, calibrate, calibration_delta, calibration_report, cross_calibrate  # noqa: F401
+from tabsight.operators.forest import Forests, Growth
 from tabsight.operators.small import joined, moments, small_side
 from tabsight.operators.splits import stratified_folds, stratified_split
 from tabsight.sources.files import materialised
 
-#: Spark's limit; a depth of None means this.
-MAX_DEPTH = 30
-DEFAULT_PARAMS = {"trees": 20, "depth": 6, "features": "sqrt", "leaf": 5}
+DEFAULT_PARAMS = {"trees": 200, "depth": None, "features": "sqrt", "leaf": 5}
+DRAWS_EACH = 6
 # Search ranges of the forest.
 SEARCH_SPACE = {"depth": (6, 30), "features": ("sqrt", "log2", 0.2, 1.0), "trees": (200, 1500, 50), "leaf": (1, 15)}
 
@@ -38,238 +36,145 @@ def with_class_weights(df: DataFrame, target: str, name: str = "weight") -> Data
     return joined(df, weights, [target], "left")
 
 
-def fit_forest(df: DataFrame, target: str, features: Sequence[str], params: Mapping | None = None,
-               seed: int = 42) -> RandomForestClassificationModel:
-    """A class-balanced random forest; a depth of None means as deep as Spark grows trees."""
-    p = {**DEFAULT_PARAMS, **(params or {})}
-    if (p["depth"] or MAX_DEPTH) > MAX_DEPTH:
-        raise ValueError(f"Spark grows trees to a depth of {MAX_DEPTH}, not {p['depth']}")
-    rows = VectorAssembler(inputCols=list(features), outputCol="_x").transform(
-        with_class_weights(df.select(target, *features), target, "_w"))
-    return RandomForestClassifier(
-        featuresCol="_x", labelCol=target, weightCol="_w", numTrees=int(p["trees"]),
-        maxDepth=int(p["depth"] or MAX_DEPTH), featureSubsetStrategy=str(p["features"]),
-        minInstancesPerNode=int(p["leaf"]), seed=seed).fit(rows)
+def _growths(params: Sequence[Mapping]) -> list[Growth]:
+    return [Growth.of({**DEFAULT_PARAMS, **p}) for p in params]
 
 
-def score(model, df: DataFrame, features: Sequence[str], name: str = "y_pred") -> DataFrame:
-    """Add the positive class's probability."""
-    rows = VectorAssembler(inputCols=list(features), outputCol="_x").transform(df)
-    kept = [c for c in df.columns if c != name]
-    return model.transform(rows).select(*kept, vector_to_array("probability")[1].alias(name))
-
-
-def _score_weights(df: DataFrame, y: str, p: str) -> DataFrame:
-    """One row per distinct score: all a one-dimensional calibrator needs."""
-    return df.groupBy(F.col(p).alias("p")).agg(F.avg(F.col(y).cast("double")).alias("y"), F.count("*").cast("double").alias("w"),
-                                               F.sum(F.col(y).cast("double")).alias("pos"))
-
-
-class Platt:
-    """Logistic map of one score, L2-penalised with C = 1."""
-
-    def __init__(self, slope: float, intercept: float) -> None:
-        self.slope, self.intercept = slope, intercept
-
-    @classmethod
-    def fit(cls, df: DataFrame, y: str = "y_true", p: str = "y_pred") -> Platt:
-        counts = _score_weights(df, y, p)
-        rows = counts.select("p", "w", "pos", F.inline(F.array(
-            F.struct(F.lit(1.0).alias("label"), F.col("pos").alias("_n")),
-            F.struct(F.lit(0.0).alias("label"), (F.col("w") - F.col("pos")).alias("_n"))))).filter("_n > 0")
-        n = rows.agg(F.sum("_n").alias("n")).first()["n"]
-        vec = VectorAssembler(inputCols=["p"], outputCol="_x").transform(rows)
-        fit = LogisticRegression(featuresCol="_x", labelCol="label", weightCol="_n", regParam=1.0 / n,
-                                 elasticNetParam=0.0, standardization=False, maxIter=200, tol=1e-10).fit(vec)
-        return cls(float(fit.coefficients[0]), float(fit.intercept))
-
-    def apply(self, df: DataFrame, p: str = "y_pred") -> DataFrame:
-        return df.withColumn(p, 1.0 / (1.0 + F.exp(-(F.col(p) * self.slope + self.intercept))))
-
-
-class Isotonic:
-    """Monotone map: pool adjacent violators, linear interpolation, ends clipped."""
-
-    def __init__(self, model) -> None:
-        self.model = model
-
-    @classmethod
-    def fit(cls, df: DataFrame, y: str = "y_true", p: str = "y_pred") -> Isotonic:
-        rows = _score_weights(df, y, p)
-        return cls(IsotonicRegression(featuresCol="_iso_p", labelCol="y", weightCol="w", predictionCol="_iso_c").fit(
-            rows.withColumnRenamed("p", "_iso_p")))
-
-    def apply(self, df: DataFrame, p: str = "y_pred") -> DataFrame:
-        out = self.model.transform(df.withColumnRenamed(p, "_iso_p"))
-        return out.drop("_iso_p").withColumnRenamed("_iso_c", p).select(*df.columns)
-
-
-CALIBRATORS = {"platt": Platt, "isotonic": Isotonic}
-
-
-def calibrate(df: DataFrame, method: str = "platt", *, fit_on: DataFrame | None = None, y: str = "y_true",
-              p: str = "y_pred") -> DataFrame:
-    """Calibrated probabilities. ``fit_on`` keeps the fitting rows apart from the scored ones."""
-    return CALIBRATORS[method].fit(df if fit_on is None else fit_on, y, p).apply(df, p)
-
-
-def _groups(df: DataFrame, by: Sequence[str]) -> list[tuple]:
-    """The distinct values of a few columns: models and folds, of which there are few."""
-    return [tuple(r) for r in df.select(*by).distinct().orderBy(*by).collect()]
-
-
-def _is(name: str, value):
-    return F.col(name).eqNullSafe(F.lit(value))
-
-
-def cross_calibrate(oof: DataFrame, method: str = "platt", *, fold: str = "fold", model: str = "model", y: str = "y_true",
-                    p: str = "y_pred") -> DataFrame:
-    """Every row calibrated by its own model's calibrator, fitted on all folds of that model but the row's.
-
-    A NULL model or fold is a model or fold like any other; a model of one fold has nothing to fit on and is an error.
-    """
-    oof = materialised(oof)
-    cells = _groups(oof, [model, fold])
-    single = [m for m in dict.fromkeys(m for m, _ in cells) if sum(m == n for n, _ in cells) < 2]
-    if single:
-        raise ValueError(f"models of a single fold cannot be calibrated across folds: {single}")
-    out = None
-    for m, f in cells:
-        own = oof.filter(_is(model, m))
-        part = calibrate(own.filter(_is(fold, f)), method, fit_on=own.filter(~_is(fold, f)), y=y, p=p)
-        out = part if out is None else out.unionByName(part)
-    return oof.limit(0) if out is None else out
+def fit_forest(df: DataFrame, target: str, keys: Sequence[str], features: Sequence[str], params: Mapping | None = None, *,
+               fold: str | None = None, seed: int = 42) -> Forests:
+    """A class-balanced random forest, or one for each left-out fold; a depth of None means as deep as trees are grown."""
+    return forest.grow(df, target, features, keys, _growths([params or {}]), fold=fold, seed=seed)
 
 
 def oof_predictions(folded: DataFrame, target: str, keys: Sequence[str], features: Sequence[str], *, k: int,
                     fold: str = "fold", params: Sequence[Mapping] = ({},), calibration: str | None = "platt",
                     model: str = "rf", seed: int = 42) -> DataFrame:
-    """Every row scored by the model of the folds it is not in, calibrated within its fold.
+    """Every row scored by the forest of the folds it is not in, and calibrated on the scores of the other folds.
 
-    ``params`` gives each fold's parameters in turn.
+    ``params`` gives each fold's parameters in turn. ``y_raw`` is the score as it was before calibration.
     """
     out = None
-    for f in range(k):
-        fit = fit_forest(folded.filter(F.col(fold) != f), target, features, params[f % len(params)], seed + f)
-        held = score(fit, folded.filter(F.col(fold) == f), features).select(
-            *keys, fold, F.lit(model).alias("model"), F.col(target).alias("y_true"), "y_pred")
-        if calibration:
-            held = calibrate(held, calibration)
-        out = held if out is None else out.unionByName(held)
-    return out
+    for i in range(min(k, len(params))):
+        own = folded.filter(F.col(fold) % len(params) == i) if len(params) > 1 else folded
+        grown = fit_forest(folded, target, keys, features, params[i], fold=fold, seed=seed)
+        part = forest.score(own.select(*keys, fold, target, *[c for c in features if c not in keys]), grown, fold=fold)
+        part = part.select(*keys, fold, F.lit(model).alias("model"), F.col(target).alias("y_true"), "y_pred")
+        out = part if out is None else out.unionByName(part)
+    out = materialised(out.withColumn("y_raw", F.col("y_pred")))
+    return cross_calibrate(out, calibration, fold=fold) if calibration else out
 
 
 def forest_oof(df: DataFrame, target: str, keys: Sequence[str], features: Sequence[str], *, k: int = 5,
                params: Sequence[Mapping] = ({},), calibration: str | None = "platt", seed: int = 42) -> DataFrame:
     """Stratified k-fold out-of-fold predictions; the folded table is written once and shared by all fits."""
-    folded = materialised(stratified_folds(df.select(*keys, target, *features), target, keys, k=k, seed=str(seed)))
+    folded = materialised(stratified_folds(df.select(*keys, target, *[c for c in features if c not in keys]), target, keys, k=k, seed=str(seed)))
     return oof_predictions(folded, target, keys, features, k=k, params=params, calibration=calibration, seed=seed)
 
 
-class CompositeEvaluator(Evaluator):
-    """Weighted ROC-AUC, average precision and accuracy, for ``CrossValidator``."""
-
-    def __init__(self, target: str, weights: Sequence[float] = (0.4, 0.4, 0.2)) -> None:
-        super().__init__()
-        self.target, self.weights = target, tuple(weights)
-
-    def _evaluate(self, dataset: DataFrame) -> float:
-        rows = dataset.select(F.lit("m").alias("model"), F.col(self.target).alias("y_true"),
-                              vector_to_array("probability")[1].alias("y_pred"))
-        return float(M.composite_metric(rows, weights=self.weights).first()["composite"] or 0.0)
+def fold_scores(df: DataFrame, forests: Forests, folds: Sequence[int], *, fold: str = "fold") -> DataFrame:
+    """Every row scored by the forest of every fold: ``df`` once per fold with ``fold`` and ``y_pred``."""
+    wide = df.drop(fold).withColumn(fold, F.explode(F.array(*[F.lit(int(f)) for f in folds])))
+    return forest.score(wide, forests, fold=fold)
 
-    def isLargerBetter(self) -> bool:
-        return True
 
+def sample_params(n: int, seed: int = 42, space: Mapping = SEARCH_SPACE, each: int = DRAWS_EACH) -> list[dict]:
+    """Seeded random draws from the search space.
 
-def sample_params(n: int, seed: int = 42, space: Mapping = SEARCH_SPACE) -> list[dict]:
-    """Seeded random draws from the search space."""
+    The features tried and the least leaf shape how a tree grows; depth and number of trees only cut what has grown. So
+    ``each`` draws of the latter two share one draw of the former, and one forest answers for all of them.
+    """
     rng = random.Random(seed)
-    out = []
-    for _ in range(n):
+    out: list[dict] = []
+    while len(out) < n:
         kinds = space["features"]
         named = [f for f in kinds if isinstance(f, str)]
         low, high = [f for f in kinds if not isinstance(f, str)]
         trees = space["trees"]
-        out.append({"depth": rng.randint(*space["depth"]) if rng.random() < 0.5 else max(space["depth"]),
-                    "features": rng.choice(named) if rng.random() < 0.5 else str(round(rng.uniform(low, high), 3)),
-                    "trees": rng.randrange(trees[0], trees[1] + 1, trees[2]), "leaf": rng.randint(*space["leaf"])})
-    return out
+        shape = {"features": rng.choice(named) if rng.random() < 0.5 else str(round(rng.uniform(low, high), 3)), "leaf": rng.randint(*space["leaf"])}
+        out += [{"depth": rng.randint(*space["depth"]) if rng.random() < 0.5 else max(space["depth"]),
+                 "trees": rng.randrange(trees[0], trees[1] + 1, trees[2]), **shape} for _ in range(each)]
+    return out[:n]
 
 
 def forest_search(df: DataFrame, target: str, keys: Sequence[str], features: Sequence[str], *, trials: int = 30,
-                  k: int = 5, space: Mapping = SEARCH_SPACE, parallelism: int = 2, seed: int = 42) -> DataFrame:
-    """Random search over forest parameters by cross-validated composite score, best first."""
-    folded = stratified_folds(df.select(*keys, target, *features), target, keys, k=k, seed=str(seed))
-    rows = materialised(with_class_weights(folded, target, "_w"))
-    rows = VectorAssembler(inputCols=list(features), outputCol="_x").transform(rows)
-    est = RandomForestClassifier(featuresCol="_x", labelCol=target, weightCol="_w", seed=seed)
+                  k: int = 5, space: Mapping = SEARCH_SPACE, weights: Sequence[float] = (0.4, 0.4, 0.2), seed: int = 42) -> DataFrame:
+    """Random search over forest parameters by cross-validated composite score, best first.
+
+    Trials that differ in depth and number of trees only are read off one forest per fold, by running sums of its votes.
+    The composite is the mean over folds of the weighted ROC-AUC, average precision and accuracy; all held-out rows
+    count, reduced to those of different bins.
+    """
+    folded = materialised(stratified_folds(df.select(*keys, target, *[c for c in features if c not in keys]), target, keys, k=k, seed=str(seed)))
     drawn = sample_params(trials, seed, space)
-    grid = [ParamGridBuilder().baseOn({est.maxDepth: p["depth"], est.featureSubsetStrategy: str(p["features"]),
-                                       est.numTrees: p["trees"], est.minInstancesPerNode: p["leaf"]}).build()[0]
-            for p in drawn]
-    cv = CrossValidator(estimator=est, estimatorParamMaps=grid, evaluator=CompositeEvaluator(target), numFolds=k,
-                        foldCol="fold", parallelism=parallelism, seed=seed)
-    scores = cv.fit(rows).avgMetrics
+    shapes = list(dict.fromkeys((p["features"], p["leaf"]) for p in drawn))
+    members = [[i for i, p in enumerate(drawn) if (p["features"], p["leaf"]) == s] for s in shapes]
+    growths = [Growth(max(drawn[i]["trees"] for i in own), max(drawn[i]["depth"] for i in own), *s) for s, own in zip(shapes, members)]
+    grown = forest.grow(folded, target, features, keys, growths, fold="fold", seed=seed)
+    cells = forest.cells_of(folded, target, grown.binning)
+    counts = None
+    for g, own in enumerate(members):
+        part = forest.staged_counts(cells, grown, g, [(i, drawn[i]["depth"], drawn[i]["trees"]) for i in own])
+        counts = part if counts is None else counts.unionByName(part)
+    counts = materialised(counts)
+    right = F.when(F.col("score") >= 0.5, F.col("pos")).otherwise(F.col("n") - F.col("pos"))
+    accuracy = counts.groupBy("trial", "fold").agg((F.sum(right) / F.sum("n")).alias("accuracy"))
+    ranked = M.ranking_metrics(counts, ["trial", "fold"]).join(accuracy, ["trial", "fold"])
+    terms = [w * F.coalesce(c, F.lit(0.0)) for w, c in zip(weights, ("roc_auc", "pr_auc", "accuracy"))]
+    scores = {r["trial"]: r["composite"] for r in ranked.groupBy("trial").agg(F.avg(sum(terms[1:], terms[0])).alias("composite")).collect()}  # a row per trial
     return df.sparkSession.createDataFrame(
-        [(i, p["depth"], str(p["features"]), p["trees"], p["leaf"], float(s))
-         for i, (p, s) in enumerate(zip(drawn, scores))],
+        [(i, p["depth"], str(p["features"]), p["trees"], p["leaf"], float(scores.get(i, 0.0))) for i, p in enumerate(drawn)],
         "trial int, depth int, features string, trees int, leaf int, composite double").orderBy(
         F.col("composite").desc(), "trial")
 
 
-def calibration_report(oof: DataFrame, method: str = "platt", *, folds: Sequence[int], fold: str = "fold",
-                       model: str = "model", bins: int = 15) -> DataFrame:
-    """Brier and ECE per model and fold before and after calibrating on that model's fold, and over all folds."""
-    after = None
-    for m, f in _groups(oof.filter(F.col(fold).isin(list(folds))), [model, fold]):
-        part = calibrate(oof.filter(_is(model, m) & _is(fold, f)), method)
-        after = part if after is None else after.unionByName(part)
-    return calibration_delta(oof, after, fold=fold, model=model, bins=bins)
-
-
-def calibration_delta(before: DataFrame, after: DataFrame, *, fold: str = "fold", model: str = "model",
-                      bins: int = 15) -> DataFrame:
-    """Brier and ECE of two versions of the same predictions, per fold and overall (fold -1)."""
-    def both(df: DataFrame, tag: str) -> DataFrame:
-        wide = df.select(model, "y_true", "y_pred", F.explode(F.array(F.col(fold), F.lit(-1))).alias(fold))
-        by = [model, fold]
-        return (M.basic_metrics(wide, by=by).select(*by, F.col("brier").alias(f"brier_{tag}"))
-                .join(M.ece_left_closed(wide, by=by, bins=bins).withColumnRenamed("ece", f"ece_{tag}"), by))
-
-    out = both(before, "pre").join(both(after, "post"), [model, fold])
-    return out.withColumns({"delta_brier": F.col("brier_post") - F.col("brier_pre"),
-                            "delta_ece": F.col("ece_post") - F.col("ece_pre")})
-
-
 def final_scoring(df: DataFrame, target: str, keys: Sequence[str], features: Sequence[str], *, k: int = 5,
-                  params: Sequence[Mapping] = ({},), calibration: str = "platt", seed: int = 42) -> DataFrame:
-    """The test part scored once: parameters of the best fold, calibrator and threshold from out-of-fold rows."""
-    split = materialised(stratified_split(df.select(*keys, target, *features), target, keys, seed=str(seed)))
-    train, test = split.filter("split = 'train'"), split.filter("split = 'test'")
-    folded = materialised(stratified_folds(train.drop("split"), target, keys, k=k, seed=str(seed)))
-    oof = materialised(oof_predictions(folded, target, keys, features, k=k, params=params,
-                                       calibration=calibration, seed=seed))
+                  params: Sequence[Mapping] | None = None, trials: int = 30, calibration: str = "platt", seed: int = 42) -> DataFrame:
+    """The test part scored once: parameters by search on the training part, or those of the best fold where ``params``
+    gives each fold's; calibrator and threshold from out-of-fold rows."""
+    split = materialised(stratified_split(df.select(*keys, target, *[c for c in features if c not in keys]), target, keys, seed=str(seed)))
+    train, test = split.filter("split = 'train'").drop("split"), split.filter("split = 'test'").drop("split")
+    if params is None:
+        best = forest_search(train, target, keys, features, trials=trials, k=k, seed=seed).first()
+        params = [{c: best[c] for c in ("depth", "features", "trees", "leaf")}]
+    folded = materialised(stratified_folds(train, target, keys, k=k, seed=str(seed)))
+    raw = materialised(oof_predictions(folded, target, keys, features, k=k, params=params, calibration=None, seed=seed))
+    oof = materialised(cross_calibrate(raw, calibration))
     per_fold = M.score_counts(oof, by=["model", "fold"])
-    best = M.select_best_fold(M.average_precision(per_fold, ["model", "fold"])).first()["selected_fold"]
-    model = fit_forest(train, target, features, params[best % len(params)], seed)
-    scored = score(model, test, features).select(F.lit("rf").alias("model"), *keys, F.col(target).alias("y_true"), "y_pred")
-    scored = materialised(calibrate(scored, calibration, fit_on=oof))
+    chosen = M.select_best_fold(M.average_precision(per_fold, ["model", "fold"])).first()["selected_fold"]
+    model = fit_forest(train, target, keys, features, params[chosen % len(params)], seed=seed)
+    scored = forest.score(test, model).select(F.lit("rf").alias("model"), *keys, F.col(target).alias("y_true"), "y_pred")
+    scored = materialised(calibrate(scored, calibration, fit_on=raw))
     policy = M.best_f1_grid(oof)
     at = M.metrics_at_threshold(scored, policy).select(
         "model", F.col("threshold").alias("threshold_deploy"), F.col("f1").alias("f1_deploy"),
         F.col("accuracy").alias("accuracy_deploy"))
-    return M.all_metrics(scored).join(at, "model").withColumn("selected_fold", F.lit(int(best)))
+    return M.all_metrics(scored).join(at, "model").withColumn("selected_fold", F.lit(int(chosen)))
+
+
+def fold_ensemble_scoring(df: DataFrame, target: str, keys: Sequence[str], features: Sequence[str], *, k: int = 5,
+                          params: Mapping | None = None, seed: int = 42) -> DataFrame:
+    """Headline metrics on the test part of every fold's forest (fold 0 to k-1) and of their mean (fold -1)."""
+    split = materialised(stratified_split(df.select(*keys, target, *[c for c in features if c not in keys]), target, keys, seed=str(seed)))
+    folded = materialised(stratified_folds(split.filter("split = 'train'").drop("split"), target, keys, k=k, seed=str(seed)))
+    grown = fit_forest(folded, target, keys, features, params, fold="fold", seed=seed)
+    each = materialised(fold_scores(split.filter("split = 'test'").drop("split"), grown, range(k)).select(
+        F.lit("rf").alias("model"), *keys, "fold", F.col(target).alias("y_true"), "y_pred"))
+    mean = M.fold_ensemble(each, by=["model", *keys], folds=k).select("model", F.lit(-1).alias("fold"), "y_true", "y_pred")
+    return M.all_metrics(each.select("model", "fold", "y_true", "y_pred").unionByName(mean), by=["model", "fold"])
 
 
-def forest_importance(folded: DataFrame, target: str, features: Sequence[str], *, k: int, fold: str = "fold",
+def forest_importance(folded: DataFrame, target: str, keys: Sequence[str], features: Sequence[str], *, k: int, fold: str = "fold",
                       params: Mapping | None = None, seed: int = 42) -> DataFrame:
-    """``fold, feature, importance`` of each fold's forest."""
-    rows = []
-    for f in range(k):
-        fit = fit_forest(folded.filter(F.col(fold) != f), target, features, params, seed + f)
-        rows += [(f, c, float(fit.featureImportances[i])) for i, c in enumerate(features)]
-    return folded.sparkSession.createDataFrame(rows, "fold int, feature string, importance double")
+    """``fold, feature, importance`` of each fold's forest; a feature that no tree uses has 0."""
+    found = forest.importance(fit_forest(folded, target, keys, features, params, fold=fold, seed=seed))
+    every = folded.sparkSession.createDataFrame([(f, c) for f in range(k) for c in features], "fold int, feature string")
+    return every.join(found, ["fold", "feature"], "left").select("fold", "feature", F.coalesce("importance", F.lit(0.0)).alias("importance"))
+
+
+def forest_attribution(df: DataFrame, target: str, keys: Sequence[str], features: Sequence[str], *, params: Mapping | None = None,
+                       steps: int = 4, seed: int = 42) -> DataFrame:
+    """``keys..., base, y_pred, feature, step, score`` of a forest grown on the same rows; see ``forest.attribution``."""
+    return forest.attribution(df, fit_forest(df, target, keys, features, params, seed=seed), keys, steps=steps)
 
 
 def row_attribution(df: DataFrame, target: str, keys: Sequence[str], features: Sequence[str]) -> DataFrame:

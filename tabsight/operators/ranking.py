@@ -65,3 +65,26 @@ def running_totals(df: DataFrame, *, by: Sequence[str], value: str | Sequence[st
     out = joined(placed.withColumns({t: F.sum(s).over(inside) for s, t in sums.items()}), offsets, [*by, "_cell"])
     return (out.withColumns({t: F.col(t) + F.col(f"_{s}_0") for s, t in sums.items()})
             .drop("_cell", *[f"_{s}_0" for s in sums]))
+
+
+def nearest_knots(queries: DataFrame, knots: DataFrame, by: Sequence[str], x: str = "x") -> DataFrame:
+    """``by..., x, below, above`` for every distinct query: the last knot at or before it and the first at or after it.
+
+    ``knots`` has one row per (by, x); a knot is a struct of x and its other columns, NULL where there is none. Points are
+    dealt into cells by range; knots of other cells come from a table of a row per cell.
+    """
+    by, fields = list(by), [c for c in knots.columns if c not in by]
+    knot = F.struct(x, *[c for c in fields if c != x])
+    none = F.lit(None).cast(knots.select(knot.alias("k")).schema["k"].dataType)
+    points = (queries.select(*by, x, F.lit(True).alias("_q"), none.alias("_knot")).unionByName(knots.select(*by, x, F.lit(False).alias("_q"), knot.alias("_knot")))
+              .groupBy(*by, x).agg(F.max("_q").alias("_q"), F.max("_knot").alias("_knot")))
+    cells = range_cells(points, [*by, x], "_cell")
+    order = W.partitionBy(*by).orderBy("_cell")
+    per_cell = cells.groupBy(*by, "_cell").agg(F.min("_knot").alias("_first"), F.max("_knot").alias("_last"))
+    outer = per_cell.select(*by, "_cell", F.last("_last", True).over(order.rowsBetween(W.unboundedPreceding, -1)).alias("_below"),
+                            F.first("_first", True).over(order.rowsBetween(1, W.unboundedFollowing)).alias("_above"))
+    inside = W.partitionBy(*by, "_cell")
+    near = cells.withColumns({"below": F.last("_knot", True).over(inside.orderBy(x).rowsBetween(W.unboundedPreceding, 0)),
+                              "above": F.last("_knot", True).over(inside.orderBy(F.col(x).desc()).rowsBetween(W.unboundedPreceding, 0))})
+    near = joined(near.filter("_q"), outer, [*by, "_cell"])
+    return near.select(*by, x, F.coalesce("below", "_below").alias("below"), F.coalesce("above", "_above").alias("above"))

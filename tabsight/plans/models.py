@@ -65,14 +65,13 @@ iso AS (SELECT c.{by}, c.p, e.v FROM cum c JOIN (SELECT {by}, k, max(m) AS v FRO
   ON c.{by}=e.{by} AND c.i=e.k)"""
 
 
-@query("calibrate_isotonic", with_views(PRED_LONG, "fit AS (SELECT * FROM v_long WHERE model='a' AND fold<4)",
-                                        sql_isotonic("fit", "model")) + """
-SELECT id, fold, t.model, y_true, round(CASE WHEN a.p IS NULL THEN b.v WHEN b.p IS NULL OR a.p=b.p THEN a.v
-  ELSE a.v+(b.v-a.v)*(y_pred-a.p)/(b.p-a.p) END, 6) AS y_pred FROM (SELECT * FROM v_long WHERE model='a' AND fold=4) t
-ASOF LEFT JOIN iso a ON t.model=a.model AND t.y_pred>=a.p ASOF LEFT JOIN iso b ON t.model=b.model AND t.y_pred<=b.p""")
+@query("calibrate_isotonic", with_views(PRED_LONG, """fit AS (SELECT concat(v.model, f.fold) AS cell, y_true, y_pred
+  FROM v_long v JOIN (SELECT DISTINCT fold FROM v_long) f ON v.fold<>f.fold)""", sql_isotonic("fit", "cell")) + """
+SELECT id, fold, model, y_true, round(CASE WHEN a.p IS NULL THEN b.v WHEN b.p IS NULL OR a.p=b.p THEN a.v
+  ELSE a.v+(b.v-a.v)*(y_pred-a.p)/(b.p-a.p) END, 6) AS y_pred FROM (SELECT *, concat(model, fold) AS cell FROM v_long) t
+ASOF LEFT JOIN iso a ON t.cell=a.cell AND t.y_pred>=a.p ASOF LEFT JOIN iso b ON t.cell=b.cell AND t.y_pred<=b.p""")
 def calibrate_isotonic(spark, sf_dir):
-    p = predictions_long(spark, sf_dir).filter("model = 'a'")
-    return T.calibrate(p.filter("fold = 4"), "isotonic", fit_on=p.filter("fold < 4"))
+    return T.cross_calibrate(predictions_long(spark, sf_dir), "isotonic")
 
 
 def _sql_side(tag: str) -> str:
@@ -89,12 +88,11 @@ SELECT a.model, a.fold, round(a.brier, 6) AS brier_pre, round(b.ece, 6) AS ece_p
 FROM preb a JOIN pree b USING (model, fold) JOIN postb c USING (model, fold) JOIN poste d USING (model, fold)"""
 
 
-@query("calibration_report", with_views(PRED_LONG, "own AS (SELECT * FROM v_long WHERE model='b')",
-                                        sql_isotonic("own", "fold"), """ver AS (SELECT model, o.fold, y_true, y_pred AS pre,
-  v AS post FROM own o JOIN iso ON o.fold=iso.fold AND o.y_pred=iso.p)""", _sql_side("pre"), _sql_side("post")) + DELTA)
+@query("calibration_report", with_views(PRED_LONG, "own AS (SELECT *, concat(model, fold) AS cell FROM v_long)",
+                                        sql_isotonic("own", "cell"), """ver AS (SELECT model, o.fold, y_true, y_pred AS pre,
+  v AS post FROM own o JOIN iso ON o.cell=iso.cell AND o.y_pred=iso.p)""", _sql_side("pre"), _sql_side("post")) + DELTA)
 def calibration_report(spark, sf_dir):
-    p = predictions_long(spark, sf_dir).filter("model = 'b'")
-    return T.calibration_report(p, "isotonic", folds=range(5))
+    return T.calibration_report(predictions_long(spark, sf_dir), "isotonic", folds=range(5))
 
 
 @query("calibration_delta", with_views(PRED_LONG, """ver AS (SELECT model, fold, y_true, y_pred AS pre,
@@ -114,7 +112,17 @@ def final_scoring(spark, sf_dir):
 def forest_importance(spark, sf_dir):
     t = train(spark, sf_dir)
     folded = materialised(stratified_folds(t, "target", MEASURE_KEYS, k=FOLDS))
-    return I.importance_summary(T.forest_importance(folded, "target", features(), k=FOLDS))
+    return I.importance_summary(T.forest_importance(folded, "target", MEASURE_KEYS, features(), k=FOLDS))
+
+
+@query("fold_ensemble_scoring")
+def fold_ensemble_scoring(spark, sf_dir):
+    return T.fold_ensemble_scoring(train(spark, sf_dir), "target", MEASURE_KEYS, features())
+
+
+@query("forest_attribution")
+def forest_attribution(spark, sf_dir):
+    return T.forest_attribution(train(spark, sf_dir), "target", MEASURE_KEYS, features())
 
 
 @query("row_attribution")

@@ -150,7 +150,7 @@ def test_row_attribution_sums_to_one_and_ranks_the_signal(table):
 
 
 @pytest.mark.skipif(not os.path.isdir(f"{ROOT}/sf0.001"), reason="no test tables")
-@pytest.mark.parametrize("module, name", [(T, "forest_search"), (T, "forest_oof"), (T, "final_scoring"),
+@pytest.mark.parametrize("module, name", [(T, "fold_ensemble_scoring"), (T, "forest_attribution"), (T, "forest_search"), (T, "forest_oof"), (T, "final_scoring"),
                                           (T, "forest_importance"), (C, "impute_iterative")])
 def test_registered_queries_take_the_operators_defaults(spark, monkeypatch, module, name):
     signature, seen = inspect.signature(getattr(module, name)), {}
