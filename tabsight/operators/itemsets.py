@@ -71,39 +71,45 @@ def frequent_itemsets(baskets: DataFrame, *, by: Sequence[str] = (), min_support
                       items: str = "items") -> DataFrame:
     """``by..., items, count, rows, support`` of every itemset reaching ``min_support``, per group.
 
-    Level by level: only itemsets found frequent are extended, by larger items of the same basket.
-    Equal baskets are merged beforehand, and candidate counts combine before the shuffle, so neither
-    a popular basket nor a popular itemset gathers rows in one task.
+    Vertical layout: equal baskets are merged and numbered, and 64 of them make a word. An item has a bit mask per
+    word, an itemset the AND of its items' masks; its support is the number of bits, weighted by the baskets' counts,
+    of which each binary digit is a mask as well. So a candidate carries one mask per word and never a basket, a word
+    meets its own items only, and a popular basket or itemset gathers no rows in one task.
     """
     keys = list(by) or ["_g"]
     src = baskets if by else baskets.withColumn("_g", F.lit(0))
-    base = materialised(compress_baskets(src, keys, items))
+    base = materialised(compress_baskets(src, keys, items).withColumn("_id", F.monotonically_increasing_id()))
     totals = small_side(base.groupBy(*keys).agg(F.sum("w").alias("rows")))
+    digits = int(base.agg(F.max("w")).first()[0] or 0).bit_length()
+    word, bit = F.shiftright("_id", 6).alias("word"), F.call_function("shiftleft", F.lit(1).cast("long"), (F.col("_id") % 64).cast("int"))
+    planes = base.groupBy(*keys, word).agg(F.array(*[
+        F.coalesce(F.bit_or(F.when(F.shiftright("w", j) % 2 == 1, bit)), F.lit(0).cast("long")) for j in range(digits)]).alias("planes"))
 
     def frequent(state: DataFrame) -> DataFrame:
-        found = (state.groupBy(*keys, F.col("prefix").alias("items")).agg(F.sum("w").alias("count")))
-        found = (joined(found, totals, keys).withColumn("support", F.col("count") / F.col("rows"))
-                 .filter(F.col("support") >= min_support)
-                 .select(*keys, "items", "count", "rows", "support"))
-        return materialised(found)
-
-    single = frequent(base.select(*keys, "w", F.explode(F.transform("items", lambda i: F.array(i))).alias("prefix")))
-    known = small_side(single.groupBy(*keys).agg(F.collect_list(F.col("items")[0]).alias("known")))
-    state = joined(base, known, keys).select(
-        *keys, "w", F.filter("items", lambda i: F.array_contains("known", i)).alias("items"))
-    state = state.select(*keys, "w", "items", F.explode("items").alias("last")).withColumn("prefix", F.array("last"))
-    levels = [single]
-    for size in range(2, max_len + 1):
-        seen = levels[-1].select(*keys, F.col("items").alias("prefix"))
-        if size > 2:
-            state = joined(state, seen, [*keys, "prefix"])
-        state = (state.select(*keys, "w", "items", "prefix", F.explode(
-            F.filter("items", lambda i: i > F.element_at("prefix", -1))).alias("next"))
-            .select(*keys, "w", "items", F.concat("prefix", F.array("next")).alias("prefix")))
+        weight = F.lit(0).cast("long")
+        for j in range(digits):
+            weight = weight + F.bit_count(F.col("bits").bitwiseAND(F.col("planes")[j])).cast("long") * (1 << j)
+        found = state.groupBy(*keys, F.col("prefix").alias("items")).agg(F.sum(weight).alias("count"))
+        return materialised(joined(found, totals, keys).withColumn("support", F.col("count") / F.col("rows"))
+                            .filter(F.col("support") >= min_support).select(*keys, "items", "count", "rows", "support"))
+
+    def kept(state: DataFrame, level: DataFrame) -> DataFrame:
+        return joined(state, small_side(level.select(*keys, F.col("items").alias("prefix"))), [*keys, "prefix"], "left_semi")
+
+    masks = base.select(*keys, word, bit.alias("bit"), F.explode("items").alias("item")).groupBy(*keys, "word", "item").agg(F.bit_or("bit").alias("bits"))
+    state = joined(masks, planes, [*keys, "word"]).withColumn("prefix", F.array("item"))
+    levels = [frequent(state)]
+    state = materialised(kept(state, levels[0]))
+    singles = state.select(*keys, "word", F.col("item").alias("next"), F.col("bits").alias("more"))
+    for _ in range(2, max_len + 1):
+        both = F.col("bits").bitwiseAND(F.col("more"))
+        state = (joined(state, singles, [*keys, "word"]).filter((F.col("next") > F.element_at("prefix", -1)) & (both != 0))
+                 .select(*keys, "word", "planes", both.alias("bits"), F.concat("prefix", F.array("next")).alias("prefix")))
         level = frequent(state)
         if not level.take(1):
             break
         levels.append(level)
+        state = materialised(kept(state, level))
     out = levels[0]
     for level in levels[1:]:
         out = out.unionByName(level)

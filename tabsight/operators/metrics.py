@@ -7,15 +7,18 @@ those scores are taken cell by cell (see ``ranking``).
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Iterator, Sequence
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tabsight.functions.expressions import ratio
 from tabsight.operators.ranking import running_totals
 from tabsight.operators.small import joined, small_side
-from tabsight.operators.splits import bootstrap_weights
+from tabsight.operators.splits import hash_words, poisson_draws
+from tabsight.sources.files import materialised
 
 
 def score_counts(df: DataFrame, *, by: Sequence[str] = ("model",), y: str = "y_true", p: str = "y_pred") -> DataFrame:
@@ -25,11 +28,11 @@ def score_counts(df: DataFrame, *, by: Sequence[str] = ("model",), y: str = "y_t
             .agg(F.sum(F.col(y).cast("bigint")).alias("pos"), F.count("*").alias("n")))
 
 
-def ranked_scores(counts: DataFrame, by: Sequence[str], descending: bool = True) -> DataFrame:
+def ranked_scores(counts: DataFrame, by: Sequence[str], descending: bool = True, cells: int | None = None) -> DataFrame:
     """Add ``tp`` and ``m``: positives and rows at or above (below, if ascending) each score; and
     ``p_all`` and ``n_all``: the group's totals."""
     return running_totals(counts, by=by, value="score", sums={"pos": "tp", "n": "m"}, descending=descending,
-                          totals={"pos": "p_all", "n": "n_all"})
+                          totals={"pos": "p_all", "n": "n_all"}, cells=cells)
 
 
 def _group_totals(counts: DataFrame, by: Sequence[str]) -> DataFrame:
@@ -49,14 +52,14 @@ def _ap() -> Column:
     return F.when(F.sum("pos") > 0, step / F.sum("pos"))
 
 
-def roc_auc(counts: DataFrame, by: Sequence[str]) -> DataFrame:
+def roc_auc(counts: DataFrame, by: Sequence[str], cells: int | None = None) -> DataFrame:
     """Rank form of ROC-AUC, a tie counting one half; NULL when a class is missing."""
-    return ranked_scores(counts, by).groupBy(*by).agg(_auc().alias("roc_auc"))
+    return ranked_scores(counts, by, cells=cells).groupBy(*by).agg(_auc().alias("roc_auc"))
 
 
-def average_precision(counts: DataFrame, by: Sequence[str]) -> DataFrame:
+def average_precision(counts: DataFrame, by: Sequence[str], cells: int | None = None) -> DataFrame:
     """Sum of recall steps times precision, without interpolation."""
-    return ranked_scores(counts, by).groupBy(*by).agg(_ap().alias("pr_auc"))
+    return ranked_scores(counts, by, cells=cells).groupBy(*by).agg(_ap().alias("pr_auc"))
 
 
 def ranking_metrics(counts: DataFrame, by: Sequence[str]) -> DataFrame:
@@ -320,20 +323,91 @@ def outcome_listing(df: DataFrame, other: DataFrame, *, id: str = "id", y: str =
             .orderBy(F.col(p).desc(), id))
 
 
-def bootstrap_ap_ci(pairs: DataFrame, *, id: str = "id", y: str = "y_true", n_boot: int = 2000,
+def bootstrap_average_precision(cells: DataFrame, score: str, n_boot: int, *, y: str = "y_true", n: str = "n") -> DataFrame:
+    """(replicate, ap) over rows in bulk: ``cells`` has a score, a label, a number of equal rows and two hash words each.
+
+    Cells are dealt by ranges of the score and written once. A first pass sums each replicate's weights per range, a
+    second one draws the same weights again and adds up precision times recall steps from the sums of the ranges above.
+    """
+    dealt = materialised(cells.repartitionByRange(F.col(score).desc()).sortWithinPartitions(F.col(score).desc())
+                         .withColumn("_range", F.spark_partition_id()))
+    replicates, schema = np.arange(n_boot), "_range int, replicate int, pos long, n long"
+
+    def drawn(batch: pa.RecordBatch) -> tuple[np.ndarray, ...]:
+        a, b, times, label = (np.array(batch.column(c), np.int64) for c in ("_h0", "_h1", n, y))
+        w = poisson_draws(a, b, times, replicates)
+        return w * label[:, None], w
+
+    def sums(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        found: dict[int, np.ndarray] = {}
+        for batch in batches:
+            ranges = np.array(batch.column("_range"))
+            for r in np.unique(ranges).tolist():
+                own = batch.filter(pa.array(ranges == r))
+                for k in range(0, own.num_rows, 1000):
+                    found[r] = found.get(r, 0) + np.stack([x.sum(0) for x in drawn(own.slice(k, 1000))])
+        for r, total in found.items():
+            yield pa.RecordBatch.from_arrays([pa.array(np.full(n_boot, r, np.int32)), pa.array(replicates.astype(np.int32)), *map(pa.array, total)],
+                                             ["_range", "replicate", "pos", "n"])
+
+    each = dealt.mapInArrow(sums, schema).groupBy("_range", "replicate").agg(F.sum("pos").alias("pos"), F.sum("n").alias("n"))
+    rows = each.orderBy("_range", "replicate").toArrow()  # a row per range and replicate
+    order = sorted(set(rows.column("_range").to_pylist()))
+    table = np.stack([np.array(rows.column(c)) for c in ("pos", "n")]).reshape(2, len(order), n_boot) if order else np.zeros((2, 0, n_boot), np.int64)
+    above = {r: x for r, x in zip(order, np.moveaxis(np.cumsum(table, axis=1) - table, 1, 0), strict=True)}
+    shared = cells.sparkSession.sparkContext.broadcast(above)
+
+    def steps(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """The shares of the ranges in a task, from their cells in order; a score's cells may lie in two batches."""
+        at, last, share = None, None, np.zeros(n_boot)
+        before = open_ = np.zeros((2, n_boot), np.int64)  # all scores above the open one; the open one so far
+
+        def close(groups: np.ndarray) -> None:
+            nonlocal before, share
+            upto = before[:, None] + np.cumsum(groups, axis=1)
+            share += (groups[0] * upto[0] / np.maximum(upto[1], 1)).sum(0)
+            before = upto[:, -1]
+
+        for batch in batches:
+            ranges = np.array(batch.column("_range"))
+            for r in dict.fromkeys(ranges.tolist()):
+                if r != at:
+                    close(open_[:, None])
+                    at, last, before, open_ = r, None, shared.value[r], np.zeros((2, n_boot), np.int64)
+                own = batch.filter(pa.array(ranges == r))
+                for k in range(0, own.num_rows, 1000):
+                    part = own.slice(k, 1000)
+                    p = np.array(part.column(score), float)
+                    heads = np.flatnonzero(np.append(True, p[1:] != p[:-1]))
+                    groups = np.stack([np.add.reduceat(x, heads, axis=0) for x in drawn(part)])
+                    if p[0] == last:
+                        groups[:, 0] += open_
+                    else:
+                        close(open_[:, None])
+                    if len(heads) > 1:
+                        close(groups[:, :-1])
+                    open_, last = groups[:, -1], p[-1]
+        close(open_[:, None])
+        yield pa.RecordBatch.from_arrays([pa.array(replicates.astype(np.int32)), pa.array(share)], ["replicate", "share"])
+
+    ordered = dealt.repartition("_range").sortWithinPartitions("_range", F.col(score).desc())
+    shares = ordered.mapInArrow(steps, "replicate int, share double").groupBy("replicate").agg(F.sum("share").alias("share"))
+    whole = each.groupBy("replicate").agg(F.sum("pos").alias("pos"))
+    return shares.join(whole, "replicate").select("replicate", F.when(F.col("pos") > 0, F.col("share") / F.col("pos")).alias("ap"))
+
+
+def bootstrap_ap_ci(pairs: DataFrame, *, y: str = "y_true", n_boot: int = 2000,
                     seed: str = "boot") -> DataFrame:
     """Mean and 2.5/97.5 percentiles of average precision for two models and their paired difference.
 
-    ``pairs`` has one row per id with ``p_a`` and ``p_b``; both models see the same weights.
+    ``pairs`` has ``p_a``, ``p_b`` and the label; both models see the same weights. Rows alike in all three are one cell
+    with one draw per replicate (see ``poisson_draws``), so the cost follows the distinct score pairs, not the rows.
     """
-    long = pairs.select(id, y, F.inline(F.array(
-        *[F.struct(F.lit(m).alias("model"), F.col(f"p_{m}").alias("p")) for m in ("a", "b")])))
-    counts = (bootstrap_weights(long, [id], n_boot, seed=seed)
-              .groupBy("replicate", "model", F.col("p").alias("score"))
-              .agg(F.sum(F.col("w") * F.col(y)).cast("bigint").alias("pos"), F.sum("w").cast("bigint").alias("n")))
-    ap = average_precision(counts, ["replicate", "model"])
-    both = ap.groupBy("replicate").agg(F.max(F.when(F.col("model") == "a", F.col("pr_auc"))).alias("ap_a"),
-                                       F.max(F.when(F.col("model") == "b", F.col("pr_auc"))).alias("ap_b"))
+    cells = pairs.groupBy("p_a", "p_b", y).agg(F.count("*").alias("n"))
+    exact = [F.floor(F.col(c) * 2.0**53) for c in ("p_a", "p_b")]  # any engine's text of these whole numbers is the same
+    cells = materialised(cells.select("*", *hash_words(seed, [*exact, y])))
+    ap_a, ap_b = (bootstrap_average_precision(cells, f"p_{m}", n_boot, y=y).withColumnRenamed("ap", f"ap_{m}") for m in ("a", "b"))
+    both = ap_a.join(ap_b, "replicate")
     both = both.withColumn("diff", F.col("ap_a") - F.col("ap_b"))
     # one row per replicate: an exact percentile over n_boot values is small
     return both.agg(*[f for c in ("ap_a", "ap_b", "diff") for f in (

@@ -1,7 +1,7 @@
 """Association rules over frequent itemsets: generation, metrics, pruning, stability, ranking.
 
-All inputs here are itemset- or rule-sized; joins are on equal keys (an antecedent, one of its
-subsets, or its first item), never on all pairs.
+All inputs here are itemset- or rule-sized; joins are on equal keys (an antecedent, or a set's
+rarest item), never on all pairs.
 """
 
 from __future__ import annotations
@@ -14,12 +14,10 @@ from pyspark.sql import functions as F
 
 from tabsight.operators.itemsets import compress_baskets
 from tabsight.operators.small import small_side
-from tabsight.operators.splits import bootstrap_weights
+from tabsight.operators.splits import cell_weights
 from tabsight.sources.files import materialised
 
 EPS = 1e-9
-#: Items of a set whose subsets are listed one by one; above that the list would not fit a row.
-MAX_ITEMS = 22
 
 
 def _supports(freq: DataFrame, by: Sequence[str], side: str) -> DataFrame:
@@ -50,25 +48,29 @@ def target_rules(freq: DataFrame, target_item: str, min_confidence: float = 0.6,
     return _finish(split, freq, by).filter(F.col("confidence") >= min_confidence)
 
 
-def proper_subsets(items: str) -> Column:
-    """All non-empty proper subsets of a short array column, each keeping the array's order.
+def subset_pairs(sets: DataFrame, subsets: DataFrame, by: Sequence[str], big: str, small: str) -> DataFrame:
+    """All pairs of rows of which ``small`` is a non-empty proper subset of ``big``, within ``by``; other columns as they are.
 
-    Their number doubles with every item; above ``MAX_ITEMS`` items the query stops with an error.
+    A subset is met through its rarest item (the one in fewest of the subsets), which its supersets hold too; so
+    nobody lists the subsets of a set, however long it is. Both tables have column names of their own.
     """
-    one = F.lit(1).cast("long")
-    too_long = F.raise_error(F.concat(F.lit("subsets of too many items: "), F.size(items).cast("string"))).cast("array<bigint>")
-    masks = (F.when(F.size(items) > MAX_ITEMS, too_long)
-             .when(F.size(items) > 1, F.sequence(one, F.call_function("shiftleft", one, F.size(items)) - 2, one))
-             .otherwise(F.array().cast("array<bigint>")))
-    return F.transform(masks, lambda m: F.filter(
-        items, lambda x, i: F.call_function("shiftright", m, i).bitwiseAND(one) == 1))
+    counts = small_side(subsets.select(F.explode(small).alias("_item")).groupBy("_item").agg(F.count("*").alias("_n")))
+    distinct = subsets.select(small).distinct()
+    rarest = (distinct.select(small, F.explode(small).alias("_item")).join(counts, "_item").groupBy(small)
+              .agg(F.min(F.struct("_n", "_item"))["_item"].alias("_rare")))
+    marked = subsets.join(rarest, small).withColumnsRenamed({k: f"_by_{k}" for k in by})
+    match = F.col("_held") == F.col("_rare")
+    for k in by:
+        match = match & F.col(k).eqNullSafe(F.col(f"_by_{k}"))
+    met = sets.select("*", F.explode(big).alias("_held")).join(marked, match)
+    return met.filter((F.size(small) < F.size(big)) & (F.size(F.array_except(small, big)) == 0)).drop("_held", "_rare", *[f"_by_{k}" for k in by])
 
 
 def general_rules(freq: DataFrame, *, metric: str = "lift", min_threshold: float = 1.1,
                   by: Sequence[str] = ()) -> DataFrame:
-    """Every antecedent/consequent split of every frequent itemset (at most 2^max_len - 2 each)."""
-    split = (freq.filter(F.size("items") > 1)
-             .select(*by, "items", "support", F.explode(proper_subsets("items")).alias("antecedents"))
+    """Every antecedent/consequent split of every frequent itemset; the parts of a frequent set are frequent themselves."""
+    parts = freq.select(*by, F.col("items").alias("antecedents"), F.col("support").alias("antecedent_support"))
+    split = (subset_pairs(freq.filter(F.size("items") > 1).select(*by, "items", "support"), parts, by, "items", "antecedents")
              .select(*by, "antecedents", F.array_except("items", "antecedents").alias("consequents"), "support"))
     split = split.join(_supports(freq, by, "consequents"), [*by, "consequents"])
     return _finish(split, freq, by).filter(F.col(metric) >= min_threshold)
@@ -104,32 +106,30 @@ def filter_rules(rules: DataFrame, *, min_support: float = 0.03, min_confidence:
 def prune_rules(rules: DataFrame, by: Sequence[str] = ()) -> DataFrame:
     """Drop a rule if one with a subset of its antecedent is at least as good in all three measures.
 
-    Each rule looks up its own antecedent's subsets, so the join is on equal antecedents.
+    Rules meet through their rarest item (``subset_pairs``), so antecedents may be of any length.
     """
     measures = ["lift", "confidence", "support"]
-    wide = rules.select(*by, "antecedents", "consequents", *measures,
-                        F.explode(proper_subsets("antecedents")).alias("_sub"))
-    small = rules.select(*by, F.col("antecedents").alias("_sub"), "consequents",
+    small = rules.select(*by, F.col("antecedents").alias("_sub"), F.col("consequents").alias("_then"),
                          *[F.col(m).alias(f"_{m}") for m in measures])
-    better = F.lit(True)
+    better = F.col("consequents") == F.col("_then")
     for m in measures:
         better = better & (F.col(f"_{m}") + EPS >= F.col(m))
-    beaten = wide.join(small, [*by, "_sub", "consequents"]).filter(better)
+    beaten = subset_pairs(rules.select(*by, "antecedents", "consequents", *measures), small, by, "antecedents", "_sub").filter(better)
     return rules.join(beaten.select(*by, "antecedents", "consequents").distinct(),
                       [*by, "antecedents", "consequents"], "left_anti")
 
 
-def rule_stability(rules: DataFrame, baskets: DataFrame, *, id: str = "id", target_item: str, n_boot: int = 200,
+def rule_stability(rules: DataFrame, baskets: DataFrame, *, target_item: str, n_boot: int = 200,
                    sample_frac: float = 0.8, min_support: float = 0.03, min_confidence: float = 0.6,
                    min_presence: float = 0.0, seed: str = "rules") -> DataFrame:
     """Add ``stability``: the share of Poisson resamples in which the rule would be mined again.
 
     With a fixed consequent this needs three supports per rule and resample, so nothing is mined
-    again. Resamples are reduced to weighted distinct baskets before rules are matched, and a basket
-    meets a rule through the rule's first item.
+    again. Baskets are reduced to distinct ones, each with one draw per resample, before rules are matched, and a
+    basket meets a rule through the rule's first item.
     """
-    drawn = bootstrap_weights(baskets.select(id, "items"), [id], n_boot, rate=sample_frac, seed=seed)
-    packed = materialised(compress_baskets(drawn, ["replicate"], weight="w"))
+    distinct = compress_baskets(baskets.select("items"))
+    packed = materialised(cell_weights(distinct.withColumnRenamed("w", "_rows").withColumn("_key", F.concat_ws(",", "items")), ["_key"], "_rows", n_boot, rate=sample_frac, seed=seed))
     hit = F.when(F.array_contains("items", target_item), F.col("w")).otherwise(F.lit(0))
     totals = small_side(packed.groupBy("replicate").agg(F.sum("w").alias("_n")))
     wanted = small_side(rules.select("antecedents", F.col("antecedents")[0].alias("_first")).distinct())

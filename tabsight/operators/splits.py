@@ -3,11 +3,14 @@
 from __future__ import annotations
 
 import math
-from collections.abc import Sequence
+from collections.abc import Iterator, Sequence
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from tabsight.functions.expressions import hash32
 from tabsight.operators.small import joined
@@ -80,47 +83,91 @@ def spotlight_ids(df: DataFrame, id: str, ids: DataFrame, n: int = 20, seed: str
     return picked if picked.limit(1).count() else spotlight_sample(df, id, n, seed)
 
 
+# Multiplier and stride of the 32-bit mixer; steps of the stride per replicate.
+MIX, STRIDE, STEPS = 0x45D9F3B, 0x9E3779B1, 128
+#: Rates up to this power of two are drawn from a table of the distribution, larger ones from its normal expansion.
+TABLE_BITS = 10
+
+
 def poisson_cuts(rate: float) -> list[int]:
     """Upper bounds of a 32-bit uniform for each Poisson count: count = number of cuts <= u."""
-    if not 0 < rate <= 1:
-        raise ValueError(f"a sampling rate is above 0 and at most 1, not {rate}")
-    cuts, p, total, k = [], math.exp(-rate), 0.0, 0
+    if rate <= 0:
+        raise ValueError(f"a sampling rate is above 0, not {rate}")
+    cuts, total, k = [], 0.0, 0
     while True:
-        total += p
+        total += math.exp(k * math.log(rate) - rate - math.lgamma(k + 1))
         cut = int(total * 2**32)
-        if cut >= 2**32 - 1:
+        if cut >= 2**32 - 1 or (k > rate and cuts and cut == cuts[-1]):
             return cuts
         cuts.append(cut)
         k += 1
-        p *= rate / k
 
 
-def poisson_weight(u: Column, rate: float) -> Column:
-    """Poisson count of a 32-bit uniform by inverse distribution function."""
-    cuts = poisson_cuts(rate)
-    out = F.when(u < cuts[0], 0)
-    for count, cut in enumerate(cuts[1:], start=1):
-        out = out.when(u < cut, count)
-    return out.otherwise(len(cuts))
+def replicate_uniforms(a: np.ndarray, b: np.ndarray, steps: np.ndarray) -> np.ndarray:
+    """A 32-bit uniform for all pairs of rows, by two hash words (down), and steps, ``STEPS`` per replicate (across)."""
+    def mixed(x: np.ndarray) -> np.ndarray:
+        for _ in range(2):
+            x ^= x >> np.uint32(16)
+            x *= np.uint32(MIX)
+        x ^= x >> np.uint32(16)
+        return x
+
+    at = (steps.astype(np.uint64) * np.uint64(STRIDE)).astype(np.uint32)
+    return mixed(mixed(a.astype(np.uint32)[:, None] + at) ^ b.astype(np.uint32)[:, None])
+
+
+def poisson_draws(a: np.ndarray, b: np.ndarray, n: np.ndarray, replicates: np.ndarray, rate: float = 1.0) -> np.ndarray:
+    """Sums of ``n`` Poisson counts for rows with hash words ``a`` and ``b`` (down) and replicates (across).
+
+    A sum of Poisson counts is one, so a binary digit of ``n`` takes one draw, whatever its value.
+    """
+    out, first = np.zeros((len(n), len(replicates)), np.int64), replicates.astype(np.int64) * STEPS
+    for j in range(int(n.max(initial=0)).bit_length()):
+        rows = np.flatnonzero(n >> j & 1)
+        if not len(rows):
+            continue
+        u, mean = replicate_uniforms(a[rows], b[rows], first + j), rate * 2.0**j
+        if j <= TABLE_BITS:
+            out[rows] += np.searchsorted(np.array(poisson_cuts(mean), np.uint32), u, "right")
+        else:  # the normal quantile's place is taken by a normal variate of two uniforms, with the next term for skew
+            v = replicate_uniforms(a[rows], b[rows], first + 64 + j)
+            z = np.sqrt(-2.0 * np.log((u + 0.5) / 2.0**32)) * np.cos(2.0 * np.pi * ((v + 0.5) / 2.0**32))
+            out[rows] += np.maximum(0, np.rint(mean + np.sqrt(mean) * z + (z * z - 1.0) / 6.0)).astype(np.int64)
+    return out
+
+
+def hash_words(seed: str, keys: Sequence[str | Column]) -> list[Column]:
+    """Two independent 32-bit hashes of the keys."""
+    return [hash32(seed, *keys, word=i).alias(f"_h{i}") for i in (0, 1)]
 
 
 def bootstrap_weights(df: DataFrame, keys: Sequence[str], n_boot: int, *, rate: float = 1.0,
                       seed: str = "boot") -> DataFrame:
     """Each row once per replicate that draws it, with ``replicate`` and its Poisson weight ``w``.
 
-    Poisson counts per row stand in for drawing with replacement, which needs no global index. One
-    digest serves four replicates. Callers should aggregate right away: the rows are combined map-side.
+    Poisson counts per row stand in for drawing with replacement, which needs no global index. One digest of a row
+    serves all its replicates. Callers should aggregate right away: the rows are combined map-side.
     """
-    groups = (n_boot + 3) // 4
-    digest = F.md5(F.concat_ws(":", F.lit(seed), *[F.col(k).cast("string") for k in keys], F.col("_g").cast("string")))
-    # the words become columns first, so that the weight's CASE does not work them out again per branch
-    four = df.withColumn("_g", F.explode(F.sequence(F.lit(0), F.lit(groups - 1)))).select(
-        *df.columns, "_g", digest.alias("_d")).select(*df.columns, "_g", *[
-            F.conv(F.substring("_d", 8 * i + 1, 8), 16, 10).cast("bigint").alias(f"_w{i}") for i in range(4)])
-    drawn = four.select(*df.columns, F.inline(F.array(*[
-        F.struct((F.col("_g") * 4 + i).alias("replicate"), poisson_weight(F.col(f"_w{i}"), rate).alias("w"))
-        for i in range(4)])))
-    return drawn.filter((F.col("w") > 0) & (F.col("replicate") < n_boot))
+    return cell_weights(df.withColumn("_one", F.lit(1).cast("bigint")), keys, "_one", n_boot, rate=rate, seed=seed).drop("_one")
+
+
+def cell_weights(df: DataFrame, keys: Sequence[str], count: str, n_boot: int, *, rate: float = 1.0,
+                 seed: str = "boot") -> DataFrame:
+    """``bootstrap_weights`` for rows that stand for ``count`` equal rows each: ``w`` is the sum of their weights."""
+    schema = T.StructType([*df.schema.fields, T.StructField("replicate", T.IntegerType()), T.StructField("w", T.LongType())])
+
+    def draw(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            step = max(1, (1 << 20) // n_boot)
+            for k in range(0, batch.num_rows, step):
+                part = batch.slice(k, step)
+                a, b, n = (np.array(part.column(c), np.int64) for c in ("_h0", "_h1", count))
+                w = poisson_draws(a, b, n, np.arange(n_boot), rate)
+                row, replicate = np.nonzero(w)
+                yield pa.RecordBatch.from_arrays([*(c.take(pa.array(row)) for c in part.columns[:-2]), pa.array(replicate.astype(np.int32)), pa.array(w[row, replicate])],
+                                                 schema.names)
+
+    return df.select(*df.columns, *hash_words(seed, keys)).mapInArrow(draw, schema)
 
 
 def bootstrap_counts(df: DataFrame, keys: Sequence[str], n_boot: int, *, rate: float = 1.0,

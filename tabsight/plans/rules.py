@@ -9,7 +9,7 @@ from tabsight.operators import itemsets as S
 from tabsight.operators import rules as R
 from tabsight.plans.attribution import MEANS, step_means
 from tabsight.plans.registry import query
-from tabsight.plans.splits import sql_draws
+from tabsight.plans.splits import sql_cell_draws
 from tabsight.plans.views import BASKET, baskets, table, with_views
 
 SUPPORT, CONFIDENCE, LIFT, LEN = 0.02, 0.5, 1.0, 4
@@ -226,21 +226,24 @@ def prune_rules(spark, sf_dir):
     return shown(R.prune_rules(mined(spark, sf_dir)))
 
 
-N_BOOT = 12
+N_BOOT = 200
 
+CELLS = """v_cells AS (SELECT coalesce(string_agg(item, ',' ORDER BY item), '') AS basket, coalesce(list(item) FILTER (item IS NOT NULL), []) AS items
+  FROM v_base LEFT JOIN v_items USING (id) GROUP BY id),
+v_distinct AS (SELECT basket, any_value(items) AS items, count(*) AS n FROM v_cells GROUP BY basket)"""
 
-@query("rule_stability", with_views(ITEMS, FREQ, RULES, sql_draws("v_base", "id", N_BOOT, 0.8, "rules")) + f""",
+
+@query("rule_stability", with_views(ITEMS, FREQ, RULES, CELLS, sql_cell_draws("v_distinct", "basket", N_BOOT, 0.8, "rules")) + f""",
 tot AS (SELECT replicate, sum(w) AS n FROM draws GROUP BY 1),
-held AS (SELECT r.antecedents, d.id, d.replicate, d.w, d.target FROM rules r JOIN (SELECT i.id, r2.antecedents FROM
-  v_items i JOIN rules r2 ON list_contains(r2.l, i.item) GROUP BY i.id, r2.antecedents, r2.l
-  HAVING count(*)=len(r2.l)) h ON r.antecedents=h.antecedents JOIN draws d ON d.id=h.id),
+held AS (SELECT r.antecedents, d.replicate, d.w, list_contains(d.items, 'target')::int AS target FROM rules r JOIN draws d
+  ON list_has_all(d.items, r.l)),
 c AS (SELECT antecedents, replicate, sum(w) AS a, sum(w*target) AS s FROM held GROUP BY 1, 2),
 f AS (SELECT antecedents, count(*) FILTER (s/n::double>={SUPPORT} AND s/a::double>={CONFIDENCE})/{N_BOOT}.0::double AS st
   FROM c JOIN tot USING (replicate) GROUP BY 1)
 SELECT r.antecedents, round(lift, 6) AS lift, round(coalesce(st, 0), 6) AS stability FROM rules r LEFT JOIN f
   ON r.antecedents=f.antecedents WHERE coalesce(st, 0)>=0.3""")
 def rule_stability(spark, sf_dir):
-    out = R.rule_stability(mined(spark, sf_dir), basket_table(spark, sf_dir), target_item="target", n_boot=N_BOOT,
+    out = R.rule_stability(mined(spark, sf_dir), basket_table(spark, sf_dir), target_item="target",
                            min_support=SUPPORT, min_confidence=CONFIDENCE, min_presence=0.3)
     return text(out, "antecedents").select("antecedents", "lift", "stability")
 

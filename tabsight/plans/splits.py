@@ -64,20 +64,45 @@ def _sql_weight(rate: float) -> str:
     return "CASE " + " ".join(f"WHEN u>={cut} THEN {n}" for n, cut in reversed(cuts)) + " ELSE 0 END"
 
 
+def _sql_uniform(src: str) -> str:
+    """``src`` with a 32-bit uniform ``u`` of its columns h0, h1 and step."""
+    out = f"(SELECT *, (h0+step*{K.STRIDE})%4294967296 AS u FROM {src})"
+    for last in ("xor(xor(u, u>>16), h1)", "xor(u, u>>16)"):
+        for _ in range(2):
+            out = f"(SELECT * REPLACE ((xor(u, u>>16)*{K.MIX})%4294967296 AS u) FROM {out})"
+        out = f"(SELECT * REPLACE ({last} AS u) FROM {out})"
+    return out
+
+
+def _sql_words(keys: str, seed: str) -> str:
+    return ", ".join(f"('0x'||substr(md5(concat_ws(':', '{seed}', {keys})), {1 + 8 * i}, 8))::bigint AS h{i}" for i in (0, 1))
+
+
 def sql_draws(src: str, keys: str, n_boot: int, rate: float = 1.0, seed: str = "boot") -> str:
     """Rows of ``src`` with replicate and positive weight as a CTE ``draws``."""
-    return f"""draws AS (SELECT * FROM (SELECT *, {_sql_weight(rate)} AS w FROM (SELECT s.*, r AS replicate,
-  ('0x'||substr(md5(concat_ws(':', '{seed}', {keys}, r//4)), ((r%4)*8+1)::bigint, 8))::bigint AS u
-  FROM {src} s CROSS JOIN (SELECT unnest(range(0, {n_boot}))::int AS r))) WHERE w>0)"""
+    rows = f"(SELECT s.*, r::int AS replicate, r*{K.STEPS} AS step FROM (SELECT *, {_sql_words(keys, seed)} FROM {src}) s, range(0, {n_boot}) q(r))"
+    return f"draws AS (SELECT * FROM (SELECT *, {_sql_weight(rate)} AS w FROM {_sql_uniform(rows)}) WHERE w>0)"
 
 
-@query("bootstrap_counts", with_views(PRED, sql_draws("v_pred", "id", 10, 0.8)) + """
-SELECT replicate, sum(w)::bigint AS drawn, count(*) AS distinct_rows, max(w) AS max_copies FROM draws GROUP BY 1""")
+def sql_cell_draws(src: str, keys: str, n_boot: int, rate: float = 1.0, seed: str = "boot", bits: int = 7) -> str:
+    """Rows of ``src``, which stand for ``n`` < 128 rows, with replicate and weights (one per binary digit of n)."""
+    rows = (f"(SELECT s.*, j, r::int AS replicate, r*{K.STEPS}+j AS step FROM (SELECT *, {_sql_words(keys, seed)} FROM {src}) s, "
+            f"range(0, {n_boot}) q(r), range(0, {bits}) b(j) WHERE (n>>j::int)&1=1)")
+    weight = "CASE j " + " ".join(f"WHEN {j} THEN {_sql_weight(rate * 2**j)}" for j in range(bits)) + " END"
+    return f"draws AS (SELECT * FROM (SELECT *, {weight} AS w FROM {_sql_uniform(rows)}) WHERE w>0)"
+
+
+@query("bootstrap_counts", with_views(PRED, sql_draws("v_pred", "id", 200, 0.8)) + """
+SELECT replicate, sum(w)::bigint AS drawn, count(*) AS distinct_rows, max(w)::bigint AS max_copies FROM draws GROUP BY 1""")
 def bootstrap_counts(spark, sf_dir):
-    return K.bootstrap_counts(predictions(spark, sf_dir), ["id"], 10, rate=0.8)
+    return K.bootstrap_counts(predictions(spark, sf_dir), ["id"], 200, rate=0.8)
+
+
+CELLS = """v_cells AS (SELECT p_a, p_b, y, count(*) AS n, floor(p_a*9007199254740992.0::double)::bigint AS ka,
+  floor(p_b*9007199254740992.0::double)::bigint AS kb FROM v_pred GROUP BY p_a, p_b, y)"""
 
 
-@query("bootstrap_ap_ci", with_views(PRED, sql_draws("v_pred", "id", 20)) + """,
+@query("bootstrap_ap_ci", with_views(PRED, CELLS, sql_cell_draws("v_cells", "ka, kb, y", 2000)) + """,
 l AS (SELECT replicate, 'a' AS model, p_a AS score, w*y AS wy, w FROM draws
   UNION ALL SELECT replicate, 'b', p_b, w*y, w FROM draws),
 c AS (SELECT replicate, model, score, sum(wy) AS pos, sum(w) AS n FROM l GROUP BY ALL),
@@ -91,4 +116,4 @@ SELECT """ + ", ".join(
     f"round(quantile_cont({c}, 0.975), 6) AS {c}_high" for c in ("ap_a", "ap_b", "diff")) + " FROM d")
 def bootstrap_ap_ci(spark, sf_dir):
     p = predictions(spark, sf_dir).withColumnRenamed("y", "y_true")
-    return M.bootstrap_ap_ci(p, n_boot=20)
+    return M.bootstrap_ap_ci(p)

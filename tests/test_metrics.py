@@ -37,9 +37,9 @@ def data():
 @pytest.mark.parametrize("cells", [2, 50])
 def test_ranked_metrics_against_brute_force(spark, data, cells):
     y, p = data
-    c = M.score_counts(frame(spark, y, p), cells=cells)
-    assert M.roc_auc(c, ["model"]).first()["roc_auc"] == pytest.approx(brute_auc(y, p))
-    assert M.average_precision(c, ["model"]).first()["pr_auc"] == pytest.approx(brute_ap(y, p))
+    c = M.score_counts(frame(spark, y, p))
+    assert M.roc_auc(c, ["model"], cells=cells).first()["roc_auc"] == pytest.approx(brute_auc(y, p))
+    assert M.average_precision(c, ["model"], cells=cells).first()["pr_auc"] == pytest.approx(brute_ap(y, p))
 
 
 def test_auc_ignores_monotone_transforms(spark, data):

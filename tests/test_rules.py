@@ -55,13 +55,35 @@ def test_grouped_itemsets_match_each_group(frame, baskets):
         assert mine == brute([b for i, b in enumerate(baskets) if i % 2 == g], 0.1, 3)
 
 
-def test_subsets_of_many_items_are_all_there_or_an_error(spark):
-    df = spark.createDataFrame([([str(i) for i in range(n)],) for n in (1, 2, 12)], "items array<string>")
-    sizes = [r[0] for r in df.select(F.size(R.proper_subsets("items"))).collect()]
-    assert sizes == [0, 2, 2**12 - 2]
-    long = spark.createDataFrame([([str(i) for i in range(32)],)], "items array<string>")
-    with pytest.raises(Exception, match="too many items"):
-        long.select(R.proper_subsets("items")).collect()
+def test_long_baskets_and_many_copies(spark):
+    rng = np.random.default_rng(8)
+    kinds = [sorted(rng.choice(240, 200, replace=False).tolist()) for _ in range(40)]
+    times = [1, 2, 3, 5, 64, 1000] + [1] * 34
+    baskets = [[f"i{j:03d}" for j in k] for k, n in zip(kinds, times) for _ in range(n)]
+    frame = spark.createDataFrame(list(enumerate(baskets)), "id long, items array<string>")
+    got = {tuple(r["items"]): r["count"] for r in S.frequent_itemsets(frame, min_support=0.97, max_len=2).collect()}
+    has = np.array([[f"i{j:03d}" in set(f"i{x:03d}" for x in k) for j in range(240)] for k in kinds])
+    support = (has * np.array(times)[:, None]).astype(np.int64).T @ has.astype(np.int64)
+    names, low = [f"i{j:03d}" for j in range(240)], 0.97 * len(baskets)
+    want = {(names[a],): int(support[a, a]) for a in range(240) if support[a, a] >= low}
+    want |= {(names[a], names[b]): int(support[a, b]) for a in range(240) for b in range(a + 1, 240) if support[a, b] >= low}
+    assert got == want and len(got) > 100
+
+
+def test_subset_pairs_match_brute_force(spark):
+    rng = np.random.default_rng(2)
+    sets = {tuple(sorted(rng.choice(list("abcdefgh"), rng.integers(1, 7), replace=False).tolist())) for _ in range(120)}
+    rows = [(g, list(s)) for g in (None, 1) for s in sets]
+    df = spark.createDataFrame(rows, "g int, big array<string>")
+    got = sorted((str(r["g"]), tuple(r["big"]), tuple(r["small"])) for r in R.subset_pairs(df, df.withColumnRenamed("big", "small"), ["g"], "big", "small").collect())
+    assert got == sorted((str(g), a, b) for g in (None, 1) for a in sets for b in sets if set(b) < set(a))
+
+
+def test_antecedents_of_any_length_are_pruned(spark):
+    long = [f"i{j:02d}" for j in range(40)]
+    rules = spark.createDataFrame([(long, ["t"], 0.1, 0.7, 1.4), (long[:30], ["t"], 0.2, 0.8, 1.5), (long[10:], ["t"], 0.3, 0.6, 1.2),
+                                   (long[:24], ["t"], 0.1, 0.6, 1.1), (long[:23], ["u"], 0.9, 0.9, 1.9)], RULE)
+    assert sorted(len(r["antecedents"]) for r in R.prune_rules(rules).collect()) == [23, 24, 30, 30]
 
 
 def test_general_rules_match_brute_force(frame, baskets):
