@@ -3,10 +3,12 @@
 from __future__ import annotations
 
 import math
-from collections.abc import Mapping, Sequence
-from itertools import combinations
+from collections.abc import Iterator, Mapping, Sequence
 
-from pyspark.ml.classification import LogisticRegression, RandomForestClassifier
+import numpy as np
+import pandas as pd
+import pyarrow as pa
+from pyspark.ml.classification import LogisticRegression
 from pyspark.ml.feature import VectorAssembler
 from pyspark.ml.functions import vector_to_array
 from pyspark.ml.stat import Correlation
@@ -15,11 +17,12 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from tabsight.functions.expressions import finite, hash32, melt
+from tabsight.operators import forest
 from tabsight.operators import metrics as M
 from tabsight.operators.cleaning import impute_median, incomplete_columns
 from tabsight.operators.quantiles import holds, quantile_values, ranked_values
-from tabsight.operators.ranking import running_totals, with_cells
-from tabsight.operators.small import fetch_bounded, moments
+from tabsight.operators.ranking import nearest_knots, range_cells, running_totals, with_cells
+from tabsight.operators.small import fetch_bounded, joined, moments, small_side
 from tabsight.sources.files import materialised
 
 LONG_KEY = ["column"]
@@ -28,8 +31,7 @@ LONG_KEY = ["column"]
 def _pairs(df: DataFrame, columns: Sequence[str]) -> DataFrame:
     """All ordered pairs of ``columns`` with their correlation over rows where both are present.
 
-    Complete columns go through Spark ML's one-pass Gram matrix. With gaps every column pair of a row
-    becomes one small struct aggregated in the same stage; only p^2/2 partial sums are shuffled.
+    Complete columns go through Spark ML's one-pass Gram matrix, others through a masked one.
     """
     stats = moments(df, columns)
     rows = max(m["n"] for m in stats.values())
@@ -42,15 +44,39 @@ def _pairs(df: DataFrame, columns: Sequence[str]) -> DataFrame:
         data = [(a, b, 1.0 if a == b else None if math.isnan(r[i, j]) else float(r[i, j]))
                 for i, a in enumerate(columns) for j, b in enumerate(columns)]
         return df.sparkSession.createDataFrame(data, "a string, b string, r double")
-    cells = [F.struct(F.lit(i).alias("i"), F.lit(j).alias("j"), finite(columns[i]).alias("x"), finite(columns[j]).alias("y"))
-             for i, j in combinations(range(len(columns)), 2)]
-    half = (df.select(F.inline(F.array(*cells))).groupBy("i", "j").agg(F.corr("x", "y").alias("r")))
-    names = F.array(*[F.lit(c) for c in columns])
-    off = half.select(F.inline(F.array(F.struct("i", "j", "r"), F.struct(
-        F.col("j").alias("i"), F.col("i").alias("j"), F.col("r")))))
-    same = df.sparkSession.range(len(columns)).select(
-        F.col("id").cast("int").alias("i"), F.col("id").cast("int").alias("j"), F.lit(1.0).alias("r"))
-    return off.unionByName(same).select(names[F.col("i")].alias("a"), names[F.col("j")].alias("b"), "r")
+    return _masked_pairs(df, columns, stats)
+
+
+def _masked_pairs(df: DataFrame, columns: Sequence[str], stats: dict) -> DataFrame:
+    """Pairwise-complete correlations from one Gram matrix of values, squares and presence flags.
+
+    The products of a pair's values and flags are all its moments, so a task hands on a number per pair of columns and
+    moment, however many rows it has.
+    """
+    scaled = df.select(*[((finite(c) - F.lit(stats[c]["mean"])) / F.lit(stats[c]["std"] or 1.0)).alias(f"x{i}") for i, c in enumerate(columns)])
+    p = len(columns)
+    i, j = np.divmod(np.arange(p * p), p)
+
+    def gram(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        total = np.zeros((3 * p, 3 * p))
+        for batch in batches:
+            x = np.stack([c.to_numpy(zero_copy_only=False).astype(float) for c in batch.columns])
+            there = np.isfinite(x)
+            x = np.where(there, x, 0.0)
+            z = np.concatenate([x, x * x, there])
+            total += z @ z.T
+        xs, squares, flags = total[:p], total[p: 2 * p], total[2 * p:]
+        moments_ = (flags[:, 2 * p:], xs[:, 2 * p:], flags[:, :p], squares[:, 2 * p:], flags[:, p: 2 * p], xs[:, :p])
+        yield pa.RecordBatch.from_arrays([pa.array(i), pa.array(j), *(pa.array(m.ravel()) for m in moments_)], ["i", "j", *names])
+
+    names = ["n", "sx", "sy", "sxx", "syy", "sxy"]
+    sums = scaled.mapInArrow(gram, "i long, j long, " + ", ".join(f"{c} double" for c in names)).groupBy("i", "j").agg(*[F.sum(c).alias(c) for c in names])
+    n, sx, sy, sxx, syy, sxy = (F.col(c) for c in names)
+    vx, vy = n * sxx - sx * sx, n * syy - sy * sy
+    r = F.when((vx > 1e-9 * n * n) & (vy > 1e-9 * n * n), (n * sxy - sx * sy) / F.sqrt(vx * vy))
+    label = F.array(*[F.lit(c) for c in columns])
+    return sums.select(F.get(label, F.col("i").cast("int")).alias("a"), F.get(label, F.col("j").cast("int")).alias("b"),
+                       F.when(F.col("i") == F.col("j"), 1.0).otherwise(r).alias("r"))
 
 
 def corr_pearson(df: DataFrame, columns: Sequence[str]) -> DataFrame:
@@ -133,6 +159,92 @@ def mutual_information(df: DataFrame, columns: Sequence[str], target: str, bins:
             .groupBy("column").agg(F.sum(m / total * F.log(m * total / (mx * my))).alias("mutual_info")))
 
 
+#: A neighbour counts as inside a radius up to this share of it, which is what "closer than" means among rounded sums.
+INSIDE = 1 - 1e-9
+
+
+def digamma(x: Column) -> Column:
+    """Of positive numbers, to about 1e-9: an asymptotic series six steps up, and the recurrence back."""
+    z, back = x + 6.0, F.lit(0.0)
+    for i in range(6):
+        back = back + 1.0 / (x + float(i))
+    q = 1.0 / (z * z)
+    return F.log(z) - 0.5 / z - q * (1 / 12 - q * (1 / 120 - q * (1 / 252 - q / 240))) - back
+
+
+def neighbour_distances(counts: DataFrame, by: Sequence[str], k: int, value: str = "value", m: str = "m", cells: int | None = None) -> DataFrame:
+    """``by..., value, m, d``: distance to the ``k``-th nearest other row of the group, for each distinct value.
+
+    ``counts`` has the rows ``m`` per (by, value); groups have two rows at least, and ``k`` is at most their number less
+    one. Values are dealt into cells by range. The nearest rows of a value are among the ``k`` values on either side, so
+    a cell needs no more than that from its neighbours.
+    """
+    placed = range_cells(counts.select(*by, value, m), [*by, value], "_cell", cells)
+    ranked = placed.withColumns({"_up": F.row_number().over(W.partitionBy(*by, "_cell").orderBy(value)),
+                                 "_down": F.row_number().over(W.partitionBy(*by, "_cell").orderBy(F.col(value).desc()))})
+    ends = ranked.groupBy(*by, "_cell").agg(F.array_sort(F.collect_list(F.when(F.col("_up") <= k, F.struct(value, m)))).alias("_head"),
+                                            F.array_sort(F.collect_list(F.when(F.col("_down") <= k, F.struct(value, m)))).alias("_tail"))
+    order = W.partitionBy(*by).orderBy("_cell")  # a row per cell; each has a value at least, so k cells are enough
+    before = F.slice(F.reverse(F.array_sort(F.flatten(F.collect_list("_tail").over(order.rowsBetween(-k, -1))))), 1, k)
+    after = F.slice(F.array_sort(F.flatten(F.collect_list("_head").over(order.rowsBetween(1, k)))), 1, k)
+    halo = ends.select(*by, "_cell", before.alias("_b"), after.alias("_a")).select(*by, "_cell", F.explode(F.concat("_b", "_a")).alias("_e")).select(
+        *by, F.col(f"_e.{value}").alias(value), F.col(f"_e.{m}").alias(m), "_cell", F.lit(False).alias("_own"))
+
+    def distances(rows: pd.DataFrame) -> pd.DataFrame:
+        rows = rows.sort_values(value)
+        v, n = rows[value].to_numpy(float), rows[m].to_numpy(np.int64)
+        at = np.arange(len(v))[:, None] + np.arange(-k, k + 1)
+        inside = (at >= 0) & (at < len(v))
+        at = np.clip(at, 0, len(v) - 1)
+        gap = np.where(inside, np.abs(v[at] - v[:, None]), np.inf)
+        near = np.where(inside, n[at], 0)
+        near[:, k] -= 1  # the row itself
+        by_gap = np.argsort(gap, axis=1, kind="stable")
+        enough = np.cumsum(np.take_along_axis(near, by_gap, 1), axis=1) >= k
+        rows = rows.assign(d=np.take_along_axis(gap, by_gap, 1)[np.arange(len(v)), enough.argmax(1)])
+        return rows[rows["_own"]][[*by, value, m, "d"]]
+
+    types = [f"`{c}` {counts.schema[c].dataType.simpleString()}" for c in (*by, value, m)]
+    return placed.withColumn("_own", F.lit(True)).unionByName(halo).groupBy(*by, "_cell").applyInPandas(distances, ", ".join([*types, "d double"]))
+
+
+def mutual_information_knn(df: DataFrame, columns: Sequence[str], target: str, k: int = 3) -> DataFrame:
+    """Nearest-neighbour estimate of I(column; target) in nats for a discrete target, not below 0.
+
+    For every row: the distance to its ``k``-th neighbour in its class, and the rows of all classes closer than that (or
+    at the same value, where that distance is 0). Rows of equal value and class count as one with a multiplicity. Missing
+    values are filled with the median; classes of a single row are left out.
+    """
+    long = melt(impute_median(df.select(*columns, target), columns), [target], columns)
+    counts = materialised(long.withColumn("value", finite("value")).filter("value IS NOT NULL").groupBy("column", F.col(target).cast("double").alias("y"), "value")
+                          .agg(F.count("*").alias("m")))
+    sizes = counts.groupBy("column", "y").agg(F.sum("m").alias("size")).filter("size > 1")
+    counts = materialised(joined(counts, small_side(sizes), ["column", "y"]))
+    parts = [neighbour_distances(counts.filter(F.col("size") > k), ["column", "y"], k)]
+    for fewer in range(1, k):  # classes with too few rows have as many neighbours as there are
+        few = counts.filter(F.col("size") == fewer + 1)
+        if few.limit(1).count():
+            parts.append(neighbour_distances(few, ["column", "y"], fewer))
+    rows = parts[0]
+    for part in parts[1:]:
+        rows = rows.unionByName(part)
+    rows = materialised(rows.withColumns({"low": F.col("value") - F.col("d") * INSIDE, "high": F.col("value") + F.col("d") * INSIDE}))
+    upto = running_totals(counts.groupBy("column", "value").agg(F.sum("m").alias("m")), by=LONG_KEY, value="value", sums={"m": "upto"})
+    knots = materialised(upto.select("column", F.col("value").alias("x"), "upto", "m"))
+    ends = rows.select("column", F.explode(F.array("low", "high")).alias("x"))
+    found = materialised(nearest_knots(ends, knots, LONG_KEY))
+    until = found.select("column", F.col("x").alias("high"), F.coalesce("below.upto", F.lit(0)).alias("until"))
+    under = found.select("column", F.col("x").alias("low"), F.coalesce(F.when(F.col("below.x") == F.col("x"), F.col("below.upto") - F.col("below.m"))
+                                                                     .otherwise(F.col("below.upto")), F.lit(0)).alias("under"))
+    met = rows.join(until, ["column", "high"]).join(under, ["column", "low"])
+    near = met.groupBy("column").agg(F.sum(F.col("m") * digamma((F.col("until") - F.col("under")).cast("double"))).alias("near"))
+    size = F.col("size").cast("double")
+    classes = sizes.groupBy("column").agg(F.sum("size").cast("double").alias("n"), F.sum(size * digamma(size)).alias("own"),
+                                          F.sum(size * digamma(F.least(size - 1.0, F.lit(float(k))))).alias("k"))
+    return near.join(classes, "column").select("column", F.greatest(
+        digamma(F.col("n")) + (F.col("k") - F.col("own") - F.col("near")) / F.col("n"), F.lit(0.0)).alias("mutual_info"))
+
+
 def _feature_scores(df: DataFrame, columns: Sequence[str], target: str) -> DataFrame:
     long = melt(df, [target], columns).filter(F.col("value").isNotNull())
     return M.score_counts(long, by=LONG_KEY, y=target, p="value")
@@ -300,20 +412,22 @@ def shift_univariate(df: DataFrame, columns: Sequence[str], split: str) -> DataF
 
 
 def shift_classifier(df: DataFrame, columns: Sequence[str], split: str, keys: Sequence[str], *,
-                     model: str = "forest", holdout: float = 0.3, trees: int = 20, depth: int = 5,
+                     model: str = "forest", holdout: float = 0.3, trees: int = 100, depth: int = 5,
                      seed: int = 42) -> DataFrame:
     """Train a classifier to tell the parts apart; AUC on held-out rows, with ranked importances."""
-    ready = impute_median(df.select(*keys, split, *columns), columns)
-    ready = VectorAssembler(inputCols=list(columns), outputCol="_x").transform(ready).withColumn(
-        "_held", hash32(f"shift{seed}", *keys) < int(holdout * 2**32))
+    ready = materialised(impute_median(df.select(*keys, split, *columns), columns).withColumn(
+        "_held", hash32(f"shift{seed}", *keys) < int(holdout * 2**32)))
+    train, held = ready.filter(~F.col("_held")), ready.filter("_held")
     if model == "forest":
-        est = RandomForestClassifier(featuresCol="_x", labelCol=split, numTrees=trees, maxDepth=depth, seed=seed)
+        grown = forest.grow(train, split, columns, keys, [forest.Growth(trees, depth)], seed=seed)
+        found = {r["feature"]: r["importance"] for r in forest.importance(grown).collect()}  # a row per feature
+        weight, scored = [found.get(c, 0.0) for c in columns], forest.score(held, grown)
     else:
-        est = LogisticRegression(featuresCol="_x", labelCol=split, maxIter=50)
-    fit = est.fit(ready.filter(~F.col("_held")))
-    weight = fit.featureImportances if model == "forest" else [abs(v) for v in fit.coefficients]
-    scored = fit.transform(ready.filter("_held")).select(
-        F.lit(model).alias("model"), F.col(split).alias("y_true"), vector_to_array("probability")[1].alias("y_pred"))
+        assemble = VectorAssembler(inputCols=list(columns), outputCol="_x").transform
+        fit = LogisticRegression(featuresCol="_x", labelCol=split, maxIter=50).fit(assemble(train))
+        weight = [abs(v) for v in fit.coefficients]
+        scored = fit.transform(assemble(held)).withColumn("y_pred", vector_to_array("probability")[1])
+    scored = scored.select(F.lit(model).alias("model"), F.col(split).alias("y_true"), "y_pred")
     auc = M.roc_auc(M.score_counts(scored), ["model"]).first()["roc_auc"]
     ranked = df.sparkSession.createDataFrame(
         [(model, c, float(weight[i])) for i, c in enumerate(columns)], "model string, column string, importance double")

@@ -95,6 +95,11 @@ auc AS (SELECT "column", count(*) AS "distinct",
   sum(pos*(below-(n-pos)+0.5*(n-pos)))/(sum(pos)*sum(n-pos))::double AS auc FROM arun GROUP BY 1)"""
 
 
+@query("mutual_information_knn")
+def mutual_information_knn(spark, sf_dir):
+    return A.mutual_information_knn(features(spark, sf_dir), FEATURES, "target")
+
+
 @query("univariate_auc", with_views(FEAT, sql_auc(FEATURES, "v_feat", "target")) + """
 SELECT "column", round(auc, 6) AS auc, "distinct" FROM auc""")
 def univariate_auc(spark, sf_dir):

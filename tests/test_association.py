@@ -103,3 +103,62 @@ def test_shift_is_seen_only_where_it_is(spark):
     rf = A.shift_classifier(df, ["moved", "calm"], "p", ["k"], trees=5, depth=3).collect()
     top = max(rf, key=lambda r: r["importance"])
     assert top["column"] == "moved" and top["auc"] > 0.8
+
+
+def brute_knn(x, y, k):
+    """Mean over rows of the nearest-neighbour terms, all distances compared."""
+    from math import log
+
+    def psi(v):
+        out = 0.0
+        while v < 30:
+            out -= 1 / v
+            v += 1
+        return out + log(v) - 1 / (2 * v) - 1 / (12 * v**2) + 1 / (120 * v**4)
+
+    keep = np.array([(y == c).sum() > 1 for c in y])
+    x, y = x[keep], y[keep]
+    total = 0.0
+    for i in range(len(x)):
+        own = np.sort(np.abs(x[(y == y[i])] - x[i]))[1:]
+        kk = min(k, len(own))
+        d = own[kk - 1]
+        inside = np.abs(x - x[i]) <= d * (1 - 1e-9)
+        total += psi(kk) - psi((y == y[i]).sum()) - psi(inside.sum())
+    return max(0.0, psi(len(x)) + total / len(x))
+
+
+@pytest.mark.parametrize("k", [1, 3, 6])
+def test_neighbour_information_against_brute_force(spark, k):
+    rng = np.random.default_rng(6)
+    n = 2000
+    y = rng.integers(0, 3, n)
+    y[:4] = [7, 8, 8, 9]  # single rows, and a class with fewer rows than neighbours
+    cols = {"wide": y + rng.normal(size=n), "tied": np.round(y + 2 * rng.normal(size=n)), "noise": np.round(rng.random(n), 2), "one": np.zeros(n)}
+    df = spark.createDataFrame(pd.DataFrame({**cols, "y": y}))
+    got = {r["column"]: r["mutual_info"] for r in A.mutual_information_knn(df, list(cols), "y", k).collect()}
+    assert got == pytest.approx({c: brute_knn(v, y, k) for c, v in cols.items()}, abs=1e-6)
+
+
+@pytest.mark.parametrize("cells", [2, 40])
+def test_neighbours_reach_over_cells(spark, cells):
+    rng = np.random.default_rng(3)
+    x = np.unique(np.round(rng.random(60), 3))
+    m = rng.integers(1, 3, len(x))
+    df = spark.createDataFrame([("g", float(v), int(c)) for v, c in zip(x, m)], "g string, value double, m long")
+    got = {r["value"]: r["d"] for r in A.neighbour_distances(df, ["g"], 5, cells=cells).collect()}
+    points = np.repeat(x, m)
+    assert got == pytest.approx({v: np.sort(np.abs(points - v))[5] for v in x})
+
+
+def test_correlation_with_gaps_is_pairwise_complete(spark):
+    rng = np.random.default_rng(12)
+    x = rng.normal(size=(700, 5)) @ rng.normal(size=(5, 5)) + 1e4
+    x[:, 4] = 3.0
+    x[rng.random(x.shape) < 0.2] = np.nan
+    pdf = pd.DataFrame(x, columns=list("abcde"))
+    got = {(r["a"], r["b"]): r["r"] for r in A.corr_pearson(spark.createDataFrame(pdf).repartition(5), list("abcde")).collect()}
+    want = pdf.corr()
+    assert len(got) == 25
+    for (a, b), r in got.items():
+        assert r == pytest.approx(want.loc[a, b], abs=1e-9) if a != b and "e" not in (a, b) else r == (1.0 if a == b else None)
