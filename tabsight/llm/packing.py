@@ -59,6 +59,7 @@ def pieces(docs: DataFrame, tokenizer: str, end_id: int = 0, capacity: int = CAP
                      pa.array(length, pa.int64()), pa.array(crc, pa.int64()), pa.array([part] * len(row), pa.int32()),
                      pa.array(np.array(nth, np.int64))],
                     [id_col, "piece", "start", "length", "ids_crc32", "part", "nth"])
+        encoder(tokenizer).rest()
 
     return docs.select(id_col, text_col).mapInArrow(cut, f"`{id_col}` {kind}, piece int, start long, length long, ids_crc32 long, part int, nth long")
 

@@ -11,6 +11,7 @@ lost executors leave no halves and any store that Spark reaches will do.
 
 from __future__ import annotations
 
+import itertools
 import zlib
 from collections.abc import Iterator
 
@@ -21,31 +22,39 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from tabsight.llm.encoder import encoder
-from tabsight.llm.text import id_column
+from tabsight.llm.text import id_column, string_buffers
 from tabsight.sources.files import discard, materialised
 
 #: Control byte to the byte counts of its four tokens.
 LENGTHS = (np.arange(256)[:, None] >> np.array([0, 2, 4, 6]) & 3) + 1
 
 
-def encode_ranks(ranks: np.ndarray) -> tuple[bytes, bytes]:
-    """Control and data bytes of non-negative ranks below 2**32."""
+def encode_many(ranks: np.ndarray, counts: np.ndarray) -> tuple[list[bytes], list[bytes]]:
+    """Control and data bytes of each document's non-negative ranks below 2**32, which stand one after the other."""
     ranks = ranks.astype("<u4")
     size = 1 + (ranks > 0xFF).astype(np.uint8) + (ranks > 0xFFFF) + (ranks > 0xFFFFFF)
-    code = np.zeros(-(-len(ranks) // 4) * 4, np.uint8)
-    code[: len(ranks)] = size - 1
-    control = (code.reshape(-1, 4) << np.array([0, 2, 4, 6], np.uint8)).sum(1, dtype=np.uint8)
-    return control.tobytes(), ranks.view(np.uint8).reshape(-1, 4)[np.arange(4) < size[:, None]].tobytes()
-
-
-def decode_ranks(control: bytes, data: bytes, n: int) -> np.ndarray:
-    """The ``n`` ranks that ``encode_ranks`` was given."""
-    size = LENGTHS[np.frombuffer(control, np.uint8)].ravel()[:n]
+    room = -(-counts // 4) * 4  # a document's control bytes are its own
+    ends, stops = np.cumsum(counts), np.cumsum(room)
+    code = np.zeros(int(stops[-1]) if len(stops) else 0, np.uint8)
+    code[np.arange(len(ranks)) + np.repeat(stops - room - ends + counts, counts)] = size - 1
+    control = (code.reshape(-1, 4) << np.array([0, 2, 4, 6], np.uint8)).sum(1, dtype=np.uint8).tobytes()
+    data = ranks.view(np.uint8).reshape(-1, 4)[np.arange(4) < size[:, None]].tobytes()
+    cuts = np.concatenate(([0], np.cumsum(size, dtype=np.int64)))[np.concatenate(([0], ends))].tolist()
+    marks = np.concatenate(([0], stops // 4)).tolist()
+    return [control[a:b] for a, b in itertools.pairwise(marks)], [data[a:b] for a, b in itertools.pairwise(cuts)]
+
+
+def decode_many(control: bytes, data: bytes, counts: np.ndarray) -> np.ndarray:
+    """The ranks that ``encode_many`` was given, from all documents' bytes."""
+    room = -(-counts // 4) * 4
+    used = np.arange(int(room.sum())) - np.repeat(np.cumsum(room) - room, room) < np.repeat(counts, room)
+    size = LENGTHS[np.frombuffer(control, np.uint8)].ravel()[used]
     start = np.cumsum(size) - size
     raw = np.frombuffer(data + b"\0\0\0", np.uint8)
     out = raw[start].astype(np.uint32)
     for k in range(1, int(size.max(initial=1))):
-        out |= np.where(size > k, raw[start + k], 0).astype(np.uint32) << np.uint32(8 * k)
+        longer = np.flatnonzero(size > k)
+        out[longer] |= raw[start[longer] + k].astype(np.uint32) << np.uint32(8 * k)
     return out
 
 
@@ -72,6 +81,7 @@ def tokenised(docs: DataFrame, tokenizer: str, end_id: int, id_col: str = "doc_i
                     low, n, ids, size = low + len(n), [], [], 0
             if n:
                 yield _batch(batch, low, n, ids, id_col)
+        encoder(tokenizer).rest()
 
     return docs.select(id_col, text_col).mapInArrow(encode, f"`{id_col}` {kind}, n_tokens long, ids binary")
 
@@ -118,11 +128,12 @@ def write_token_files(docs: DataFrame, path: str, tokenizer: str, end_id: int, i
         for batch in batches:
             for k in range(0, batch.num_rows, 256):
                 some = batch.slice(k, 256)
-                pairs = [encode_ranks(rank_of[np.frombuffer(x.as_buffer(), width)]) for x in some.column("ids")]
                 n = some.column("n_tokens").to_numpy()
+                ids, _ = string_buffers(some.column("ids"))
+                control, data = encode_many(rank_of[np.ascontiguousarray(ids).view(width)], n)
                 yield pa.RecordBatch.from_arrays(
                     [pa.array([part] * len(n), pa.int32()), pa.array(at + np.cumsum(n) - n), some.column(id_col), some.column("n_tokens"),
-                     pa.array([c for c, _ in pairs], pa.binary()), pa.array([d for _, d in pairs], pa.binary())],
+                     pa.array(control, pa.binary()), pa.array(data, pa.binary())],
                     ["part", "start_in_part", id_col, "n_tokens", "control", "data"])
                 at += int(n.sum())
 
@@ -146,8 +157,10 @@ def read_token_files(spark: SparkSession, path: str, id_col: str = "doc_id", wit
         for batch in batches:
             for k in range(0, batch.num_rows, 256):
                 some = batch.slice(k, 256)
-                ids = [token_of[decode_ranks(c.as_buffer().to_pybytes(), d.as_buffer().to_pybytes(), n.as_py())].tobytes()
-                       for c, d, n in zip(*(some.column(x) for x in ("control", "data", "n_tokens")), strict=True)]
+                n = some.column("n_tokens").to_numpy()
+                raw = token_of[decode_many(*(string_buffers(some.column(x))[0].tobytes() for x in ("control", "data")), n)].tobytes()
+                cuts = [0, *(4 * np.cumsum(n)).tolist()]
+                ids = [raw[a:b] for a, b in itertools.pairwise(cuts)]
                 yield pa.RecordBatch.from_arrays(
                     [*(some.column(x) for x in ("part", "start_in_part", id_col, "n_tokens")),
                      pa.array([zlib.crc32(x) for x in ids], pa.int64()), pa.array(ids if with_ids else [b""] * len(ids), pa.binary())],

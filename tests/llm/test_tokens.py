@@ -29,7 +29,8 @@ def crc(ids):
 
 
 def test_chunks_give_the_ids_of_whole_texts(library, monkeypatch):
-    texts = [r[1] for r in ROWS] + ["a  b", "　 x", "x   y", "é à", "tab\t\tend ", "<|endoftext|> a", "I'll 'll", "😀 😀"]
+    texts = [r[1] for r in ROWS] + ["a  b", "　 x", "x   y", "é à", "tab\t\tend ", "<|endoftext|> a", "I'll 'll", "😀 😀",
+                                    "a,b. é, é; ×, ÷. don't, 'tis. ü'll.'s !!, …, …b, ½, x).' y\"? 中, ß] Ã, \xa0, é\u0301, a\x00, <|endoftext|>, b,<|endoftext|>"]
     own = ChunkEncoder(byte_bpe())
     assert {i: x.tolist() for i, x in own.encode(pa.array(texts))} == {i: ids_of(library, t, 0)[:-1] for i, t in enumerate(texts)}
     monkeypatch.setattr("tabsight.llm.encoder.CACHE_CHUNKS", 3)
@@ -41,7 +42,11 @@ def test_ranks_round_trip():
     rnd = np.random.default_rng(1)
     for n in (0, 1, 3, 4, 5, 1000):
         ranks = (rnd.integers(0, 2**32, n) >> rnd.integers(0, 32, n)).astype(np.uint32)
-        assert (token_files.decode_ranks(*token_files.encode_ranks(ranks), n) == ranks).all()
+        for counts in ([n], [0, n // 2, 0, n - n // 2], [0] * 3 + [n]):
+            control, data = token_files.encode_many(ranks, np.array(counts))
+            assert (token_files.decode_many(b"".join(control), b"".join(data), np.array(counts)) == ranks).all()
+            alone = [token_files.encode_many(r, np.array([len(r)])) for r in np.split(ranks, np.cumsum(counts)[:-1])]
+            assert [c for c, _ in alone] == [[c] for c in control] and [d for _, d in alone] == [[d] for d in data]
 
 
 def test_token_files_round_trip(spark, library, tmp_path):
