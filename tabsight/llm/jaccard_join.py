@@ -22,7 +22,7 @@ from pyspark.sql import functions as F
 
 from tabsight.llm.graph import components
 from tabsight.llm.runs import keyed, mix, odd, word_elements
-from tabsight.llm.text import all_columns, id_column, slices, string_buffers
+from tabsight.llm.text import all_columns, id_column, own_name, slices, string_buffers
 from tabsight.sources.files import materialised
 
 SHINGLE = 5
@@ -271,14 +271,15 @@ def one_of_each(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     defaults = {"width": SHINGLE, "permille": PERMILLE, "near": NEAR, "recall": RECALL, "block": BLOCK}
     found = materialised(_classed(keyed(id_column(docs, id_col), id_col, text_col), **defaults | options))
     lone = F.struct(F.col("tkey"), F.col("blank"))
+    own_id, own_key, own_blank, place = (own_name(docs, c) for c in ("__id", "__tkey", "__blank", "__number"))
     best = (found.filter(F.col("id").eqNullSafe(F.col("class_id"))).groupBy("id", "class_key").agg(F.min(lone).alias("first"))
-            .select(F.col("id").alias("__id"), F.col("first.tkey").alias("__tkey"), F.col("first.blank").alias("__blank")).distinct())
+            .select(F.col("id").alias(own_id), F.col("first.tkey").alias(own_key), F.col("first.blank").alias(own_blank)).distinct())
     key = F.xxhash64(F.coalesce(F.col(text_col), F.lit("")))
-    kept = docs.join(best, (key == F.col("__tkey")) & F.col(id_col).eqNullSafe(F.col("__id")))
+    kept = docs.join(best, (key == F.col(own_key)) & F.col(id_col).eqNullSafe(F.col(own_id)))
     repeated = found.filter("not blank").groupBy("id", "tkey").agg(F.count(F.lit(1)).alias("n")).filter("n > 1").limit(1).count()
     if repeated:  # several rows with one id and text
-        number = F.row_number().over(Window.partitionBy("__id", "__tkey").orderBy(F.lit(0)))
-        kept = kept.withColumn("__number", number).filter("__number = 1 or __blank")
+        number = F.row_number().over(Window.partitionBy(own_id, own_key).orderBy(F.lit(0)))
+        kept = kept.withColumn(place, number).filter((F.col(place) == 1) | F.col(own_blank))
     return kept.select(*all_columns(docs))
 
 

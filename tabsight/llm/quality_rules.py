@@ -17,7 +17,7 @@ from math import log2
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tabsight.llm.text import all_columns, id_column
+from tabsight.llm.text import all_columns, id_column, own_name
 from tabsight.sources.files import materialised
 
 # fixed values
@@ -226,7 +226,8 @@ def keep_good(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_c
     The learned list is applied to the rows as they are read, so that no text is shuffled.
     """
     rules = _learned(materialised(statistics(docs, id_col, text_col)), labels, id_col, label_col)
-    whole = docs.withColumn("__row", F.struct(*all_columns(docs)))
+    row, at = own_name(docs, "__row"), own_name(docs, "__at")
+    whole = docs.withColumn(row, F.struct(*all_columns(docs)))
     # a column that is not deterministic keeps the filter above the statistics: pushed below, it would repeat them per word
-    stats = statistics(whole, id_col, text_col, "__row").withColumn("__at", F.monotonically_increasing_id())
-    return judged(stats, rules).filter("kept and __at >= 0").select("__row.*")
+    stats = statistics(whole, id_col, text_col, row).withColumn(at, F.monotonically_increasing_id())
+    return judged(stats, rules).filter(F.col("kept") & (F.col(at) >= 0)).select(f"{row}.*")

@@ -16,7 +16,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tabsight.llm.runs import WIDE, Kind, covered, keyed, repeated_windows, with_stretches
-from tabsight.llm.text import all_columns, id_column, string_buffers, words_of
+from tabsight.llm.text import all_columns, id_column, own_name, string_buffers, words_of
 
 WINDOW = 13
 GRAM = 5
@@ -69,8 +69,10 @@ def trimmed(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") ->
     key = F.xxhash64(F.coalesce(F.col(text_col), F.lit("")))
     texts = keyed(docs, id_col, text_col)
     stretches = repeated_windows(texts, kind, earlier=True)
-    lists = stretches.groupBy("id", "tkey").agg(F.collect_list(F.struct("start", "n")).alias("__rows")).withColumnsRenamed({"id": "__id", "tkey": "__tkey"})
-    joined = docs.withColumn("__key", key).join(lists, (F.col("__key") == F.col("__tkey")) & F.col(id_col).eqNullSafe(F.col("__id")), "left")
+    own_key, own_id, other_key, own_rows = (own_name(docs, c) for c in ("__key", "__id", "__tkey", "__rows"))
+    lists = (stretches.groupBy("id", "tkey").agg(F.collect_list(F.struct("start", "n")).alias("rows"))
+             .select(F.col("id").alias(own_id), F.col("tkey").alias(other_key), F.col("rows").alias(own_rows)))
+    joined = docs.withColumn(own_key, key).join(lists, (F.col(own_key) == F.col(other_key)) & F.col(id_col).eqNullSafe(F.col(own_id)), "left")
 
     names = docs.columns
 
@@ -79,7 +81,7 @@ def trimmed(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") ->
             at = batch.schema.get_field_index(text_col)
             texts = batch.column(at).to_pylist()
             for k in range(batch.num_rows):
-                rows = batch.column("__rows").slice(k, 1)
+                rows = batch.column(own_rows).slice(k, 1)
                 if not rows.null_count:
                     words = texts[k].encode().split()
                     runs = rows.flatten()
@@ -88,4 +90,4 @@ def trimmed(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") ->
             columns = [pa.array(texts, pa.string()) if c == text_col else batch.column(c) for c in names]
             yield pa.RecordBatch.from_arrays(columns, names)
 
-    return joined.select(*all_columns(docs), "__rows").mapInArrow(cut, docs.schema)
+    return joined.select(*all_columns(docs), own_rows).mapInArrow(cut, docs.schema)
