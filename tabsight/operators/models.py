@@ -128,7 +128,7 @@ def forest_search(df: DataFrame, target: str, keys: Sequence[str], features: Seq
 
 
 def final_scoring(df: DataFrame, target: str, keys: Sequence[str], features: Sequence[str], *, k: int = 5,
-                  params: Sequence[Mapping] | None = None, trials: int = 30, calibration: str = "platt", seed: int = 42) -> DataFrame:
+                  params: Sequence[Mapping] | None = None, trials: int = 12, calibration: str = "platt", seed: int = 42) -> DataFrame:
     """The test part scored once: parameters by search on the training part, or those of the best fold where ``params``
     gives each fold's; calibrator and threshold from out-of-fold rows."""
     split = materialised(stratified_split(df.select(*keys, target, *[c for c in features if c not in keys]), target, keys, seed=str(seed)))
