@@ -8,6 +8,7 @@ cache keeps the ids of those used most per worker, and numpy puts the ids of the
 
 from __future__ import annotations
 
+import ctypes
 import gc
 import itertools
 import json
@@ -20,7 +21,7 @@ import pyarrow as pa
 from tabsight.llm.text import MAX_SLICE, SPACES, is_space, slices, spread, string_buffers
 
 CACHE_CHUNKS = 300_000
-RESTING_CHUNKS = 60_000
+RESTING_CHUNKS = 30_000
 JOINED = 20_000
 
 # fixed values: lead bytes of UTF-8 sequences that can be white space; no cut behind those
@@ -153,9 +154,12 @@ class ChunkEncoder:
         self.first, self.count, self.used, self.uses = np.cumsum(counts) - counts, counts, len(self.ids), self.uses[keep] // 2
 
     def rest(self) -> None:
-        """Between tasks a worker keeps the chunks used most, and little memory."""
+        """Between tasks a worker keeps the chunks used most, and gives memory back where the C library can."""
         if len(self.slot) > RESTING_CHUNKS:
             self._shrink(RESTING_CHUNKS)
+            trim = getattr(ctypes.CDLL(None), "malloc_trim", None)
+            if trim:
+                trim(0)
 
     def _encode(self, data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         starts = chunk_starts(data, offsets)

@@ -21,7 +21,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from tabsight.llm.graph import components
-from tabsight.llm.runs import keyed, mix, odd, word_elements
+from tabsight.llm.runs import SLICE_BYTES, keyed, mix, odd, word_elements
 from tabsight.llm.text import all_columns, id_column, own_name, slices, string_buffers
 from tabsight.sources.files import materialised
 
@@ -76,7 +76,7 @@ def signatures(texts: DataFrame, width: int) -> DataFrame:
     def sign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             data, offsets = string_buffers(batch.column(2))
-            for i, j in slices(offsets):
+            for i, j in slices(offsets, SLICE_BYTES):
                 values, at = shingle_sets(data[offsets[i]: offsets[j]], offsets[i: j + 1] - offsets[i], width)
                 full = np.flatnonzero(np.diff(at))
                 if not len(full):
@@ -150,7 +150,7 @@ def verified(texts: DataFrame, members: DataFrame, width: int, permille: int, bl
     def shingle(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             data, offsets = string_buffers(batch.column("body"))
-            for i, j in slices(offsets):
+            for i, j in slices(offsets, SLICE_BYTES):
                 values, at = shingle_sets(data[offsets[i]: offsets[j]], offsets[i: j + 1] - offsets[i], width)
                 sets = [values[a:b].tobytes() for a, b in zip(at, at[1:], strict=False)]
                 yield pa.RecordBatch.from_arrays([*(batch.column(c).slice(i, j - i) for c in ("group", "node", "blocks")), pa.array(sets, pa.binary())],
