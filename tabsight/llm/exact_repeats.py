@@ -1,10 +1,4 @@
-"""Removal of repeated byte strings by the minimiser buckets of ``runs``, as in op8, over bytes.
-
-The minimiser of a string of 400 bytes is the smallest hash of 16 bytes in it, and consecutive strings with one
-minimiser make a run, with an overlap of 399 bytes to the next. So each string of 400 bytes lies whole in just one
-run, and equal strings lie in runs of one bucket. Equal runs are merged by name and counted; the windows of the others
-are sorted in their bucket, by hash, then by bytes. No dictionary of phrases, parse or suffix array is built. See ``runs``.
-"""
+"""Removal of repeated byte strings by prefix-free parsing; see ``prefix_free`` for the method."""
 
 from __future__ import annotations
 
@@ -15,7 +9,8 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
-from tabsight.llm.runs import WIDE, Kind, covered, keyed, repeated_windows, with_stretches
+from tabsight.llm.prefix_free import EVERY, WIDE, repeated_windows
+from tabsight.llm.runs import Kind, covered, keyed, with_stretches
 from tabsight.llm.text import id_column, string_buffers
 
 LENGTH = 400
@@ -23,16 +18,17 @@ GRAM = 16
 
 
 def remove_repeated_bytes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", length: int = LENGTH,
-                          gram: int = GRAM, wide: int = WIDE) -> DataFrame:
+                          gram: int = GRAM, every: int = EVERY, wide: int = WIDE) -> DataFrame:
     """(id, n_bytes, n_removed, n_spans, kept, kept_sha256) per document; kept is the bytes that stay.
 
-    Every byte of a string of ``length`` bytes (16 at least) that also starts elsewhere is removed, in all places.
+    Every byte of a string of ``length`` bytes that also starts elsewhere is removed, in all places. Triggers are of
+    ``gram`` bytes (8 at least, at most half of ``length``), one in ``every`` places on average.
     Null, empty and short texts hold no such string; a null id is kept; a row that is repeated is repeated text;
     a text of any length is judged whole; an empty table gives no rows. Other columns are not read.
     """
     kind = Kind("byte", length, gram)
     texts = keyed(id_column(docs, id_col), id_col, text_col)
-    marked = with_stretches(texts, repeated_windows(texts, kind, earlier=False, wide=wide))
+    marked = with_stretches(texts, repeated_windows(texts, kind, every, wide))
 
     def keep(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:

@@ -7,7 +7,8 @@ import pytest
 
 from tabsight.llm import runs
 from tabsight.llm.exact_repeats import remove_repeated_bytes
-from tabsight.llm.runs import Kind, minimiser_runs, word_elements
+from tabsight.llm.prefix_free import repeated_in_order, stretches
+from tabsight.llm.runs import Kind, byte_elements, minimiser_runs, word_elements
 from tabsight.llm.substring_dedup import remove_repeats, trimmed
 from tests.llm.edge import SCHEMA, awkward
 
@@ -71,11 +72,54 @@ def test_words_against_brute_force(spark, window, gram, wide):
     assert rows_of(remove_repeats(docs, window=window, gram=gram, wide=wide)) == brute_words(rows, window)
 
 
-@pytest.mark.parametrize("length,gram,wide", [(50, 16, 20_000), (50, 16, 3), (61, 9, 20_000)])
-def test_bytes_against_brute_force(spark, length, gram, wide):
+@pytest.mark.parametrize("length,gram,every,wide", [(50, 16, 64, 20_000), (50, 16, 8, 3), (61, 9, 4, 20_000), (50, 16, 1, 20_000)])
+def test_bytes_against_brute_force(spark, length, gram, every, wide):
     rows = [r for r in fixture() if len(r[1] or "") < 5000]
     docs = spark.createDataFrame(rows, SCHEMA).repartition(6)
-    assert rows_of(remove_repeated_bytes(docs, length=length, gram=gram, wide=wide)) == brute_bytes(rows, length)
+    assert rows_of(remove_repeated_bytes(docs, length=length, gram=gram, every=every, wide=wide)) == brute_bytes(rows, length)
+
+
+@pytest.mark.parametrize("every,wide", [(64, 5_000), (16, 5_000), (16, 4)])
+def test_bytes_of_periodic_and_templated_texts(spark, every, wide):
+    rnd = random.Random(every)
+    noise = lambda n: "".join(rnd.choice("abcdefgh ") for _ in range(n))
+    head = noise(700)
+    texts = ["z" * 3000, "z" * 401, "y" * 400, "abc" * 500, noise(37) * 60, noise(900), head, head[:400], head[1:399]]
+    texts += [noise(rnd.randint(0, 30)) + head + noise(rnd.randint(0, 500)) for _ in range(40)]
+    texts += [noise(50) + head[k: k + 397 + k % 7] + noise(50) for k in range(0, 280, 7)]
+    rows = [(k, t, "n", "p") for k, t in enumerate(texts)]
+    docs = spark.createDataFrame(rows, SCHEMA).repartition(5)
+    assert rows_of(remove_repeated_bytes(docs, every=every, wide=wide)) == brute_bytes(rows, 400)
+
+
+def test_order_of_phrases_and_parse_equals_equal_windows():
+    rnd = random.Random(4)
+    kind, every = Kind("byte", 24, 8), 3
+    for _ in range(30):
+        data = np.frombuffer("".join(rnd.choice("ab") for _ in range(60)).encode() * 2 + bytes(rnd.choice(b"abc") for _ in range(80)), np.uint8)
+        e = byte_elements(data, np.array([0, 70, 120, len(data)]))
+        first, n, _, anchored = stretches(e, np.zeros(0, np.int64), kind.length, kind.width, every)
+        windows = np.sort(np.concatenate([np.arange(a, a + k) for a, k in zip(first, n, strict=True)]))
+        assert windows.tolist() == [i for a, z in zip(e.offsets, e.offsets[1:]) for i in range(a, z - kind.length + 1)]
+        first, n = first[anchored], n[anchored]
+        raw = data.tobytes()
+        packed = [raw[a: a + k + kind.length - 1] for a, k in zip(first, n, strict=True)]
+        own = byte_elements(np.frombuffer(b"".join(packed), np.uint8), np.cumsum([0, *map(len, packed)]))
+        content = [(r, j, packed[r][j: j + kind.length]) for r in range(len(packed)) for j in range(n[r])]
+        count = defaultdict(int)
+        for _, _, c in content:
+            count[c] += 1
+        rows, at = repeated_in_order(own, n, kind, every)
+        assert list(zip(rows.tolist(), at.tolist())) == [(r, j) for r, j, c in content if count[c] > 1]
+
+
+def test_a_range_of_many_stretches_is_one_task_or_spread(spark):
+    rnd = random.Random(1)
+    head = "".join(rnd.choice("abcdefgh") for _ in range(500))
+    texts = [head + "%08x" % rnd.getrandbits(32) + head[:20] for _ in range(20_000)]
+    docs = spark.createDataFrame([(k, t) for k, t in enumerate(texts)], "doc_id long, text string")
+    got = remove_repeated_bytes(docs).groupBy("n_spans").agg({"n_removed": "min"}).collect()
+    assert len(got) == 1 and got[0][0] == 1 and got[0][1] >= 500
 
 
 def test_long_texts_are_cut_into_steps_and_chunks(spark, monkeypatch):
