@@ -22,7 +22,7 @@ from tabsight.operators import metrics as M
 from tabsight.operators.cleaning import impute_median, incomplete_columns
 from tabsight.operators.quantiles import holds, quantile_values, ranked_values
 from tabsight.operators.ranking import nearest_knots, range_cells, running_totals, with_cells
-from tabsight.operators.small import fetch_bounded, joined, moments, small_side
+from tabsight.operators.small import SMALL_ROWS, fetch_bounded, joined, moments, small_side
 from tabsight.sources.files import materialised
 
 LONG_KEY = ["column"]
@@ -92,18 +92,38 @@ def average_ranks(df: DataFrame, columns: Sequence[str]) -> DataFrame:
     return ranked.select("column", "value", (F.col("upto") - (F.col("m") - 1) / 2.0).alias("rank"))
 
 
-def corr_spearman(df: DataFrame, columns: Sequence[str]) -> DataFrame:
-    """Absolute rank correlation in long form.
+def rank_transform(df: DataFrame, columns: Sequence[str]) -> DataFrame:
+    """One row per row of ``df``, in any order, with every value replaced by its average rank; NULL stays NULL.
 
-    Ranks are worked out per distinct value and looked up by value, so a value shared by very many
-    rows is ranked once. AQE broadcasts the lookup of a low-cardinality column at run time.
+    Columns of few distinct values look theirs up in a broadcast table of checked size. All others go together: their
+    (row, column, value) cells meet the ranks in one join and one shuffle puts the rows together again.
     """
-    ranks = average_ranks(df, columns)
-    out = df.select(*[finite(c).alias(c) for c in columns])
-    for c in columns:
-        out = out.join(ranks.filter(F.col("column") == c).select(F.col("value").alias(c), F.col("rank").alias(f"_r_{c}")),
-                       c, "left")
-    ranked = materialised(out.select(*[F.col(f"_r_{c}").alias(c) for c in columns]))
+    columns = list(columns)
+    ranks = materialised(average_ranks(df, columns))
+    distinct = {r["column"]: r["n"] for r in fetch_bounded(ranks.groupBy("column").agg(F.count("*").alias("n")), len(columns))}
+    many = [c for c in columns if distinct.get(c, 0) > SMALL_ROWS]
+    few = [c for c in columns if c not in many]
+    name = {c: f"_x{i}" for i, c in enumerate(columns)}
+    out = df.select(*[finite(c).alias(name[c]) for c in columns])
+    for c in few:
+        lookup = ranks.filter(F.col("column") == c).select(F.col("value").alias(name[c]), F.col("rank").alias("_rank"))
+        out = out.join(F.broadcast(lookup), name[c], "left").drop(name[c]).withColumnRenamed("_rank", name[c])
+    if many:
+        rows = materialised(out.withColumn("_row", F.monotonically_increasing_id()))  # written, so that a row keeps its number
+        cells = (melt(rows, ["_row"], [name[c] for c in many]).filter("value IS NOT NULL")
+                 .join(ranks.select(F.element_at(F.create_map(*[F.lit(x) for c in many for x in (c, name[c])]), F.col("column")).alias("column"),
+                                    "value", "rank").filter("column IS NOT NULL"), ["column", "value"])
+                 .select("_row", "column", "rank", *[F.lit(None).cast("double").alias(name[c]) for c in few]))
+        looked_up = rows.select("_row", F.lit(None).cast("string").alias("column"), F.lit(None).cast("double").alias("rank"), *[name[c] for c in few])
+        out = cells.unionByName(looked_up).groupBy("_row").agg(
+            *[F.max(name[c]).alias(name[c]) for c in few],
+            *[F.max(F.when(F.col("column") == name[c], F.col("rank"))).alias(name[c]) for c in many])
+    return out.select(*[F.col(name[c]).alias(c) for c in columns])
+
+
+def corr_spearman(df: DataFrame, columns: Sequence[str]) -> DataFrame:
+    """Absolute rank correlation in long form."""
+    ranked = materialised(rank_transform(df, columns))
     return _pairs(ranked, columns).withColumn("r", F.abs("r"))
 
 

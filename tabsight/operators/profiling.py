@@ -8,12 +8,17 @@ from collections.abc import Mapping, Sequence
 import numpy as np
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from tabsight.functions.expressions import bin_right_closed, finite, melt, ratio
 from tabsight.operators.quantiles import exact_quantiles, quantile_values
 from tabsight.operators.ranking import running_totals
 from tabsight.operators.small import joined, moments, small_side
 
+PROPOSED = 8
+TRACKED = 10_000
+_SKETCHED = (T.StringType, T.BooleanType, T.IntegralType, T.DateType, T.DecimalType)
+
 
 def profile_summary(df: DataFrame, numeric: Sequence[str], categorical: Sequence[str] = ()) -> DataFrame:
     """One row per column: count, mean, std, min, quartiles, max; or unique, top, freq."""
@@ -297,12 +302,41 @@ def dedupe_rows(df: DataFrame) -> DataFrame:
 
 
 def most_frequent(df: DataFrame, columns: Sequence[str]) -> dict[str, object]:
-    """Commonest non-null value per column as text, the smallest on ties (in the column's own order)."""
-    out = {}
+    """Commonest non-null value per column, the smallest on ties (in the column's own order); None if there is none.
+
+    One scan keeps a mergeable frequent-items sketch per column, a second one counts just the values the sketches propose.
+    A column is settled if its best exact count is above what any other value can have; columns whose values are
+    all rare, or of a type the sketch does not order as Spark does (floating point), are counted by value.
+    """
+    columns = list(dict.fromkeys(columns))
+    quoted = {c: "`" + c.replace("`", "``") + "`" for c in columns}  # names may hold dots
+    kinds = dict(zip(columns, (f.dataType for f in df.select(*quoted.values()).schema.fields), strict=True))
+    sketched = [c for c in columns if isinstance(kinds[c], _SKETCHED)]
+    out: dict[str, object] = {}
+    if sketched:
+        first = df.agg(*[f for i, c in enumerate(sketched) for f in (
+            F.expr(f"approx_top_k({quoted[c]}, {PROPOSED}, {TRACKED}) FILTER (WHERE {quoted[c]} IS NOT NULL)").alias(f"s{i}"),
+            F.count(quoted[c]).alias(f"n{i}"))]).first()
+        proposed = [first[f"s{i}"] or [] for i in range(len(sketched))]
+        counts = [F.count_if(F.col(quoted[c]) == F.lit(v["item"])).alias(f"m{i}_{j}")
+                  for i, c in enumerate(sketched) for j, v in enumerate(proposed[i])]
+        exact = df.agg(*counts).first() if counts else {}
+        for i, c in enumerate(sketched):
+            # a value left out has at most two of the sketch's errors of 3.5 / TRACKED, or is behind the last one listed
+            others = 7.0 * first[f"n{i}"] / TRACKED
+            if len(proposed[i]) == PROPOSED:
+                others = max(others, proposed[i][-1]["count"])
+            found = [(-exact[f"m{i}_{j}"], v["item"]) for j, v in enumerate(proposed[i])]
+            if not first[f"n{i}"]:
+                out[c] = None
+            elif found and -min(found)[0] > others:
+                out[c] = min(found)[1]
     for c in columns:
-        top = (df.filter(F.col(c).isNotNull()).groupBy(c).agg(F.count("*").alias("m"))
-               .orderBy(F.col("m").desc(), c).limit(1).collect())
-        out[c] = top[0][c] if top else None
+        if c not in out:
+            value = F.col(quoted[c])
+            top = (df.filter(value.isNotNull()).groupBy(value.alias("value")).agg(F.count("*").alias("m"))
+                   .orderBy(F.col("m").desc(), "value").limit(1).collect())
+            out[c] = top[0]["value"] if top else None
     return out
 
 

@@ -162,3 +162,17 @@ def test_correlation_with_gaps_is_pairwise_complete(spark):
     assert len(got) == 25
     for (a, b), r in got.items():
         assert r == pytest.approx(want.loc[a, b], abs=1e-9) if a != b and "e" not in (a, b) else r == (1.0 if a == b else None)
+
+
+@pytest.mark.parametrize("small", [10_000, 10, 0])
+def test_rank_transform_by_lookup_and_by_cells(spark, table, monkeypatch, small):
+    monkeypatch.setattr(A, "SMALL_ROWS", small)
+    pdf = table[1][COLS].astype(float)
+    pdf.loc[::7, "a"] = np.nan
+    pdf.loc[3:5, :] = np.nan
+    pdf["none"] = np.nan
+    pdf["zero"] = np.where(np.arange(len(pdf)) % 2, 0.0, -0.0)
+    got = A.rank_transform(spark.createDataFrame(pdf).repartition(5), list(pdf)).toPandas().astype(float)
+    want = pdf.rank()
+    order = list(pdf)
+    pd.testing.assert_frame_equal(got.sort_values(order, ignore_index=True), want.sort_values(order, ignore_index=True))

@@ -1,5 +1,7 @@
 """Profiling, cleaning and derived columns on hand-sized frames."""
 
+import datetime
+
 import numpy as np
 import pytest
 from pyspark.sql import functions as F
@@ -182,3 +184,16 @@ def test_histogram_and_quartiles_keep_a_null_class(spark):
     df = spark.createDataFrame([(None if i % 4 == 0 else i % 2, float(i)) for i in range(80)], "y int, x double")
     assert sum(r["n"] for r in P.class_histogram(df, "x", "y").collect()) == 80
     assert {r["y"]: r["n"] for r in P.class_quartiles(df, ["x"], "y").collect()} == {None: 20, 0: 20, 1: 40}
+
+
+@pytest.mark.parametrize("tracked", [10_000, 100])
+def test_most_frequent_by_sketch_and_by_count(spark, monkeypatch, tracked):
+    monkeypatch.setattr(P, "TRACKED", tracked)
+    df = spark.range(6000).select(
+        F.when(F.col("id") % 5 == 0, "mode").otherwise(F.concat(F.lit("v"), "id")).alias("heavy"),
+        F.concat(F.lit("u"), 10_000 - F.col("id")).alias("unique.key"), (F.col("id") % 4).alias("tied"), (F.col("id") % 20).alias("twenty"),
+        F.lit(None).cast("string").alias("none"), (F.col("id") % 3).cast("double").alias("float"), (F.col("id") % 2 == 0).alias("flag"),
+        F.when(F.col("id") % 9 > 0, F.date_add(F.lit("2024-01-01").cast("date"), (F.col("id") % 9).cast("int"))).alias("day"))
+    want = {"heavy": "mode", "unique.key": "u10000", "tied": 0, "twenty": 0, "none": None, "float": 0.0, "flag": False, "day": datetime.date(2024, 1, 2)}
+    assert P.most_frequent(df.repartition(7), df.columns) == want
+    assert P.most_frequent(df.limit(0), df.columns) == dict.fromkeys(df.columns) and P.most_frequent(df, []) == {}
